@@ -11,13 +11,13 @@ from silvermart import schemas
 from silvermart.functions import (
     blank_to_null,
     clean_text,
-    clean_upper,
     normalize_region,
     parse_date,
     parse_money,
     parse_number,
     prefix_region,
     trim_all,
+    upper_to_null,
     whole,
 )
 from silvermart.operators.attach import Lookup, attach, heavy_keys, store_lookup, with_row_tag
@@ -66,7 +66,7 @@ def clean_orders(raw_orders: DataFrame) -> DataFrame:
     """Typed columns from the raw text; rows without an order id are left out."""
     kinds = [
         (PLAIN_COLUMNS, blank_to_null),
-        (UPPER_COLUMNS, clean_upper),
+        (UPPER_COLUMNS, upper_to_null),
         (DATE_COLUMNS, parse_date),
         (MONEY_COLUMNS, parse_money),
         (NUMBER_COLUMNS, parse_number),
@@ -76,9 +76,10 @@ def clean_orders(raw_orders: DataFrame) -> DataFrame:
     trimmed = raw_orders.select(
         [trim_all(F.col(f"`{raw}`")).alias(name) for kind, _ in kinds for name, raw in kind.items()]
     )
-    return trimmed.select(
-        [rule(F.col(name)).alias(name) for kind, rule in kinds for name in kind]
-    ).filter(F.col("order_id").isNotNull())
+    return (
+        trimmed.select([rule(F.col(name)).alias(name) for kind, rule in kinds for name in kind])
+        .filter(F.col("order_id").isNotNull())
+    )
 
 
 def clean_returns(raw_returns: DataFrame) -> DataFrame:
@@ -156,6 +157,19 @@ def order_lookup(base: DataFrame, returned: DataFrame) -> DataFrame:
     )
 
 
+def flag_returns(
+    rows: DataFrame, returned: DataFrame, people: DataFrame, store: TableStore
+) -> DataFrame:
+    """Return mark per order and manager per region; `rows` has the normalized region.
+
+    A region with two managers doubles its rows, see one_manager_per_region.
+    """
+    marks = returned.withColumn("is_returned", F.lit(1))
+    rows = _repair(rows, marks, ["order_id"], store, "returns")
+    rows = _repair(rows, people, ["region"], store, "people")
+    return rows.withColumn("is_returned", F.coalesce(F.col("is_returned"), F.lit(0)))
+
+
 # -- the whole layer -------------------------------------------------------------------------
 
 

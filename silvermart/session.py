@@ -12,6 +12,7 @@ def local_session(app: str = "silvermart", cores: str = "*", **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
