@@ -8,6 +8,7 @@ from silvermart.functions.text import (
     clean_text,
     clean_upper,
     is_missing,
+    strip_all,
     trim_all,
     upper_to_null,
 )
@@ -15,5 +16,5 @@ from silvermart.functions.text import (
 __all__ = [
     "blank_to_null", "clean_text", "clean_upper", "date_key", "exact", "is_missing",
     "iso_day_of_week", "normalize_region", "parse_date", "parse_money", "parse_number",
-    "prefix_region", "round_cents", "trim_all", "upper_to_null", "whole",
+    "prefix_region", "round_cents", "strip_all", "trim_all", "upper_to_null", "whole",
 ]

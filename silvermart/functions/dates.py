@@ -33,9 +33,10 @@ def parse_date(text: Column) -> Column:
         F.when(text.contains(":"), read("timestamp"))
         .when(text.contains("/"), read("day_first"))
         .when(text.contains(" "), read("month_name_day"))
+        .when(dash == 0, None)
         .when(dash >= 5, read("iso"))
-        .when((dash > 0) & after_dash.between("0", "9"), read("month_first"))
-        .when(dash > 0, read("day_month_name"))
+        .when(after_dash <= "9", read("month_first"))
+        .otherwise(read("day_month_name"))
     )
 
 

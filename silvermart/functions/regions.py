@@ -17,9 +17,13 @@ COUNTRY_PREFIXES = {"United States": "US-", "Canada": "CA-"}
 
 def normalize_region(trimmed: Column) -> Column:
     """One spelling per region; text that is not in the table stays as it is."""
-    upper = F.upper(trimmed)
-    named = [F.when(upper.isin(names), region) for region, names in REGION_SPELLINGS.items()]
-    return F.coalesce(*named, trimmed)
+    spelled = [
+        F.lit(text)
+        for region, spellings in REGION_SPELLINGS.items()
+        for spelling in spellings
+        for text in (spelling, region)
+    ]
+    return F.coalesce(F.try_element_at(F.create_map(*spelled), F.upper(trimmed)), trimmed)
 
 
 def prefix_region(country: Column, region: Column) -> Column:

@@ -16,19 +16,19 @@ MISSING = ("", "nan")
 MISSING_UPPER = ("", "NAN")
 
 
-def _visible(c: Column) -> Column:
-    """Whether the text begins with a visible ASCII character."""
-    return F.ascii(c).between(ord("!"), ord("~"))
+def strip_all(c: Column) -> Column:
+    """Strip white space of every kind; Spark's plain trim strips the space character alone."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def trim_all(c: Column) -> Column:
-    """Strip white space of every kind; Spark's plain trim strips the space character alone.
+    """strip_all for columns that are mostly clean.
 
-    Trimming a set of characters costs many times what a look at the two ends costs, so cells
-    that begin and end with a visible character pass through.
+    Stripping a set of characters costs many times what a look at both ends costs, so a cell that
+    begins and ends with a visible ASCII character passes through.
     """
-    ends_clean = _visible(c) & _visible(F.substring(c, -1, 1))
-    return F.when(ends_clean, c).otherwise(F.trim(c, F.lit(WHITESPACE)))
+    clean = c.between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(clean, c).otherwise(strip_all(c))
 
 
 def blank_to_null(trimmed: Column) -> Column:

@@ -108,7 +108,10 @@ def attach(df: DataFrame, lookup: Lookup, heavy: Callable[[], DataFrame]) -> Dat
     df = df.withColumn(
         "spread", F.when(needs_partner, 0).otherwise(F.col(ROW_TAG) % SPREAD + 1).cast("int")
     )
-    joined = df.join(lookup.df.withColumn("spread", F.lit(0)), [*on, "spread"], "left")
+    # Zero for every entry, but computed from the key: a plain literal would be moved out of the
+    # join key into a condition, and the rows would again be shuffled by the key alone.
+    zero = (F.xxhash64(*on) % 1).cast("int")
+    joined = df.join(lookup.df.withColumn("spread", zero), [*on, "spread"], "left")
     for c in lookup.payload:
         joined = joined.withColumn(c, F.coalesce(F.col(f"heavy_{c}"), F.col(c)))
     return joined.drop("spread", "answered", *[f"heavy_{c}" for c in lookup.payload])

@@ -16,6 +16,7 @@ from silvermart.functions import (
     parse_money,
     parse_number,
     prefix_region,
+    strip_all,
     trim_all,
     upper_to_null,
     whole,
@@ -32,8 +33,8 @@ from silvermart.sources.store import TableStore, in_parallel
 
 # Raw column behind each cleaned one, by kind of cleaning; the return mark; and the
 # placeholder manager that the people sheet carries.
+ID_COLUMNS = {"order_id": "Order ID"}
 PLAIN_COLUMNS = {
-    "order_id": "Order ID",
     "customer_id": "Customer ID",
     "product_id": "Product ID",
     "segment": "Segment",
@@ -65,21 +66,26 @@ LOCATION = ["country", "state", "city"]
 def clean_orders(raw_orders: DataFrame) -> DataFrame:
     """Typed columns from the raw text; rows without an order id are left out."""
     kinds = [
-        (PLAIN_COLUMNS, blank_to_null),
-        (UPPER_COLUMNS, upper_to_null),
-        (DATE_COLUMNS, parse_date),
-        (MONEY_COLUMNS, parse_money),
-        (NUMBER_COLUMNS, parse_number),
+        (ID_COLUMNS, strip_all, blank_to_null),
+        (PLAIN_COLUMNS, trim_all, blank_to_null),
+        (UPPER_COLUMNS, trim_all, upper_to_null),
+        (DATE_COLUMNS, strip_all, parse_date),
+        (MONEY_COLUMNS, strip_all, parse_money),
+        (NUMBER_COLUMNS, strip_all, parse_number),
     ]
     # Trimming is a step of its own: the rules mention their input several times, and the
-    # optimizer keeps the two steps apart rather than trim each time.
+    # optimizer keeps the two steps apart rather than trim each time. Each step also stays below
+    # 8000 bytes of generated code, beyond which the JVM would only interpret it.
     trimmed = raw_orders.select(
-        [trim_all(F.col(f"`{raw}`")).alias(name) for kind, _ in kinds for name, raw in kind.items()]
-    )
-    return (
-        trimmed.select([rule(F.col(name)).alias(name) for kind, rule in kinds for name in kind])
-        .filter(F.col("order_id").isNotNull())
+        [
+            trim(F.col(f"`{raw}`")).alias(name)
+            for columns, trim, _ in kinds
+            for name, raw in columns.items()
+        ]
     )
+    return trimmed.select(
+        [rule(F.col(name)).alias(name) for columns, _, rule in kinds for name in columns]
+    ).filter(F.col("order_id").isNotNull())
 
 
 def clean_returns(raw_returns: DataFrame) -> DataFrame:
