@@ -24,9 +24,11 @@ from silvermart.functions import (
 from silvermart.operators.attach import with_row_tag
 from silvermart.plans import checks, reports, star
 from silvermart.plans import trusted as layer
+from silvermart.plans.pipeline import run_pipeline
 from silvermart.plans.workspace import Workspace, workspace
 from silvermart.sources import feed
 from silvermart.sources.landing import land_all, stringify
+from silvermart.sources.store import scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +51,14 @@ def _land_sheets(w: Workspace) -> DataFrame:
     )
 
 
+def _full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline into a fresh folder; one row per table it wrote."""
+    layers = run_pipeline(spark, feed.sheets(spark, sf_dir), scratch_root(spark, "refresh"))
+    return spark.createDataFrame(
+        [(r["table"], r["rows"]) for r in layers.report], "table_name string, rows long"
+    )
+
+
 def _column(name: str):
     return trim_all(F.col(f"`{name}`"))
 
@@ -251,6 +261,12 @@ def queries() -> dict[str, Query]:
         "check_natural_key_geography": _dim(checks.natural_key_geography, "dim_geography"),
         "check_dropped_by_star_join": _on(lambda w: checks.dropped_by_star_join(w.trusted)),
         "check_volume": _on(lambda w: checks.volume({**w.dims, "fact_orders": w.fact})),
+        "check_all": _on(
+            lambda w: checks.run_checks(
+                w.spark, w.raw["Orders"], w.raw["Returns"], w.trusted, w.dims, w.fact
+            )
+        ),
+        "full_refresh": _full_refresh,
         # reports
         "bi_margin_by_category": _fact(reports.margin_by_category, "dim_product"),
         "bi_top10_loss": _fact(reports.top_loss_products, "dim_product"),

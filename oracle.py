@@ -294,8 +294,8 @@ def sql(final: str, *needs: str) -> str:
     return f"WITH {', '.join(parts)}\n{final}" if parts else final
 
 
-def conflicts(key: str, value: str, shown: str, key_name: str) -> str:
-    return sql(
+def conflicts(key: str, value: str, shown: str, key_name: str) -> tuple[str, ...]:
+    return (
         f"""SELECT "{key}" AS "{key_name}", count(*) AS diff_name_count,
       string_agg(name, ' | ' ORDER BY name) AS associated_names
     FROM (SELECT DISTINCT "{key}", {shown} AS name FROM raw_orders
@@ -316,15 +316,16 @@ PROFILE = {
 }
 
 
-def repeated(table: str, *columns: str) -> str:
+def repeated(table: str, *columns: str) -> tuple[str, ...]:
     names = ", ".join(columns)
-    return sql(
-        f"SELECT {names}, count(*) AS qtd FROM {table} GROUP BY {names} HAVING count(*) > 1", table
+    return (
+        f"SELECT {names}, count(*) AS qtd FROM {table} GROUP BY {names} HAVING count(*) > 1",
+        table,
     )
 
 
-def orphans(table: str, fact_key: str, dim_key: str, name: str) -> str:
-    return sql(
+def orphans(table: str, fact_key: str, dim_key: str, name: str) -> tuple[str, ...]:
+    return (
         f"""SELECT count(*) AS {name} FROM fact
     WHERE NOT EXISTS (SELECT 1 FROM {table} d WHERE d.{dim_key} = fact.{fact_key})""",
         "fact",
@@ -341,12 +342,13 @@ REQUIRED = [
 ]
 
 
-def queries() -> dict[str, str]:
+def parts() -> dict[str, tuple[str, ...]]:
+    """Per query its final SELECT and the common table expressions it reads."""
     missing_any = " OR ".join(f"{c} IS NULL" for c in REQUIRED)
     missing = [("any", missing_any)] + [(c, f"{c} IS NULL") for c in REQUIRED]
     return {
         # landing
-        "land_sheets": sql(
+        "land_sheets": (
             """SELECT 'Orders' AS sheet, count(*) AS "rows", 21 AS "columns" FROM raw_orders
     UNION ALL SELECT 'People', count(*), 2 FROM raw_people
     UNION ALL SELECT 'Returns', count(*), 2 FROM raw_returns""",
@@ -354,33 +356,35 @@ def queries() -> dict[str, str]:
             "raw_people",
             "raw_returns",
         ),
-        "raw_orders": sql("SELECT * FROM raw_orders", "raw_orders"),
-        "raw_returns": sql("SELECT * FROM raw_returns", "raw_returns"),
-        "raw_people": sql("SELECT * FROM raw_people", "raw_people"),
-        "stringify_customer": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
+        "raw_orders": ("SELECT * FROM raw_orders", "raw_orders"),
+        "raw_returns": ("SELECT * FROM raw_returns", "raw_returns"),
+        "raw_people": ("SELECT * FROM raw_people", "raw_people"),
+        "stringify_customer": (
+            """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
       CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
       c_mktsegment FROM customer""",
+        ),
         # cleaning
-        "clean_orders": sql("SELECT * FROM base", "base"),
-        "clean_returns": sql("SELECT * FROM returned", "returned"),
-        "clean_people": sql("SELECT * FROM people", "people"),
-        "parse_dates": sql(
+        "clean_orders": ("SELECT * FROM base", "base"),
+        "clean_returns": ("SELECT * FROM returned", "returned"),
+        "clean_people": ("SELECT * FROM people", "people"),
+        "parse_dates": (
             f"""SELECT "Row ID" AS row_id, {date('"Order Date"')} AS order_date,
       {date('"Ship Date"')} AS ship_date FROM raw_orders""",
             "raw_orders",
         ),
-        "parse_money": sql(
+        "parse_money": (
             f"""SELECT "Row ID" AS row_id, {money('"Sales"')} AS sales,
       {money('"Profit"')} AS profit, {number('"Quantity"')} AS quantity,
       {number('"Discount"')} AS discount FROM raw_orders""",
             "raw_orders",
         ),
-        "normalize_region": sql(
+        "normalize_region": (
             f"""SELECT "Region" AS spelled, {region(text('"Region"'))} AS region,
       count(*) AS "rows" FROM raw_orders GROUP BY 1, 2""",
             "raw_orders",
         ),
-        "prefix_region": sql(
+        "prefix_region": (
             f"""SELECT country, {region("region")} AS region,
       CASE country WHEN 'United States' THEN 'US-' || {region("region")}
                    WHEN 'Canada' THEN 'CA-' || {region("region")}
@@ -389,39 +393,39 @@ def queries() -> dict[str, str]:
             "base",
         ),
         # repairs
-        "fill_ship_mode": sql(
+        "fill_ship_mode": (
             """SELECT order_id, ship_mode AS before, coalesce(ship_mode, ship_mode_max) AS after
     FROM base LEFT JOIN order_fill USING (order_id)""",
             "order_fill",
         ),
-        "fill_customer_name": sql(
+        "fill_customer_name": (
             """SELECT customer_id, customer_name AS before,
       coalesce(customer_name, customer_name_max) AS after
     FROM base LEFT JOIN customer_fill USING (customer_id)""",
             "customer_fill",
         ),
-        "fill_postal_mode": sql(
+        "fill_postal_mode": (
             """SELECT country, state, city, postal_code AS before,
       coalesce(postal_code, postal_code_mode) AS after
     FROM base LEFT JOIN postal_mode USING (country, state, city)""",
             "postal_mode",
         ),
-        "fill_category": sql(
+        "fill_category": (
             """SELECT product_id, category AS category_before, sub_category AS sub_category_before,
       coalesce(category, category_max) AS category,
       coalesce(sub_category, sub_category_max) AS sub_category
     FROM base LEFT JOIN product_fill USING (product_id)""",
             "product_fill",
         ),
-        "canonical_product": sql(
+        "canonical_product": (
             """SELECT product_id, coalesce(product_name_mode, product_name) AS product_name,
       product_name AS product_name_original FROM base LEFT JOIN name_mode USING (product_id)""",
             "name_mode",
         ),
-        "abs_discount": sql(
+        "abs_discount": (
             "SELECT order_id, discount AS before, abs(discount) AS discount FROM base", "base"
         ),
-        "flag_returns": sql(
+        "flag_returns": (
             f"""SELECT b.order_id, b.product_id, CAST(r.order_id IS NOT NULL AS INTEGER) AS is_returned,
       regional_manager FROM base b LEFT JOIN returned r ON r.order_id = b.order_id
     LEFT JOIN people p ON p.region = {region("b.region")}""",
@@ -429,19 +433,19 @@ def queries() -> dict[str, str]:
             "returned",
             "people",
         ),
-        "dedup_exact": sql("SELECT DISTINCT * FROM base", "base"),
-        "trusted_orders": sql(f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
-        "one_manager_per_region": sql(
+        "dedup_exact": ("SELECT DISTINCT * FROM base", "base"),
+        "trusted_orders": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
+        "one_manager_per_region": (
             "SELECT region, min(regional_manager) AS regional_manager FROM people GROUP BY region",
             "people",
         ),
         # star schema
-        "dim_customer": sql("SELECT * FROM dim_customer", "dim_customer"),
-        "dim_product": sql("SELECT * FROM dim_product", "dim_product"),
-        "dim_geography": sql("SELECT * FROM dim_geography", "dim_geography"),
-        "dim_shipping": sql("SELECT * FROM dim_shipping", "dim_shipping"),
-        "dim_date": sql("SELECT * FROM dim_date", "dim_date"),
-        "fact_orders": sql("SELECT * FROM fact", "fact"),
+        "dim_customer": ("SELECT * FROM dim_customer", "dim_customer"),
+        "dim_product": ("SELECT * FROM dim_product", "dim_product"),
+        "dim_geography": ("SELECT * FROM dim_geography", "dim_geography"),
+        "dim_shipping": ("SELECT * FROM dim_shipping", "dim_shipping"),
+        "dim_date": ("SELECT * FROM dim_date", "dim_date"),
+        "fact_orders": ("SELECT * FROM fact", "fact"),
         # checks of the raw feed
         "check_category_conflict": conflicts(
             "Product ID", "Category", 'trim(upper("Category"))', "product_id"
@@ -452,7 +456,7 @@ def queries() -> dict[str, str]:
         "check_product_conflict": conflicts(
             "Product ID", "Product Name", '"Product Name"', "product_id"
         ),
-        "check_nan_profile": sql(
+        "check_nan_profile": (
             " UNION ALL ".join(
                 f"""SELECT '{name}' AS column_name, count(*) AS null_count FROM raw_orders
     WHERE lower(trim("{raw}")) = 'nan' HAVING count(*) > 0"""
@@ -460,19 +464,19 @@ def queries() -> dict[str, str]:
             ),
             "raw_orders",
         ),
-        "check_returned_quantities": sql(
+        "check_returned_quantities": (
             """SELECT DISTINCT "Quantity" AS quantity FROM raw_orders
     WHERE "Order ID" IN (SELECT "Order ID" FROM raw_returns)""",
             "raw_orders",
             "raw_returns",
         ),
-        "check_returned_quantities_clean": sql(
+        "check_returned_quantities_clean": (
             f"""SELECT DISTINCT "Quantity" AS quantity FROM raw_orders
     WHERE {text('"Order ID"')} IN (SELECT {text('"Order ID"')} FROM raw_returns)""",
             "raw_orders",
             "raw_returns",
         ),
-        "check_valid_subcategory": sql(
+        "check_valid_subcategory": (
             """SELECT "Product ID" AS product_id, "Category" AS category,
       string_agg(DISTINCT "Sub-Category", ' | ' ORDER BY "Sub-Category") AS found_subcategories,
       count(DISTINCT "Sub-Category") AS valid_options_count
@@ -484,7 +488,7 @@ def queries() -> dict[str, str]:
             "raw_orders",
         ),
         # checks of the star schema
-        "check_fact_nulls": sql(
+        "check_fact_nulls": (
             """SELECT count(*) AS total_rows,
       CAST(count(*) FILTER (order_date_key IS NULL) AS BIGINT) AS null_order_dates,
       CAST(count(*) FILTER (ship_date_key IS NULL) AS BIGINT) AS null_ship_dates,
@@ -504,19 +508,19 @@ def queries() -> dict[str, str]:
         "check_orphan_shipping": orphans(
             "dim_shipping", "shipping_key", "shipping_key", "orphan_shipping"
         ),
-        "check_orphan_dates": sql(
+        "check_orphan_dates": (
             """SELECT count(*) AS orphan_dates FROM (SELECT order_date_key AS k FROM fact
       UNION ALL SELECT ship_date_key FROM fact)
     WHERE k IS NOT NULL AND k NOT IN (SELECT date_key FROM dim_date)""",
             "fact",
             "dim_date",
         ),
-        "check_sales_faithful": sql(
+        "check_sales_faithful": (
             f"""{SALES} FROM (SELECT {total("t.sales")} AS t, {total("f.sales")} AS f
       FROM trusted t FULL JOIN fact f ON t.order_id = f.order_id)""",
             "fact",
         ),
-        "check_sales_by_order": sql(
+        "check_sales_by_order": (
             f"""SELECT order_id, coalesce(t_rows, 0) AS trusted_rows,
       coalesce(f_rows, 0) AS fact_rows, {as_money("coalesce(t, 0)")} AS total_sales_trusted,
       {as_money("coalesce(f, 0)")} AS total_sales_fact,
@@ -527,7 +531,7 @@ def queries() -> dict[str, str]:
     WHERE coalesce(t_rows, 0) <> coalesce(f_rows, 0) OR coalesce(t, 0) <> coalesce(f, 0)""",
             "fact",
         ),
-        "check_sales_total": sql(
+        "check_sales_total": (
             f"""{SALES} FROM (SELECT {total("sales")} AS t FROM trusted),
       (SELECT {total("sales")} AS f FROM fact)""",
             "fact",
@@ -542,7 +546,7 @@ def queries() -> dict[str, str]:
         "check_natural_key_geography": repeated(
             "dim_geography", "country", "region", "state", "city", "postal_code"
         ),
-        "check_dropped_by_star_join": sql(
+        "check_dropped_by_star_join": (
             " UNION ALL ".join(
                 f"""SELECT '{name}' AS missing, count(*) AS "rows" FROM trusted WHERE {condition}
     HAVING count(*) > 0"""
@@ -550,7 +554,7 @@ def queries() -> dict[str, str]:
             ),
             "trusted",
         ),
-        "check_volume": sql(
+        "check_volume": (
             " UNION ALL ".join(
                 f"SELECT '{name}' AS table_name, count(*) AS total_rows FROM {table}"
                 for name, table in [
@@ -565,36 +569,49 @@ def queries() -> dict[str, str]:
             "fact",
             "dim_date",
         ),
+        "full_refresh": (
+            """SELECT 'raw_orders' AS table_name, count(*) AS "rows" FROM raw_orders
+    UNION ALL SELECT 'raw_people', count(*) FROM raw_people
+    UNION ALL SELECT 'raw_returns', count(*) FROM raw_returns
+    UNION ALL SELECT 'trusted_orders', count(*) FROM trusted
+    UNION ALL SELECT 'dim_customer', count(*) FROM dim_customer
+    UNION ALL SELECT 'dim_product', count(*) FROM dim_product
+    UNION ALL SELECT 'dim_geography', count(*) FROM dim_geography
+    UNION ALL SELECT 'dim_shipping', count(*) FROM dim_shipping
+    UNION ALL SELECT 'dim_date', count(*) FROM dim_date
+    UNION ALL SELECT 'fact_orders', count(*) FROM fact""",
+            "raw_people", "fact", "dim_date",
+        ),
         # reports
-        "bi_margin_by_category": sql(
+        "bi_margin_by_category": (
             f"""SELECT category, {as_money("sum(s)")} AS sales, {as_money("sum(p)")} AS profit,
       CASE WHEN sum(s) <> 0 THEN {as_money("sum(p)")} / {as_money("sum(s)")} END AS profit_margin
     FROM product_sales GROUP BY category""",
             "product_sales",
         ),
-        "bi_top10_loss": sql(
+        "bi_top10_loss": (
             f"""SELECT product_id, product_name, category, sub_category, {as_money("s")} AS sales,
       {as_money("p")} AS profit FROM top_loss""",
             "top_loss",
         ),
-        "bi_top10_loss_by_category": sql(
+        "bi_top10_loss_by_category": (
             "SELECT category, count(*) AS products FROM top_loss GROUP BY category", "top_loss"
         ),
-        "bi_monthly_sales": sql(
+        "bi_monthly_sales": (
             f"""SELECT year_month, {as_money(total("sales"))} AS sales,
       {as_money(total("profit"))} AS profit, count(*) AS lines
     FROM fact JOIN dim_date ON date_key = order_date_key GROUP BY year_month""",
             "fact",
             "dim_date",
         ),
-        "bi_half_year_sales": sql(
+        "bi_half_year_sales": (
             f"""SELECT year, CASE WHEN month_number <= 6 THEN 'H1' ELSE 'H2' END AS half,
       {as_money(total("sales"))} AS sales, count(*) AS lines
     FROM fact JOIN dim_date ON date_key = order_date_key GROUP BY 1, 2""",
             "fact",
             "dim_date",
         ),
-        "bi_return_rate": sql(
+        "bi_return_rate": (
             f"""SELECT category, count(*) AS lines,
       CAST(sum(is_returned) AS BIGINT) AS returned_lines,
       CAST(sum(is_returned) AS DOUBLE) / count(*) AS return_rate,
@@ -604,3 +621,55 @@ def queries() -> dict[str, str]:
             "dim_product",
         ),
     }
+
+
+# Checks of the summary table by kind: listings pass when empty, counters when zero.
+LISTINGS = [
+    "category_conflict", "customer_conflict", "product_conflict", "unique_customer_key",
+    "unique_product_key", "unique_geography_key", "unique_shipping_key", "unique_date_key",
+    "natural_key_customer", "natural_key_product", "natural_key_geography",
+    "dropped_by_star_join",
+]
+INFORMATIVE = ["nan_profile", "valid_subcategory"]
+ORPHANS = ["customers", "geography", "products", "shipping", "dates"]
+
+
+def summary(known: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """The table of all checks."""
+    rows: list[str] = []
+    needs: list[str] = []
+
+    def add(query: str, check: str, metric: str, value: str, passed: str) -> None:
+        final, *reads = known[f"check_{query}"]
+        rows.append(
+            f"""SELECT '{check}' AS "check", {metric} AS metric,
+      CAST({value} AS DOUBLE) AS value, {passed} AS passed FROM ({final})"""
+        )
+        needs.extend(reads)
+
+    for name in LISTINGS:
+        add(name, name, "'rows'", "count(*)", "count(*) = 0")
+    for name in INFORMATIVE:
+        add(name, name, "'rows'", "count(*)", "NULL::BOOLEAN")
+    add(
+        "returned_quantities_clean", "negative_returned_quantities", "'rows'",
+        "count(*) FILTER (TRY_CAST(quantity AS DOUBLE) < 0)",
+        "count(*) FILTER (TRY_CAST(quantity AS DOUBLE) < 0) = 0",
+    )
+    add("fact_nulls", "fact_nulls", "'total_rows'", "total_rows", "NULL::BOOLEAN")
+    for c in ("null_order_dates", "null_ship_dates", "negative_delivery_days", "null_discounts"):
+        add("fact_nulls", "fact_nulls", f"'{c}'", c, f"{c} = 0")
+    for c in ORPHANS:
+        add(f"orphan_{c}", "orphans", f"'orphan_{c}'", f"orphan_{c}", f"orphan_{c} = 0")
+    for name in ("sales_faithful", "sales_total"):
+        for c in ("total_sales_trusted", "total_sales_fact"):
+            add(name, name, f"'{c}'", c, "NULL::BOOLEAN")
+        add(name, name, "'difference'", "difference", "difference = 0")
+    add("volume", "volume", "table_name", "total_rows", "NULL::BOOLEAN")
+    return " UNION ALL ".join(rows), *dict.fromkeys(needs)
+
+
+def queries() -> dict[str, str]:
+    known = parts()
+    known["check_all"] = summary(known)
+    return {name: sql(*query) for name, query in known.items()}

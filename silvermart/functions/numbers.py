@@ -24,7 +24,9 @@ def parse_number(c: Column) -> Column:
 
 def parse_money(c: Column) -> Column:
     """'$1,906.48' -> 1906.48."""
-    return parse_number(F.translate(c, MONEY_MARKS, ""))
+    for mark in MONEY_MARKS:
+        c = F.replace(c, F.lit(mark), F.lit(""))
+    return parse_number(c)
 
 
 def whole(c: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.functions import clean_text, clean_upper, exact, is_missing, trim_all
+from silvermart.functions import clean_text, exact, is_missing, strip_all, trim_all
 from silvermart.plans.star import CUSTOMER, LOCATION, PRODUCT
 
 # Raw column behind each name of the missing-value profile.
@@ -84,7 +84,7 @@ def nan_profile(raw_orders: DataFrame) -> DataFrame:
     """
     counts = raw_orders.agg(
         *[
-            F.count_if(F.lower(trim_all(_raw(raw))) == "nan").alias(name)
+            F.count_if(F.lower(strip_all(_raw(raw))) == "nan").alias(name)
             for name, raw in PROFILE_COLUMNS.items()
         ]
     )
@@ -368,7 +368,7 @@ def run_checks(
                 F.col("quantity").try_cast("double") < 0
             ),
         ),
-        listing("valid_subcategories", valid_subcategories(raw_orders), informative=True),
+        listing("valid_subcategory", valid_subcategories(raw_orders), informative=True),
         counters(
             "fact_nulls",
             fact_nulls(fact),

@@ -54,7 +54,7 @@ def materialize(store: TableStore, name: str, df: DataFrame) -> tuple[StoredTabl
     """Write the next version of a table and make it the current one."""
     table = store.write(name, df)
     store.publish(table)
-    return table, {"table": name, "location": table.path, "rows": table.rows}
+    return table, {"table": name.split("/")[-1], "location": table.path, "rows": table.rows}
 
 
 def build_dimensions(
@@ -86,6 +86,13 @@ def run_pipeline(
     """
     store = TableStore(spark, out, database)
     scratch = TableStore(spark, scratch_root(spark, "run"))
+    try:
+        return _refresh(sources, store, scratch)
+    finally:
+        scratch.drop_all()
+
+
+def _refresh(sources: dict[str, DataFrame], store: TableStore, scratch: TableStore) -> Layers:
     landed = land_all(store, sources)
     raw = {sheet: store.open(table) for sheet, (table, _) in landed.items()}
 

@@ -66,6 +66,7 @@ def land_entity(store: TableStore, entity: Entity, source: DataFrame) -> tuple[S
     store.publish(table)
     return table, {
         "sheet": entity.sheet,
+        "table": entity.table.split("/")[-1],
         "rows": table.rows,
         "columns": len(table.schema.fields),
         "path": table.path,

@@ -124,6 +124,11 @@ class TableStore:
             fs.delete(path, True)
         return len(old)
 
+    def drop_all(self) -> None:
+        """Delete everything below the root; for the intermediate tables of a finished run."""
+        path, fs = self._hadoop(self.root)
+        fs.delete(path, True)
+
     def _versions(self, name: str) -> list[str]:
         path, fs = self._hadoop(f"{self.root}/{name}")
         if not fs.exists(path):

@@ -44,7 +44,9 @@ def test_land_from_any_format(spark, store, tmp_path, fmt):
     rows.write.format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(source)
     table, report = land_entity(store, people, read_source(spark, fmt, source, people.schema))
     assert rows_of(store.open(table)) == [("Max", "nan"), ("Mia, the first", "East")]
-    assert report == {"sheet": "People", "rows": 2, "columns": 2, "path": table.path}
+    assert report == {
+        "sheet": "People", "table": "raw_people", "rows": 2, "columns": 2, "path": table.path,
+    }
 
 
 def test_landing_takes_header_names_in_any_case(spark, store, tmp_path):
@@ -127,10 +129,10 @@ def test_full_refresh_twice_gives_the_same_tables(spark, tmp_path):
     out = str(tmp_path / "out")
     first = run_pipeline(spark, feed.sheets(spark, DATA), out, database="shop_run")
     try:
-        counts = {r.get("table", r.get("sheet")): r["rows"] for r in first.report}
+        counts = {r["table"]: r["rows"] for r in first.report}
         assert len(counts) == 10 and all(counts.values())
         second = run_pipeline(spark, feed.sheets(spark, DATA), out, database="shop_run")
-        assert {r.get("table", r.get("sheet")): r["rows"] for r in second.report} == counts
+        assert {r["table"]: r["rows"] for r in second.report} == counts
         pairs = [(first.trusted, second.trusted), (first.fact, second.fact)]
         pairs += [(first.dims[n], second.dims[n]) for n in first.dims]
         for old, new in pairs:
