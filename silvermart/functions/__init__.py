@@ -8,13 +8,14 @@ from silvermart.functions.text import (
     clean_text,
     clean_upper,
     is_missing,
+    is_present,
     strip_all,
     trim_all,
     upper_to_null,
 )
 
 __all__ = [
-    "blank_to_null", "clean_text", "clean_upper", "date_key", "exact", "is_missing",
+    "blank_to_null", "clean_text", "clean_upper", "date_key", "exact", "is_missing", "is_present",
     "iso_day_of_week", "normalize_region", "parse_date", "parse_money", "parse_number",
     "prefix_region", "round_cents", "strip_all", "trim_all", "upper_to_null", "whole",
 ]

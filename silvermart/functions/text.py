@@ -31,9 +31,14 @@ def trim_all(c: Column) -> Column:
     return F.when(clean, c).otherwise(strip_all(c))
 
 
+def is_present(trimmed: Column) -> Column:
+    """False for a missing cell, NULL for NULL. Takes trimmed text, like the next two."""
+    return ~trimmed.isin(*MISSING)
+
+
 def blank_to_null(trimmed: Column) -> Column:
-    """NULL for a missing cell. Takes text that is trimmed already; 'nan' is case-sensitive."""
-    return F.when(~trimmed.isin(*MISSING), trimmed)
+    """NULL for a missing cell; 'nan' is case-sensitive."""
+    return F.when(is_present(trimmed), trimmed)
 
 
 def clean_text(c: Column) -> Column:
@@ -41,7 +46,7 @@ def clean_text(c: Column) -> Column:
 
 
 def upper_to_null(trimmed: Column) -> Column:
-    """Upper-cased text; here 'nan' counts as missing in any case. Takes trimmed text."""
+    """Upper-cased text; here 'nan' counts as missing in any case."""
     upper = F.upper(trimmed)
     return F.when(~upper.isin(*MISSING_UPPER), upper)
 
