@@ -180,9 +180,23 @@ def _dim(check: Callable[[DataFrame], DataFrame], dim: str) -> Query:
     return _on(lambda w: check(w.dims[dim]))
 
 
+def _llm():
+    """The text-preparation queries and the pipeline's, without them if their folders are absent."""
+    try:
+        from corpus_pipeline import ORACLE_SQL, run
+        from silvermart.llm.queries import ORACLE_SQL as sql
+        from silvermart.llm.queries import QUERIES
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "silvermart.llm"):
+            raise
+        return {}, {}
+    return {**QUERIES, "pipeline": run}, {**sql, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
+
+
 def queries() -> dict[str, Query]:
     """Every registered query."""
     return {
+        **_llm()[0],
         # landing
         "land_sheets": _on(_land_sheets),
         "raw_orders": feed.raw_orders,
@@ -278,5 +292,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for every query above."""
-    return oracle.queries()
+    """DuckDB SQL for every query above that SQL can express."""
+    return {**_llm()[1], **oracle.queries()}
