@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.llm.common import documents
+from silvermart.llm.common import documents, pages
+from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(pages(spark, sf_dir)).select("page_id", "url", "text", "n_chars")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix; fragments are drawn less often than long texts."""
     mixed = mix(documents(spark, sf_dir), "doc_id", "text", "source", lean=by_length)
@@ -18,6 +24,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
     "op7_mixing": op7_mixing,
 }
 
