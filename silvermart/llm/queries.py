@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.llm.common import documents, pages
+from silvermart.llm import toxicity
+from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
 
@@ -23,9 +24,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def _scored(docs: DataFrame, column: str, threshold: float) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col(column).alias("score"),
+        (F.col(column) >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance of every document to be toxic."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, labels(spark, sf_dir))
+    return _scored(toxicity.score(docs, model), "toxicity", 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op7_mixing": op7_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
