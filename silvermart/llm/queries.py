@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.llm import toxicity
+from silvermart.llm import quality_mil, toxicity
 from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
@@ -18,6 +18,13 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages(spark, sf_dir)).select("page_id", "url", "text", "n_chars")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance of every document to be of good quality."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_mil.train(docs, labels(spark, sf_dir))
+    return _scored(quality_mil.score(docs, model), "quality", 0.3)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix; fragments are drawn less often than long texts."""
     mixed = mix(documents(spark, sf_dir), "doc_id", "text", "source", lean=by_length)
@@ -42,6 +49,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
+    "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
 }

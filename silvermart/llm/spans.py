@@ -70,14 +70,25 @@ class Words:
     starts: np.ndarray  # byte offsets in the text the word is from
     ends: np.ndarray
     first: np.ndarray
+    classes: np.ndarray | None = None  # bytes of each class per word
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(texts: Iterable[str | None], breaks=SPACES, lower: bool = False) -> Words:
-    """Words between `breaks`, hashed without regard to case if `lower`; none for NULL."""
+def words(
+    texts: Iterable[str | None],
+    breaks=SPACES,
+    lower: bool = False,
+    classes: np.ndarray | None = None,
+) -> Words:
+    """Words between `breaks`, hashed without regard to case if `lower`; none for NULL.
+
+    With `classes`, the class number of every byte, each word's bytes are counted by class.
+    """
     hashes, starts, ends, counts = [], [], [], []
+    kinds = 0 if classes is None else int(classes.max()) + 1
+    tallies = [np.zeros((0, kinds), np.int32)]
     pending: list[tuple[int, int, bytes]] = []  # text, offset in it, bytes
     held = 0
 
@@ -98,6 +109,13 @@ def words(texts: Iterable[str | None], breaks=SPACES, lower: bool = False) -> Wo
         hashes.append(
             mixed((total[e] - total[s]) * _power(_BACK, len(joined))[s] + (e - s).astype(U))
         )
+        if kinds:
+            kind, tally = classes[joined], np.empty((len(s), kinds), np.int32)
+            running = np.zeros(len(joined) + 1, np.int32)
+            for k in range(kinds):
+                np.cumsum(kind == k, out=running[1:])
+                tally[:, k] = running[e] - running[s]
+            tallies.append(tally)
         sizes = np.array([len(p[2]) + 1 for p in pending])
         begins = np.cumsum(sizes) - sizes
         of = np.searchsorted(begins, s, side="right") - 1
@@ -128,6 +146,7 @@ def words(texts: Iterable[str | None], breaks=SPACES, lower: bool = False) -> Wo
         np.concatenate(starts) if starts else empty,
         np.concatenate(ends) if ends else empty,
         first,
+        np.concatenate(tallies) if kinds else None,
     )
 
 
