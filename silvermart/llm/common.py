@@ -26,8 +26,23 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text, unchanged; none for NULL and for white space alone."""
-    found = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), SPACE_CLASS + "+")
-    return F.filter(found, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    none = F.array().cast("array<string>")
+    return F.when(trimmed == "", none).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+
+
+def below(ascending: Column, value: Column, bits: int = 24) -> Column:
+    """How many entries of an ascending array are smaller than `value`, by binary search."""
+    size = F.size(ascending)
+    steps = F.filter(
+        F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), lambda step: step <= size
+    )
+
+    def halve(found: Column, step: Column) -> Column:
+        smaller = F.get(ascending, found + step - 1) < value
+        return F.when((found + step <= size) & smaller, found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), halve)
 
 
 def let(value: Column, body) -> Column:
