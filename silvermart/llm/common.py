@@ -31,15 +31,17 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", none).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def below(ascending: Column, value: Column, bits: int = 24) -> Column:
-    """How many entries of an ascending array are smaller than `value`, by binary search."""
+def below(ascending: Column, value: Column, bits: int = 24, equal: bool = False) -> Column:
+    """How many entries of an ascending array are smaller than `value`, by binary search.
+
+    With `equal`, those that equal it count as well. The array has fewer than 2^bits entries.
+    """
     size = F.size(ascending)
-    steps = F.filter(
-        F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), lambda step: step <= size
-    )
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
 
     def halve(found: Column, step: Column) -> Column:
-        smaller = F.get(ascending, found + step - 1) < value
+        entry = F.get(ascending, found + step - 1)
+        smaller = entry <= value if equal else entry < value
         return F.when((found + step <= size) & smaller, found + step).otherwise(found)
 
     return F.aggregate(steps, F.lit(0), halve)

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.llm import quality_mil, quality_rules, toxicity
+from silvermart.llm import order_minhash, quality_mil, quality_rules, toxicity
 from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return order_minhash.compare_edits(documents(spark, sf_dir))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract(pages(spark, sf_dir)).select("page_id", "url", "text", "n_chars")
@@ -57,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_html_text": op2_html_text,
     "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
