@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.llm import order_minhash, quality_mil, quality_rules, toxicity
+from silvermart.llm import language_rnn, order_minhash, quality_mil, quality_rules, toxicity
 from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
@@ -23,6 +23,15 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages(spark, sf_dir)).select("page_id", "url", "text", "n_chars")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_rnn.train(docs)
+    return language_rnn.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance of every document to be of good quality."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -64,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_html_text": op2_html_text,
+    "op3_language": op3_language,
     "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
