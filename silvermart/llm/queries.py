@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.llm import language_rnn, order_minhash, quality_mil, quality_rules, toxicity
+from silvermart.llm import (
+    language_rnn,
+    order_minhash,
+    quality_mil,
+    quality_rules,
+    toxicity,
+    word_bpe,
+)
 from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
@@ -39,6 +46,25 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_mil.score(docs, model), "quality", 0.3)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they stand for, as digests."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = word_bpe.round_trip(docs, tokenizer_path())
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix; fragments are drawn less often than long texts."""
     mixed = mix(documents(spark, sf_dir), "doc_id", "text", "source", lean=by_length)
@@ -75,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
+    "op6_word_bpe": op6_word_bpe,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
