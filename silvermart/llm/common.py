@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space of the word rule, as code points and as a Java class.
 SPACES = "\t\n\x0b\x0c\r "
@@ -63,15 +64,32 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/silvermart-llm"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once to the shared folder and read back.
+class Scratch:
+    """Intermediate tables in the shared folder.
 
-    Later steps no longer depend on what computed them, so a lost executor costs a re-read.
+    What comes after a stored table no longer depends on what computed it, so a lost executor costs
+    a re-read. A table that is no longer needed can be emptied.
     """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        self.schemas: dict[str, T.StructType] = {}
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        self.schemas[name] = df.schema
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def discard(self, *names: str) -> None:
+        for name in names:
+            empty = self.spark.createDataFrame([], self.schemas[name])
+            empty.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once to the shared folder and read back."""
+    return Scratch(df.sparkSession).store("rows", df)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,6 +18,7 @@ from silvermart.llm import (
 from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.mixing import by_length, mix
+from silvermart.llm.substring_dedup import remove_repeats
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_mil.score(docs, model), "quality", 0.3)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated word sequences leave of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -101,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_word_bpe": op6_word_bpe,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
