@@ -17,6 +17,7 @@ from silvermart.llm import (
 )
 from silvermart.llm.common import documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
+from silvermart.llm.jaccard_join import link_documents
 from silvermart.llm.mixing import by_length, mix
 from silvermart.llm.substring_dedup import remove_repeats
 
@@ -92,6 +93,11 @@ def _scored(docs: DataFrame, column: str, threshold: float) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return link_documents(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance of every document to be toxic."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_word_bpe": op6_word_bpe,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
