@@ -1,16 +1,93 @@
-"""From raw documents to token ids: the stages of a training corpus, each on all the last one kept."""
+"""From raw documents to token ids: the stages of a training corpus, each on all the last one kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Each
+result is written before the next stage reads it, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from silvermart.llm import toxicity, word_bpe
+from silvermart.llm.common import Scratch, labels
+from silvermart.llm.jaccard_join import link_documents
+from silvermart.llm.mixing import by_length, mix
+from silvermart.llm.queries import tokenizer_path
+from silvermart.llm.substring_dedup import remove_repeats
+
+# From this chance on a document is toxic and goes.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold; NULL and empty texts stay."""
+    model = toxicity.train(docs, labels(spark, sf_dir))
+    scored = toxicity.score(docs, model, "__toxicity")
+    return scored.where(~toxicity.is_toxic(F.col("__toxicity"), TOXIC)).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each near-duplicate group, once.
+
+    Of rows with that id the one whose text has the least hash stays. Rows without an id are in no
+    group and stay.
+    """
+    linked = link_documents(docs)
+    first = linked.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__id"))
+    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text")
+    kept = rows.withColumn("__place", F.row_number().over(one)).where("__place = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; where word sequences repeat, the other words joined by one space."""
+    changed = F.col("n_removed") > 0
+    cut = remove_repeats(docs)
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    size = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, not at all or several times."""
+    mixed = mix(docs, "doc_id", "text", "source", lean=by_length).where("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return mixed.select(*docs.columns, times.alias("__copy")).select(*docs.columns)
+
+
+def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of the text they stand for."""
+    coded = word_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_each_group),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("word_bpe", to_ids),
+]
 
+# The trained scores, the draw and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch, before = Scratch(spark), None
+    for name, stage in STAGES:
+        docs = scratch.store(name, stage(spark, docs, sf_dir))
+        if before:
+            scratch.discard(before)
+        before = name
     return docs

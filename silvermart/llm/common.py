@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +94,34 @@ def stored(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).store("rows", df)
 
 
+def add_columns(
+    df: DataFrame,
+    fields: list[T.StructField],
+    compute: Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]],
+    without: tuple[str, ...] = (),
+) -> DataFrame:
+    """`df` with columns computed in tasks, batch by batch; those of the same names are replaced.
+
+    `compute` gives slices of a batch with the new columns. The other columns pass through as they
+    are, NULLs and all; those of `without` are read and then left out.
+    """
+    new = {f.name for f in fields}
+    read = [c for c in df.columns if c not in new]
+    kept = [c for c in read if c not in without]
+    source = df.select(*[F.col(f"`{c}`") for c in read])
+    schema = T.StructType([*[f for f in source.schema if f.name in kept], *fields])
+    names = [*kept, *[f.name for f in fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, arrays in compute(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], *arrays], names=names
+                )
+
+    return source.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows no model learns from: crc32 of the id as text, a fifth of all; NULL ids as well."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -13,12 +13,13 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from silvermart.llm.common import add_columns
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -303,31 +304,15 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_column: str = "html", text_column: str = "text") -> DataFrame:
-    """`pages` with the main text and its length in code points added.
+    """`pages` with the main text and its length in code points in place of the html.
 
     Pages that are NULL, empty or without an article give an empty text and 0. Each row is read by
     itself, so repeated rows give repeated results; columns of the same names are replaced.
     """
-    kept = pages.select(
-        *[
-            F.col(f"`{c}`")
-            for c in pages.columns
-            if c not in (html_column, text_column, "n_chars")
-        ],
-        F.col(f"`{html_column}`").alias(html_column),
-    )
-    rest = [c for c in kept.columns if c != html_column]
-    schema = kept.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.lit("").alias(text_column),
-        F.lit(0).cast("long").alias("n_chars"),
-    ).schema
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(page) for page in batch[html_column]]
-            yield batch[rest].assign(
-                **{text_column: texts, "n_chars": [len(t) for t in texts]}
-            )
-
-    return kept.mapInPandas(read, schema)
+
+    def read(batch: pa.RecordBatch):
+        texts = [main_text(page) for page in batch.column(html_column).to_pylist()]
+        yield batch, [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+
+    fields = [T.StructField(text_column, T.StringType()), T.StructField("n_chars", T.LongType())]
+    return add_columns(pages, fields, read, without=(html_column,))

@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from silvermart.llm.common import held_out, uniform
+from silvermart.llm.common import add_columns, held_out, uniform
 from silvermart.llm.spans import slices
 
 PIECE = 48
@@ -274,12 +276,10 @@ def identify(
     NULL texts and texts without a letter, or a model that has learned nothing, give `UNKNOWN` and 0.
     Rows are read one by one, so repeated rows get equal results; an empty table stays empty.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (language, chance)])
-    schema = kept.withColumn(language, F.lit("")).withColumn(chance, F.lit(0.0)).schema
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, chances = model.predict(list(batch["text"]))
-            yield batch.assign(**{language: names, chance: chances})
+    def read(batch: pa.RecordBatch):
+        names, chances = model.predict(batch.column("text").to_pylist())
+        yield batch, [pa.array(names, pa.string()), pa.array(chances, pa.float64())]
 
-    return kept.mapInPandas(read, schema)
+    fields = [T.StructField(language, T.StringType()), T.StructField(chance, T.DoubleType())]
+    return add_columns(docs, fields, read)

@@ -74,107 +74,134 @@ def pareto_rank(draw: Column, inclusion: Column) -> Column:
     return odds / (1 + odds)
 
 
-def mix(
-    rows: DataFrame,
-    id_column: str,
-    text_column: str,
-    source_column: str,
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = SHARE,
-    most_copies: int = MOST_COPIES,
-    lean: Callable[[Column], Column] | None = None,
-    seed: int = 7,
-    bins: int = BINS,
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
-
-    The chance of a document is the share of its source that is still missing, tilted by `lean`,
-    a positive weight computed from the size (by default nothing is tilted). The sources are the
-    mix's configuration: their sizes, one number per source, are the only thing the driver holds.
-
-    NULL or empty texts have size 0 and take nothing; rows without a source form the source NULL;
-    repeated rows are drawn each for itself, equal ones in any order, with the same result; an
-    empty table gives an empty result; other columns are ignored.
-    """
+def _sized(rows: DataFrame, id_column: str, text_column: str, source_column: str, seed: int):
+    """What the mix needs of every row: its source, its size and its random number."""
     text, doc = F.col(f"`{text_column}`"), F.col(f"`{id_column}`")
-    sized = stored(
-        rows.select(
-            doc.alias("doc_id"),
-            F.col(f"`{source_column}`").alias("source"),
-            word_count(text).alias("size"),
-            uniform(doc, F.coalesce(F.xxhash64(text), F.lit(0)), seed=seed).alias("draw"),
-        )
+    return rows.withColumns(
+        {
+            "__source": F.col(f"`{source_column}`"),
+            "__size": word_count(text),
+            "__draw": uniform(doc, F.coalesce(F.xxhash64(text), F.lit(0)), seed=seed),
+        }
     )
-    sums = {
-        r.source: r.words
-        for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()
-    }
-    wanted = targets(sums, weights, share, most_copies)
-    plan = sized.sparkSession.createDataFrame(
-        [
-            (s, sums[s], wanted[s], int(wanted[s] // sums[s]) if sums[s] else 0)
-            for s in wanted
-        ],
-        "source string, source_size long, target double, certain int",
-    ).withColumn("missing", F.col("target") - F.col("certain") * F.col("source_size"))
 
+
+def _ranked(sized: DataFrame, plan: DataFrame, lean, bins: int) -> DataFrame:
+    """Adds the source's plan, the rank of each row and the bin it falls in."""
     # One row per source, the mix's configuration.
-    planned = sized.withColumnRenamed("source", "of").join(
-        F.broadcast(plan), F.col("of").eqNullSafe(F.col("source"))
-    ).drop("of")
+    planned = sized.join(F.broadcast(plan), F.col("__source").eqNullSafe(F.col("source_key")))
     chance = F.col("missing") / F.greatest(F.col("source_size"), F.lit(1))
     if lean is not None:
-        chance = chance * lean(F.col("size"))
+        chance = chance * lean(F.col("__size"))
     bounded = F.least(F.greatest(chance, F.lit(1e-9)), F.lit(1 - 1e-9))
-    ranked = planned.withColumn("rank", pareto_rank(F.col("draw"), bounded)).withColumn(
-        "bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("int")
+    rank = pareto_rank(F.col("__draw"), bounded)
+    return planned.withColumn("__rank", rank).withColumn(
+        "__bin", F.least(F.floor(F.col("__rank") * bins), F.lit(bins - 1)).cast("int")
     )
-    drawn = (F.col("size") > 0) & (F.col("missing") > 0)
+
+
+def plan_mix(
+    sized: DataFrame,
+    weights: tuple[int, ...],
+    share: float,
+    most_copies: int,
+    lean: Callable[[Column], Column] | None,
+    bins: int,
+) -> DataFrame:
+    """One row per source: sizes, target, certain copies and the last rank that is still drawn."""
+    spark = sized.sparkSession
+    sums = {
+        r["__source"]: r["words"]
+        for r in sized.groupBy("__source").agg(F.sum("__size").alias("words")).collect()
+    }
+    wanted = targets(sums, weights, share, most_copies)
+    plan = spark.createDataFrame(
+        [(s, sums[s], t, int(t // sums[s]) if sums[s] else 0) for s, t in wanted.items()],
+        "source_key string, source_size long, target double, certain int",
+    ).withColumn("missing", F.col("target") - F.col("certain") * F.col("source_size"))
 
     # At most `bins` rows per source.
-    upto = Window.partitionBy("source").orderBy("bin")
-    per_bin = (
-        ranked.where(drawn)
-        .groupBy("source", "bin")
-        .agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-        .withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    )
+    drawn = _ranked(sized, plan, lean, bins).where("__size > 0 and missing > 0")
+    upto = Window.partitionBy("source_key").orderBy("__bin")
     edges = (
-        per_bin.where((F.col("before") < F.col("missing")))
-        .groupBy("source")
-        .agg(F.max_by(F.struct("bin", "before"), "bin").alias("edge"))
+        drawn.groupBy("source_key", "__bin")
+        .agg(F.sum("__size").alias("words"), F.first("missing").alias("missing"))
+        .withColumn("before", F.sum("words").over(upto) - F.col("words"))
+        .where("before < missing")
+        .groupBy("source_key")
+        .agg(F.max_by(F.struct("__bin", "before"), "__bin").alias("edge"))
         .select(
-            F.col("source").alias("edge_source"),
-            F.col("edge.bin").alias("edge_bin"),
+            F.col("source_key").alias("edge_source"),
+            F.col("edge.__bin").alias("edge_bin"),
             F.col("edge.before").alias("edge_before"),
         )
     )
-    marked = ranked.join(
-        F.broadcast(edges), F.col("source").eqNullSafe(F.col("edge_source")), "left"
-    ).drop("edge_source")
-    inside = drawn & (F.col("bin") == F.col("edge_bin"))
-
     # Inside the last bin: whole documents while the middle of the next one is still below.
-    in_order = Window.partitionBy("source", "edge_bin").orderBy("rank", "doc_id", "size")
-    last = (
-        marked.where(inside)
-        .withColumn(
-            "reached",
-            F.col("edge_before")
-            + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+    in_order = Window.partitionBy("source_key").orderBy("__rank", "__size")
+    upto_row = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    cuts = (
+        drawn.join(
+            F.broadcast(edges),
+            F.col("source_key").eqNullSafe(F.col("edge_source"))
+            & (F.col("__bin") == F.col("edge_bin")),
         )
-        .withColumn("extra", (F.col("reached") - F.col("size") / 2 < F.col("missing")).cast("int"))
-        .drop("reached")
+        .withColumn("reached", F.col("edge_before") + F.sum("__size").over(upto_row))
+        .groupBy("source_key")
+        .agg(
+            F.first("edge_bin").alias("last_bin"),
+            F.max(
+                F.when(
+                    F.col("reached") - F.col("__size") / 2 < F.col("missing"), F.col("__rank")
+                )
+            ).alias("last_rank"),
+        )
+        .withColumnRenamed("source_key", "cut_source")
     )
-    rest = marked.where(~F.coalesce(inside, F.lit(False))).withColumn(
-        "extra", F.coalesce((drawn & (F.col("bin") < F.col("edge_bin"))).cast("int"), F.lit(0))
+    # As few rows as there are sources.
+    return plan.join(
+        F.broadcast(cuts), F.col("source_key").eqNullSafe(F.col("cut_source")), "left"
+    ).drop("cut_source")
+
+
+def mix(
+    rows: DataFrame,
+    id_column: str,
+    text_column: str,
+    source_column: str,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most_copies: int = MOST_COPIES,
+    lean: Callable[[Column], Column] | None = None,
+    seed: int = 7,
+    bins: int = BINS,
+) -> DataFrame:
+    """`rows` with what each gives to the mix: size, source_size, target, copies, taken.
+
+    The chance of a document is the share of its source that is still missing, tilted by `lean`,
+    a positive weight computed from the size (by default nothing is tilted). The sources are the
+    mix's configuration: their sizes, one number per source, are the only thing the driver holds.
+    The rows themselves are not shuffled; what decides is a plan with one row per source.
+
+    NULL or empty texts have size 0 and give nothing; rows without a source form the source NULL;
+    repeated rows have equal ranks and are drawn alike; an empty table gives an empty result;
+    columns of the added names are replaced, other columns stay.
+    """
+    added = ("size", "source_size", "target", "copies", "taken")
+    names = [F.col(f"`{c}`") for c in rows.columns if c not in added]
+    sized = _sized(rows.select(*names), id_column, text_column, source_column, seed)
+    inner = ["__source", "__size", "__draw"]
+    plan = plan_mix(stored(sized.select(*inner)), weights, share, most_copies, lean, bins)
+    last = F.coalesce(F.col("last_bin"), F.lit(-1))
+    extra = (F.col("__bin") < last) | (
+        (F.col("__bin") == last) & (F.col("__rank") <= F.coalesce("last_rank", F.lit(-1.0)))
     )
-    return rest.unionByName(last).select(
-        "doc_id",
-        "source",
-        "size",
+    drawn = (F.col("__size") > 0) & (F.col("missing") > 0) & extra
+    copies = F.col("certain") + drawn.cast("int")
+    return _ranked(sized, plan, lean, bins).select(
+        *names,
+        F.col("__size").alias("size"),
         "source_size",
         "target",
-        (F.col("certain") + F.col("extra")).alias("copies"),
-        ((F.col("certain") + F.col("extra")) * F.col("size")).alias("taken"),
+        copies.alias("copies"),
+        (copies * F.col("__size")).alias("taken"),
     )

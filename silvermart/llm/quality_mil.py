@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from silvermart.llm.common import add_columns
 from silvermart.llm.spans import slices, windows, words
 from silvermart.llm.toxicity import labelled
 
@@ -204,11 +206,10 @@ def score(docs: DataFrame, model: Model, column: str = "quality") -> DataFrame:
     NULL and empty texts are one empty passage and get its score; rows are scored one by one, so
     repeated rows get equal scores; an empty table stays empty.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != column])
-    schema = kept.withColumn(column, F.lit(0.0)).schema
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{column: model.scores(list(batch["text"]))})
+    def read(batch: pa.RecordBatch):
+        scores = model.scores(batch.column("text").to_pylist())
+        yield batch, [pa.array(scores, pa.float64())]
+
+    return add_columns(docs, [T.StructField(column, T.DoubleType())], read)
 
-    return kept.mapInPandas(read, schema)

@@ -27,8 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from silvermart.llm.common import Scratch
+from silvermart.llm.common import Scratch, add_columns
 from silvermart.llm.spans import _BACK, _STEP, U, _power, mixed, slices, windows, words
 
 LEAST = 35
@@ -326,17 +327,8 @@ def _reference(kinds: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _cut(rows: DataFrame, names: list[str], text_column: str, least: int) -> DataFrame:
+def _cut(rows: DataFrame, text_column: str, least: int) -> DataFrame:
     """What the removed windows leave of every text; `__runs` says which windows repeat."""
-    schema = (
-        rows.select(*[F.col(f"`{c}`") for c in names])
-        .withColumn("n_words", F.lit(0).cast("long"))
-        .withColumn("n_removed", F.lit(0).cast("long"))
-        .withColumn("spans", F.array().cast("array<struct<from:bigint,to:bigint>>"))
-        .withColumn("kept", F.lit(""))
-        .schema
-    )
-
     def cut(text: str | None, own) -> tuple[int, int, list[dict], str]:
         split = _WORD.findall(text) if text else []
         if own is None or not len(own):
@@ -353,16 +345,21 @@ def _cut(rows: DataFrame, names: list[str], text_column: str, least: int) -> Dat
         kept = " ".join([w for w, g in zip(split, gone) if not g])
         return len(split), int(gone.sum()), spans, kept
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [cut(t, own) for t, own in zip(batch[text_column], batch["__runs"])]
-            columns = dict(zip(("n_words", "n_removed", "spans", "kept"), map(list, zip(*found))))
-            yield batch[names].assign(**columns) if found else batch[names].assign(
-                n_words=0, n_removed=0, spans=[], kept=""
-            )
-
-    kept = [F.col(f"`{c}`") for c in names]
-    return rows.select(*kept, F.col("__runs")).mapInPandas(read, schema)
+    def read(batch: pa.RecordBatch):
+        texts, own = batch.column(text_column).to_pylist(), batch.column("__runs").to_pylist()
+        found = [cut(t, r) for t, r in zip(texts, own)]
+        span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        kinds = (pa.int64(), pa.int64(), span, pa.string())
+        yield batch, [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
+
+    span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
+    fields = [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("spans", T.ArrayType(span)),
+        T.StructField("kept", T.StringType()),
+    ]
+    return add_columns(rows, fields, read, without=("__runs", "__doc", "__part"))
 
 
 def remove_repeats(
@@ -424,4 +421,4 @@ def remove_repeats(
         )
     )
     rows = docs.select(*[F.col(f"`{c}`") for c in names], *key)
-    return _cut(rows.join(removed, ["__doc", "__part"], "left"), names, text_column, least)
+    return _cut(rows.join(removed, ["__doc", "__part"], "left"), text_column, least)

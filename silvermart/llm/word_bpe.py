@@ -14,16 +14,16 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from silvermart.llm.common import add_columns
 from silvermart.llm.spans import slices
 
 # The table is emptied when it holds this many words; memory stays bounded, results are the same.
@@ -52,6 +52,13 @@ def tokenizer(path: str):
 _tokenizers: dict = {}
 
 
+@cache
+def pieces_of(path: str) -> list[str | None]:
+    """The piece of every id."""
+    known = tokenizer(path)
+    return [known.id_to_token(i) for i in range(known.get_vocab_size(with_added_tokens=True))]
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies.
 
@@ -123,30 +130,15 @@ class WordTable:
         return self.ids[at], np.r_[0, text_end]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded text size."""
-    for batch in batches:
-        values = batch.column(column)
-        if pa.types.is_list(values.type):
-            sizes = [8 * n for n in pc.fill_null(pc.list_value_length(values), 0).to_pylist()]
-        else:
-            sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
-        for a, b in slices([s + 1 for s in sizes], BATCH_CHARS):
-            yield batch.slice(a, b - a)
-
-
-def _with_column(docs: DataFrame, column: str, kind: T.DataType, read) -> DataFrame:
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != column])
-    schema = T.StructType([*kept.schema.fields, T.StructField(column, kind)])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in read(batches):
-            yield pa.RecordBatch.from_arrays(
-                [*(c.cast(t) for c, t in zip(batch.columns, arrow.types)), values], schema=arrow
-            )
-
-    return kept.mapInArrow(run, schema)
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        sizes = [8 * n for n in pc.fill_null(pc.list_value_length(values), 0).to_pylist()]
+    else:
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    for a, b in slices([s + 1 for s in sizes], BATCH_CHARS):
+        yield batch.slice(a, b - a)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -155,13 +147,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     NULL and empty texts have no ids; repeated rows get equal ids; an empty table stays empty.
     """
 
-    def read(batches: Iterator[pa.RecordBatch]):
-        table = WordTable(path)
-        for batch in _batches(batches, text):
-            flat, starts = table.encode(batch.column(text).to_pylist())
-            yield batch, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
+    tables: list[WordTable] = []
+
+    def read(batch: pa.RecordBatch):
+        if not tables:
+            tables.append(WordTable(path))
+        for part in _parts(batch, text):
+            flat, starts = tables[0].encode(part.column(text).to_pylist())
+            yield part, [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))]
 
-    return _with_column(docs, ids, T.ArrayType(T.IntegerType()), read)
+    return add_columns(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))], read)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -170,28 +165,26 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     NULL and empty lists give an empty text; ids outside the vocabulary give nothing.
     """
 
-    def read(batches: Iterator[pa.RecordBatch]):
+    def read(batch: pa.RecordBatch):
         known = tokenizer(path)
-        size = known.get_vocab_size(with_added_tokens=True)
-        pieces = [known.id_to_token(i) for i in range(size)]
-        joined = known.decoder is None
-        for batch in _batches(batches, ids):
-            column = batch.column(ids)
+        pieces = pieces_of(path)
+        size, joined = len(pieces), known.decoder is None
+        for part in _parts(batch, ids):
+            column = part.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(column.offsets.to_numpy())
-            if column.null_count:
-                sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             found = []
             for a, b in zip(ends - sizes, ends):
+                mine = flat[a:b].tolist()
                 if joined:
-                    mine = [pieces[i] for i in flat[a:b].tolist() if 0 <= i < size]
-                    found.append(" ".join([p for p in mine if p is not None]))
+                    named = [pieces[i] for i in mine if 0 <= i < size]
+                    found.append(" ".join([p for p in named if p is not None]))
                 else:
-                    found.append(known.decode(flat[a:b].tolist(), skip_special_tokens=False))
-            yield batch, pa.array(found, pa.string())
+                    found.append(known.decode(mine, skip_special_tokens=False))
+            yield part, [pa.array(found, pa.string())]
 
-    return _with_column(docs, text, T.StringType(), read)
+    return add_columns(docs, [T.StructField(text, T.StringType())], read)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
