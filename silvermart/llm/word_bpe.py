@@ -27,8 +27,8 @@ from silvermart.llm.common import add_columns
 from silvermart.llm.spans import slices
 
 # The table is emptied when it holds this many words; memory stays bounded, results are the same.
-MOST_WORDS = 300_000
-BATCH_CHARS = 1 << 20
+MOST_WORDS = 200_000
+BATCH_CHARS = 1 << 19
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Letters that no normal form changes, then marks that start no contraction and no special piece:

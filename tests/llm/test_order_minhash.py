@@ -1,0 +1,76 @@
+from __future__ import annotations
+
+import hashlib
+
+from silvermart.llm.order_minhash import SKETCHES, add_fingerprint, compare_edits, likeness
+from tests.llm.conftest import SMALL, table
+from pyspark.sql import functions as F
+
+
+def test_edits_and_neighbours(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in table("documents")}
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    got = {
+        r.doc_id: r
+        for r in compare_edits(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    }
+    assert set(got) == set(texts)
+    by_text: dict[str, str] = {}
+    for doc, text in texts.items():
+        third = len(text) // 3
+        edited = text[: len(text) - third] + texts[after[doc]][:third]
+        row, other = got[doc], got[after[doc]]
+        assert row.n_chars == len(text)
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert by_text.setdefault(text, row.fingerprint) == row.fingerprint
+        assert by_text.setdefault(edited, row.edited_fingerprint) == row.edited_fingerprint
+
+        def alike(a: str, b: str) -> float:
+            return sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / SKETCHES
+
+        assert abs(row.near_edited - alike(row.fingerprint, row.edited_fingerprint)) < 1e-9
+        assert abs(row.near_next - alike(row.fingerprint, other.fingerprint)) < 1e-9
+    assert sum(r.near_edited for r in got.values()) > 5 * sum(r.near_next for r in got.values())
+
+
+def test_order_counts(spark):
+    words = [f"w{i}" for i in range(200)]
+    swapped = words[100:] + words[:100]
+    shuffled = words[::-1]
+    rows = spark.createDataFrame(
+        [(" ".join(words), " ".join(swapped), " ".join(shuffled))], "a string, b string, c string"
+    )
+    for name in "abc":
+        rows = add_fingerprint(rows, name, f"f{name}")
+    near = rows.select(
+        likeness(F.col("fa"), F.col("fb")).alias("swapped"),
+        likeness(F.col("fa"), F.col("fc")).alias("reversed"),
+    ).first()
+    assert near.reversed < near.swapped < 0.8
+
+
+def test_repeated_kmers_are_told_apart(spark):
+    rows = spark.createDataFrame([("a b " * 5, "a b " * 50)], "a string, b string")
+    rows = add_fingerprint(add_fingerprint(rows, "a", "fa"), "b", "fb")
+    assert rows.select(likeness(F.col("fa"), F.col("fb"))).first()[0] < 0.8
+
+
+def test_odd_rows(docs):
+    got = compare_edits(
+        docs((1, None), (2, ""), (3, "word"), (3, "word"), (None, "x y z"), (9, "long " * 4000))
+    ).collect()
+    assert len(got) == 6
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    one = next(r for r in got if r.doc_id == 1)
+    two = next(r for r in got if r.doc_id == 2)
+    assert one.fingerprint == two.fingerprint and two.near_next == 1.0 and two.near_edited == 1.0
+    assert compare_edits(docs((1, "x")).limit(0)).count() == 0
+    alone = compare_edits(docs((5, "abcdef"))).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1.0
+
+
+def test_main_path_is_native(spark):
+    plan = compare_edits(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    text = plan._jdf.queryExecution().toString()
+    assert "Python" not in text and "Pandas" not in text and "Arrow" not in text

@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+from silvermart.llm.quality_rules import judge
+from tests.llm.conftest import LARGER, table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base(text: str) -> tuple:
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered: set[int] = set()
+    for i in range(len(words) - 4):
+        if windows[tuple(words[i : i + 5])] > 1:
+            covered.update(range(i, i + 5))
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    symbols = sum(text.count(c) for c in "#*$%&|<>")
+    return (
+        len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), failed
+    )
+
+
+def test_base_counts_and_verdicts(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in table("documents", LARGER)}
+    marks = {r["doc_id"]: r["quality"] for r in table("labels", LARGER)}
+    got = judge(spark.read.parquet(f"{LARGER}/documents.parquet")).collect()
+    assert len(got) == len(texts)
+    verdicts: dict = {}
+    for r in got:
+        found = (
+            r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed
+        )
+        assert found == base(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+        if r.n_words >= 100 and not r.base_failed and r.doc_id in marks:
+            verdicts.setdefault(marks[r.doc_id], []).append(r.kept)
+    assert sum(verdicts[1]) >= 0.98 * len(verdicts[1])
+    assert sum(verdicts[0]) <= 0.1 * len(verdicts[0])
+
+
+def test_odd_rows(docs):
+    prose = "the cat and the dog went to the house of the man. "
+    texts = {
+        1: None, 2: "", 3: " \n\t ", 4: "a b", 5: "x " * 30, 6: "\n".join(["same line"] * 3),
+        7: "é\x0bü " + " ".join(f"w{i}" for i in range(40)),
+        8: " ".join(f"{prose} {i}" for i in range(200)),
+    }
+    rows = [(k, t, "en" if k % 2 else None) for k, t in texts.items()]
+    got = judge(docs(*rows, rows[6], (None, "a <b> & c", "en")))
+    by_id: dict = {}
+    for r in got.collect():
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert len(by_id[7]) == 2 and by_id[7][0] == by_id[7][1]
+    assert by_id[None][0].n_symbols == 3
+    for k, text in texts.items():
+        r = by_id[k][0]
+        assert (
+            r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed
+        ) == base(text or "")
+
+
+def test_without_references_and_rows(docs):
+    plain = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(200))
+    assert judge(docs((1, plain))).first().kept is True
+    assert judge(docs((1, plain)).limit(0)).count() == 0
+
+
+def test_main_path_is_native(spark):
+    plan = judge(spark.read.parquet(f"{LARGER}/documents.parquet"))
+    text = plan._jdf.queryExecution().toString()
+    assert "Python" not in text and "Pandas" not in text
