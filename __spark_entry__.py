@@ -59,6 +59,18 @@ def _full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stringify_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of up to eleven digits as text."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return stringify(
+        orders.select(
+            F.col("o_orderkey").alias("order_key"),
+            (F.round(F.col("o_totalprice")) * 100000).alias("amount"),
+            (F.round(F.col("o_totalprice")) * 100000 + 0.5).alias("half"),
+        )
+    )
+
+
 def _column(name: str):
     return trim_all(F.col(f"`{name}`"))
 
@@ -205,6 +217,7 @@ def queries() -> dict[str, Query]:
         "stringify_customer": lambda spark, sf_dir: stringify(
             spark.read.parquet(f"{sf_dir}/customer.parquet")
         ),
+        "stringify_amounts": _stringify_amounts,
         # cleaning
         "clean_orders": _on(_base),
         "clean_returns": _on(lambda w: layer.clean_returns(w.raw["Returns"])),
@@ -227,6 +240,11 @@ def queries() -> dict[str, Query]:
         "flag_returns": _on(_flag_returns),
         "dedup_exact": _on(lambda w: _base(w).distinct()),
         "trusted_orders": _on(_trusted),
+        "trusted_orders_shuffled": _on(
+            lambda w: layer.trusted_orders(
+                w.raw["Orders"], w.raw["Returns"], w.raw["People"], w.scratch, shuffled=True
+            )
+        ),
         "one_manager_per_region": _on(
             lambda w: layer.one_manager_per_region(layer.clean_people(w.raw["People"]))
         ),
@@ -237,6 +255,9 @@ def queries() -> dict[str, Query]:
         "dim_shipping": _on(lambda w: star.dim_shipping(w.trusted, w.scratch)),
         "dim_date": _on(lambda w: star.dim_date(w.trusted)),
         "fact_orders": _on(lambda w: star.fact_orders(w.trusted, w.dims, w.scratch)),
+        "fact_orders_shuffled": _on(
+            lambda w: star.fact_orders(w.trusted, w.dims, w.scratch, shuffled=True)
+        ),
         # checks of the raw feed
         "check_category_conflict": _conflict(checks.category_conflict),
         "check_customer_conflict": _conflict(checks.customer_conflict),
@@ -265,6 +286,7 @@ def queries() -> dict[str, Query]:
         "check_sales_faithful": _on(lambda w: checks.sales_faithful(w.trusted, w.fact)),
         "check_sales_by_order": _on(lambda w: checks.sales_by_order(w.trusted, w.fact)),
         "check_sales_total": _on(lambda w: checks.sales_total(w.trusted, w.fact)),
+        "check_money_range": _on(lambda w: checks.money_range(w.trusted, w.fact)),
         "check_unique_customer_key": _dim(checks.unique_customer_key, "dim_customer"),
         "check_unique_product_key": _dim(checks.unique_product_key, "dim_product"),
         "check_unique_geography_key": _dim(checks.unique_geography_key, "dim_geography"),

@@ -42,7 +42,7 @@ def region(column: str) -> str:
 
 
 def total(column: str) -> str:
-    return f"sum(CAST({column} AS DECIMAL(28,4)))"
+    return f"sum(TRY_CAST({column} AS DECIMAL(30,8)))"
 
 
 def as_money(expression: str) -> str:
@@ -359,6 +359,11 @@ def parts() -> dict[str, tuple[str, ...]]:
         "raw_orders": ("SELECT * FROM raw_orders", "raw_orders"),
         "raw_returns": ("SELECT * FROM raw_returns", "raw_returns"),
         "raw_people": ("SELECT * FROM raw_people", "raw_people"),
+        "stringify_amounts": (
+            """SELECT CAST(o_orderkey AS VARCHAR) AS order_key,
+      CAST(round(o_totalprice) * 100000 AS VARCHAR) AS amount,
+      CAST(round(o_totalprice) * 100000 + 0.5 AS VARCHAR) AS half FROM orders""",
+        ),
         "stringify_customer": (
             """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
       CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
@@ -435,6 +440,7 @@ def parts() -> dict[str, tuple[str, ...]]:
         ),
         "dedup_exact": ("SELECT DISTINCT * FROM base", "base"),
         "trusted_orders": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
+        "trusted_orders_shuffled": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
         "one_manager_per_region": (
             "SELECT region, min(regional_manager) AS regional_manager FROM people GROUP BY region",
             "people",
@@ -446,6 +452,7 @@ def parts() -> dict[str, tuple[str, ...]]:
         "dim_shipping": ("SELECT * FROM dim_shipping", "dim_shipping"),
         "dim_date": ("SELECT * FROM dim_date", "dim_date"),
         "fact_orders": ("SELECT * FROM fact", "fact"),
+        "fact_orders_shuffled": ("SELECT * FROM fact", "fact"),
         # checks of the raw feed
         "check_category_conflict": conflicts(
             "Product ID", "Category", 'trim(upper("Category"))', "product_id"
@@ -532,8 +539,18 @@ def parts() -> dict[str, tuple[str, ...]]:
             "fact",
         ),
         "check_sales_total": (
-            f"""{SALES} FROM (SELECT {total("sales")} AS t FROM trusted),
-      (SELECT {total("sales")} AS f FROM fact)""",
+            f"""{SALES} FROM (SELECT coalesce({total("sales")}, 0) AS t FROM trusted),
+      (SELECT coalesce({total("sales")}, 0) AS f FROM fact)""",
+            "fact",
+        ),
+        "check_money_range": (
+            " UNION ALL ".join(
+                f"""SELECT '{name}' AS table_name,
+      count(*) FILTER (sales IS NOT NULL AND TRY_CAST(sales AS DECIMAL(30,8)) IS NULL) AS sales_beyond,
+      count(*) FILTER (profit IS NOT NULL AND TRY_CAST(profit AS DECIMAL(30,8)) IS NULL)
+        AS profit_beyond FROM {table} GROUP BY 1"""
+                for name, table in (("trusted_orders", "trusted"), ("fact_orders", "fact"))
+            ),
             "fact",
         ),
         "check_unique_customer_key": repeated("dim_customer", "customer_key"),
@@ -585,7 +602,7 @@ def parts() -> dict[str, tuple[str, ...]]:
         # reports
         "bi_margin_by_category": (
             f"""SELECT category, {as_money("sum(s)")} AS sales, {as_money("sum(p)")} AS profit,
-      CASE WHEN sum(s) <> 0 THEN {as_money("sum(p)")} / {as_money("sum(s)")} END AS profit_margin
+      CASE WHEN sum(s) <> 0 THEN CAST(sum(p) AS DOUBLE) / CAST(sum(s) AS DOUBLE) END AS profit_margin
     FROM product_sales GROUP BY category""",
             "product_sales",
         ),
@@ -600,14 +617,14 @@ def parts() -> dict[str, tuple[str, ...]]:
         "bi_monthly_sales": (
             f"""SELECT year_month, {as_money(total("sales"))} AS sales,
       {as_money(total("profit"))} AS profit, count(*) AS lines
-    FROM fact JOIN dim_date ON date_key = order_date_key GROUP BY year_month""",
+    FROM fact LEFT JOIN dim_date ON date_key = order_date_key GROUP BY year_month""",
             "fact",
             "dim_date",
         ),
         "bi_half_year_sales": (
-            f"""SELECT year, CASE WHEN month_number <= 6 THEN 'H1' ELSE 'H2' END AS half,
-      {as_money(total("sales"))} AS sales, count(*) AS lines
-    FROM fact JOIN dim_date ON date_key = order_date_key GROUP BY 1, 2""",
+            f"""SELECT year, CASE WHEN month_number <= 6 THEN 'H1' WHEN month_number > 6 THEN 'H2' END
+      AS half, {as_money(total("sales"))} AS sales, count(*) AS lines
+    FROM fact LEFT JOIN dim_date ON date_key = order_date_key GROUP BY 1, 2""",
             "fact",
             "dim_date",
         ),
@@ -628,7 +645,7 @@ LISTINGS = [
     "category_conflict", "customer_conflict", "product_conflict", "unique_customer_key",
     "unique_product_key", "unique_geography_key", "unique_shipping_key", "unique_date_key",
     "natural_key_customer", "natural_key_product", "natural_key_geography",
-    "dropped_by_star_join",
+    "dropped_by_star_join", "sales_by_order",
 ]
 INFORMATIVE = ["nan_profile", "valid_subcategory"]
 ORPHANS = ["customers", "geography", "products", "shipping", "dates"]
@@ -656,6 +673,8 @@ def summary(known: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
         "count(*) FILTER (TRY_CAST(quantity AS DOUBLE) < 0)",
         "count(*) FILTER (TRY_CAST(quantity AS DOUBLE) < 0) = 0",
     )
+    beyond = "count(*) FILTER (sales_beyond > 0 OR profit_beyond > 0)"
+    add("money_range", "money_range", "'rows'", beyond, f"{beyond} = 0")
     add("fact_nulls", "fact_nulls", "'total_rows'", "total_rows", "NULL::BOOLEAN")
     for c in ("null_order_dates", "null_ship_dates", "negative_delivery_days", "null_discounts"):
         add("fact_nulls", "fact_nulls", f"'{c}'", c, f"{c} = 0")

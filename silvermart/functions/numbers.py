@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 # The marks that money columns carry around the digits.
 MONEY_MARKS = "$,"
 
-# Sums of money run over this type: the result does not depend on the order of the rows.
-EXACT_TYPE = "decimal(28,4)"
+# Sums of money run over this type: the result does not depend on the order of the rows. Eight
+# digits behind the point hold every amount as it was written; what lies beyond the type's range
+# is left out of the sums and counted by the check of the money range.
+EXACT_TYPE = "decimal(30,8)"
+
+# From here on a double has no cents.
+WHOLE_FROM = float(1 << 53)
 
 
 def parse_number(c: Column) -> Column:
@@ -38,11 +43,18 @@ def round_cents(c: Column) -> Column:
     """Two digits, ties away from zero, computed on the double itself.
 
     Spark's round() goes through the decimal text: 0.285 would become 0.29 where binary
-    arithmetic gives 0.28.
+    arithmetic gives 0.28. Where the double itself has no cents any more it stays as it is.
     """
-    return F.signum(c) * F.floor(F.abs(c) * 100 + 0.5) / 100
+    cents = F.abs(c) * 100
+    rounded = F.signum(c) * F.floor(F.when(cents < WHOLE_FROM, cents) + 0.5) / 100
+    return F.when(cents >= WHOLE_FROM, c).otherwise(rounded)
 
 
 def exact(c: Column) -> Column:
-    """Money as decimal, for sums."""
-    return c.cast(EXACT_TYPE)
+    """Money as decimal, for sums; NULL beyond the type's range."""
+    return c.try_cast(EXACT_TYPE)
+
+
+def beyond_exact(c: Column) -> Column:
+    """Whether an amount is there but beyond the range of the sums."""
+    return c.isNotNull() & exact(c).isNull()

@@ -3,14 +3,14 @@
 A lookup is written first, so its size is known before the join is planned:
 
 * below the session's broadcast threshold it is broadcast, and the wide side does not move;
-* above it, the wide side is shuffled by the key. A key that holds a large share of the rows
-  would end up in one task, so the few heavy keys are taken out and answered by a broadcast of
-  their lookup rows, and the rows that need no partner any more (heavy or NULL key) get a spread
-  number that scatters them over all tasks instead of piling them up.
+* above it, both sides are shuffled by the key. A key with more rows than one task should get is
+  hot: its rows are dealt over as many salts as it holds such shares, and its lookup rows are
+  repeated once per salt. Rows with a NULL key need no partner and are dealt by their row number.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,15 +21,11 @@ from pyspark.sql import functions as F
 
 from silvermart.sources.store import TableStore, row_bytes
 
-# A key is heavy when it holds more than one HEAVY_SHARE-th of all rows: fewer than HEAVY_SHARE
-# keys can, whatever the size of the data.
-HEAVY_SHARE = 1024
-# Rows of heavy keys are broadcast only up to this measured size.
-HEAVY_BYTES = 64 << 20
-# Rows without a partner are scattered over this many key values.
-SPREAD = 4096
-
 ROW_TAG = "row_tag"
+SALT, SALTS = "salt", "salts"
+
+# A task's share of the rows is made up of so many pieces at least; finer ones lie more evenly.
+PIECES = 8
 
 
 @dataclass(frozen=True)
@@ -62,9 +58,10 @@ def stored_lookup(store: TableStore, name: str, stored: DataFrame, on: list[str]
 def broadcast_limit(spark: SparkSession) -> int:
     """spark.sql.autoBroadcastJoinThreshold in bytes; -1 turns broadcasts off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    digits = text.rstrip("bkmgt")
-    unit = text[len(digits) :].rstrip("b")
-    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    number = re.match(r"-?\d+", text)[0]
+    unit = text[len(number) :].rstrip("b")
+    powers = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+    return int(number) << powers[unit] if int(number) > 0 else int(number)
 
 
 def with_row_tag(scanned: DataFrame) -> DataFrame:
@@ -76,44 +73,52 @@ def with_row_tag(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn(ROW_TAG, F.monotonically_increasing_id())
 
 
-def heavy_keys(df: DataFrame, on: list[str], rows: int) -> DataFrame:
-    """Keys with more than rows/HEAVY_SHARE rows; counted map-side before the shuffle."""
+def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
+    """Keys with more rows than one of the `PIECES` of a task's share, and their number of salts.
+
+    Fewer than PIECES times the shuffle partitions can be so, which bounds the result. Counted
+    before the shuffle, by a scan of the key columns.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    piece = max(1.0, total / (partitions * PIECES))
     present = reduce(and_, [F.col(c).isNotNull() for c in on])
-    counted = df.filter(present).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    return counted.filter(F.col("n") > rows / HEAVY_SHARE).select(*on)
+    return counted.where(present & (F.col("n") > piece)).select(
+        *on, F.ceil(F.col("n") / piece).cast("long").alias(SALTS)
+    )
 
 
-def attach(df: DataFrame, lookup: Lookup, heavy: Callable[[], DataFrame]) -> DataFrame:
+def attach(
+    df: DataFrame,
+    lookup: Lookup,
+    hot: Callable[[], DataFrame],
+    shuffled: bool = False,
+) -> DataFrame:
     """Add the lookup's columns; NULL where the key is NULL or has no entry.
 
-    `df` carries ROW_TAG. `heavy` names the heavy keys of `df`, see heavy_keys; it is only asked
-    for a lookup that is too large to broadcast.
+    `df` carries ROW_TAG. `hot` names the hot keys of `df`, see hot_keys; it is only asked for a
+    lookup that is too large to broadcast, or always with `shuffled`.
     """
     on, store = lookup.on, lookup.store
-    if lookup.bytes <= broadcast_limit(store.spark):
+    if not shuffled and lookup.bytes <= broadcast_limit(store.spark):
         return df.join(F.broadcast(lookup.df), on, "left")
 
-    heavy_rows = store.write(
-        f"lookup/{lookup.name}_heavy", lookup.df.join(F.broadcast(heavy()), on, "left_semi")
-    )
-    if heavy_rows.bytes > HEAVY_BYTES:
-        # Many entries per heavy key: leave the split of the large partitions to the engine.
-        return df.join(lookup.df, on, "left")
-
-    answered = store.open(heavy_rows).select(
-        *on, *[F.col(c).alias(f"heavy_{c}") for c in lookup.payload], F.lit(True).alias("answered")
+    # Fewer rows than PIECES times the shuffle partitions.
+    salts = store.open(store.write(f"hot/{lookup.name}", hot()))
+    present = reduce(and_, [F.col(c).isNotNull() for c in on])
+    many = F.coalesce(F.col(SALTS), F.lit(1))
+    dealt = (
+        df.join(F.broadcast(salts), on, "left")
+        .withColumn(
+            SALT, F.when(present, F.pmod(F.col(ROW_TAG), many)).otherwise(-1 - F.col(ROW_TAG))
+        )
+        .drop(SALTS)
     )
-    df = df.join(F.broadcast(answered), on, "left")
-    needs_partner = reduce(and_, [F.col(c).isNotNull() for c in on], F.col("answered").isNull())
-    df = df.withColumn(
-        "spread", F.when(needs_partner, 0).otherwise(F.col(ROW_TAG) % SPREAD + 1).cast("int")
+    entries = (
+        lookup.df.join(F.broadcast(salts), on, "left")
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+        .drop(SALTS)
     )
-    # Zero for every entry, but computed from the key: a plain literal would be moved out of the
-    # join key into a condition, and the rows would again be shuffled by the key alone.
-    zero = (F.xxhash64(*on) % 1).cast("int")
-    joined = df.join(lookup.df.withColumn("spread", zero), [*on, "spread"], "left")
-    for c in lookup.payload:
-        joined = joined.withColumn(c, F.coalesce(F.col(f"heavy_{c}"), F.col(c)))
-    return joined.drop("spread", "answered", *[f"heavy_{c}" for c in lookup.payload])
-
-
+    return dealt.join(entries, [*on, SALT], "left").drop(SALT)

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.functions import clean_text, exact, is_missing, strip_all, trim_all
+from silvermart.functions import beyond_exact, clean_text, exact, is_missing, trim_all
+from silvermart.functions.numbers import EXACT_TYPE
 from silvermart.plans.star import CUSTOMER, LOCATION, PRODUCT
 
 # Raw column behind each name of the missing-value profile.
@@ -84,7 +85,7 @@ def nan_profile(raw_orders: DataFrame) -> DataFrame:
     """
     counts = raw_orders.agg(
         *[
-            F.count_if(F.lower(strip_all(_raw(raw))) == "nan").alias(name)
+            F.count_if(F.lower(trim_all(_raw(raw))) == "nan").alias(name)
             for name, raw in PROFILE_COLUMNS.items()
         ]
     )
@@ -96,18 +97,12 @@ def nan_profile(raw_orders: DataFrame) -> DataFrame:
 
 
 def _quantities(orders: DataFrame, returned: DataFrame) -> DataFrame:
-    return (
-        orders.distinct().join(returned.distinct(), "order", "left_semi")
-        .select("quantity")
-        .distinct()
-    )
+    # The semi join comes first: the quantities then collapse before they are shuffled.
+    return orders.join(returned.distinct(), "order", "left_semi").select("quantity").distinct()
 
 
 def returned_quantities(raw_orders: DataFrame, raw_returns: DataFrame) -> DataFrame:
-    """Quantities that occur on returned orders, order ids compared as written.
-
-    Both sides collapse to distinct pairs first, so a heavy order is a few rows in the join.
-    """
+    """Quantities that occur on returned orders, order ids compared as written."""
     return _quantities(
         raw_orders.select(_raw("Order ID").alias("order"), _raw("Quantity").alias("quantity")),
         raw_returns.select(_raw("Order ID").alias("order")),
@@ -234,22 +229,41 @@ def sales_by_order(trusted: DataFrame, fact: DataFrame) -> DataFrame:
     """Orders whose sales or row counts differ between the trusted and the fact table."""
     orders = _per_order(trusted, "t").join(_per_order(fact, "f"), "order_id", "full")
     none = F.lit(0)
-    return orders.select(
+    sides = orders.select(
         "order_id",
         F.coalesce("t_rows", none).alias("trusted_rows"),
         F.coalesce("f_rows", none).alias("fact_rows"),
-        *_sales_report(F.coalesce("t", none), F.coalesce("f", none)),
-    ).filter((F.col("trusted_rows") != F.col("fact_rows")) | (F.col("difference") != 0))
+        F.coalesce("t", none).alias("t"),
+        F.coalesce("f", none).alias("f"),
+    )
+    # Compared before rounding, so that differences below a cent count.
+    return sides.filter(
+        (F.col("trusted_rows") != F.col("fact_rows")) | (F.col("t") != F.col("f"))
+    ).select(
+        "order_id", "trusted_rows", "fact_rows", *_sales_report(F.col("t"), F.col("f"))
+    )
 
 
 def sales_total(trusted: DataFrame, fact: DataFrame) -> DataFrame:
-    """Sales totals of the two tables as they are, and the true gap."""
+    """Sales totals of the two tables as they are, and the true gap; no sales count as 0."""
     amount = exact(F.col("sales"))
     both = trusted.select(amount.alias("t")).unionByName(
         fact.select(amount.alias("f")), allowMissingColumns=True
     )
-    return both.agg(F.sum("t").alias("t"), F.sum("f").alias("f")).select(
-        _sales_report(F.col("t"), F.col("f"))
+    none = F.lit(0).cast(EXACT_TYPE)
+    return both.agg(
+        F.coalesce(F.sum("t"), none).alias("t"), F.coalesce(F.sum("f"), none).alias("f")
+    ).select(_sales_report(F.col("t"), F.col("f")))
+
+
+def money_range(trusted: DataFrame, fact: DataFrame) -> DataFrame:
+    """Amounts that are too large for the sums of money, and so missing from them."""
+    both = trusted.select(F.lit("trusted_orders").alias("table_name"), "sales", "profit").unionByName(
+        fact.select(F.lit("fact_orders").alias("table_name"), "sales", "profit")
+    )
+    return both.groupBy("table_name").agg(
+        F.count_if(beyond_exact(F.col("sales"))).alias("sales_beyond"),
+        F.count_if(beyond_exact(F.col("profit"))).alias("profit_beyond"),
     )
 
 
@@ -350,8 +364,9 @@ def run_checks(
             F.lit(check).alias("check"),
             "metric",
             "value",
+            # What could not be computed has not passed.
             F.when(
-                F.col("metric").isin(must_be_zero), F.coalesce(F.col("value") == 0, F.lit(True))
+                F.col("metric").isin(must_be_zero), F.coalesce(F.col("value") == 0, F.lit(False))
             ).alias("passed"),
         )
 
@@ -381,6 +396,11 @@ def run_checks(
         counters("orphans", orphan_dates(fact, dims["dim_date"]), ["orphan_dates"]),
         counters("sales_faithful", sales_faithful(trusted, fact), ["difference"]),
         counters("sales_total", sales_total(trusted, fact), ["difference"]),
+        listing("sales_by_order", sales_by_order(trusted, fact)),
+        listing(
+            "money_range",
+            money_range(trusted, fact).filter("sales_beyond > 0 or profit_beyond > 0"),
+        ),
         listing("unique_customer_key", unique_customer_key(customer)),
         listing("unique_product_key", unique_product_key(product)),
         listing("unique_geography_key", unique_geography_key(geography)),

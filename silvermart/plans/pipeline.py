@@ -36,6 +36,7 @@ class Layers:
     dims: dict[str, DataFrame]
     fact: DataFrame
     report: list[dict]
+    deleted: int = 0  # versions that the run's publication has replaced or cleaned up
 
     def checks(self, spark: SparkSession) -> DataFrame:
         return checks.run_checks(
@@ -50,10 +51,9 @@ class Layers:
         return list(views)
 
 
-def materialize(store: TableStore, name: str, df: DataFrame) -> tuple[StoredTable, dict]:
-    """Write the next version of a table and make it the current one."""
+def write(store: TableStore, name: str, df: DataFrame) -> tuple[StoredTable, dict]:
+    """Write the next version of a table."""
     table = store.write(name, df)
-    store.publish(table)
     return table, {"table": name.split("/")[-1], "location": table.path, "rows": table.rows}
 
 
@@ -64,7 +64,7 @@ def build_dimensions(
     return in_parallel(
         {
             name: (
-                lambda name=name, build=build: materialize(
+                lambda name=name, build=build: write(
                     store, REFINED[name][0], build(trusted, scratch)
                 )
             )
@@ -81,8 +81,9 @@ def run_pipeline(
 ) -> Layers:
     """Refresh every layer below `out`; `sources` maps the sheet names to DataFrames.
 
-    Each layer reads the stored tables of the one before. A failure leaves the tables of the
-    layers that were not reached at their previous version.
+    Each layer reads the stored tables of the one before. All tables change over together when the
+    last one is written, so keys of the fact and the dimensions always belong to one run; a failure
+    leaves every table at its previous version.
     """
     store = TableStore(spark, out, database)
     scratch = TableStore(spark, scratch_root(spark, "run"))
@@ -96,7 +97,7 @@ def _refresh(sources: dict[str, DataFrame], store: TableStore, scratch: TableSto
     landed = land_all(store, sources)
     raw = {sheet: store.open(table) for sheet, (table, _) in landed.items()}
 
-    trusted_table, trusted_report = materialize(
+    trusted_table, trusted_report = write(
         store, TRUSTED, trusted_orders(raw["Orders"], raw["Returns"], raw["People"], scratch)
     )
     trusted = store.open(trusted_table)
@@ -104,9 +105,15 @@ def _refresh(sources: dict[str, DataFrame], store: TableStore, scratch: TableSto
     built = build_dimensions(trusted, store, scratch)
     dims = {name: store.open(table) for name, (table, _) in built.items()}
 
-    fact_table, fact_report = materialize(
+    fact_table, fact_report = write(
         store, REFINED["fact_orders"][0], star.fact_orders(trusted, dims, scratch)
     )
+    deleted = store.publish(
+        *[table for table, _ in landed.values()],
+        trusted_table,
+        *[table for table, _ in built.values()],
+        fact_table,
+    )
     return Layers(
         raw_orders=raw["Orders"],
         raw_returns=raw["Returns"],
@@ -120,4 +127,5 @@ def _refresh(sources: dict[str, DataFrame], store: TableStore, scratch: TableSto
             *[report for _, report in built.values()],
             fact_report,
         ],
+        deleted=deleted,
     )

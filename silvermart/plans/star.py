@@ -10,7 +10,7 @@ from silvermart.functions import date_key, iso_day_of_week, round_cents
 from silvermart.operators.attach import (
     ROW_TAG,
     attach,
-    heavy_keys,
+    hot_keys,
     stored_lookup,
     with_row_tag,
 )
@@ -100,13 +100,15 @@ DIMENSIONS = {
 }
 
 
-def fact_orders(trusted: DataFrame, dims: dict[str, DataFrame], store: TableStore) -> DataFrame:
+def fact_orders(
+    trusted: DataFrame, dims: dict[str, DataFrame], store: TableStore, shuffled: bool = False
+) -> DataFrame:
     """One row per trusted row that finds a member in all four keyed dimensions.
 
     The match is by plain equality, so a row with a missing name, segment, category, region,
     state or city has no member and is left out; only postal code and ship mode may be missing.
     `trusted` and `dims` are stored tables: keys are dense, so they must not be computed again
-    between the dimension and the fact.
+    between the dimension and the fact. With `shuffled` every dimension goes the way of large ones.
     """
     postal = F.coalesce(F.col("postal_code"), F.lit(""))
     matches = {
@@ -132,7 +134,7 @@ def fact_orders(trusted: DataFrame, dims: dict[str, DataFrame], store: TableStor
     rows = with_row_tag(keyed).dropna(subset=[*CUSTOMER, *PRODUCT, *LOCATION])
     for name, lookup in lookups.items():
         rows = attach(
-            rows, lookup, lambda on=lookup.on: heavy_keys(keyed, on, trusted.count())
+            rows, lookup, lambda on=lookup.on: hot_keys(keyed, on), shuffled
         ).filter(F.col(f"{name}_key").isNotNull())
     return rows.drop(ROW_TAG).select(
         "order_id",

@@ -22,7 +22,7 @@ from silvermart.functions import (
     upper_to_null,
     whole,
 )
-from silvermart.operators.attach import Lookup, attach, heavy_keys, store_lookup, with_row_tag
+from silvermart.operators.attach import Lookup, attach, hot_keys, store_lookup, with_row_tag
 from silvermart.operators.donors import (
     fill_name,
     filled,
@@ -124,7 +124,7 @@ def _repair(
     rows: DataFrame, donors: DataFrame, keys: list[str], store: TableStore, name: str
 ) -> DataFrame:
     lookup = store_lookup(store, name, donors, keys)
-    return attach(rows, lookup, lambda: heavy_keys(rows, keys, rows.count()))
+    return attach(rows, lookup, lambda: hot_keys(rows, keys))
 
 
 def fill_by_key(
@@ -182,9 +182,13 @@ def flag_returns(
 
 
 def trusted_orders(
-    raw_orders: DataFrame, raw_returns: DataFrame, raw_people: DataFrame, store: TableStore
+    raw_orders: DataFrame,
+    raw_returns: DataFrame,
+    raw_people: DataFrame,
+    store: TableStore,
+    shuffled: bool = False,
 ) -> DataFrame:
-    """The trusted table.
+    """The trusted table; with `shuffled` every lookup goes the way of the large ones.
 
     `raw_orders` is a stored table: every lookup scans just its own columns of it, and the main
     pass reads it once. Where the lookups are small enough to broadcast, the final distinct is
@@ -192,7 +196,7 @@ def trusted_orders(
     """
     base = clean_orders(raw_orders)
     lookups = build_lookups(base, clean_returns(raw_returns), clean_people(raw_people), store)
-    heavy = _heavy_in(base, raw_orders)
+    hot = _hot_in(base)
 
     rows = with_row_tag(base).withColumns(
         {
@@ -201,7 +205,7 @@ def trusted_orders(
         }
     )
     for lookup in lookups.values():
-        rows = attach(rows, lookup, heavy(lookup))
+        rows = attach(rows, lookup, hot(lookup), shuffled)
     rows = filled(rows, "ship_mode", "customer_name", "postal_code", "category", "sub_category")
     rows = overwritten(rows, "product_name", "product_name_original")
     rows = rows.withColumn("is_returned", F.coalesce(F.col("returned"), F.lit(0)))
@@ -244,7 +248,7 @@ def build_lookups(
     )
 
 
-def _heavy_in(base: DataFrame, raw: DataFrame) -> Callable[[Lookup], Callable[[], DataFrame]]:
-    """Heavy keys by a scan of the key columns alone."""
+def _hot_in(base: DataFrame) -> Callable[[Lookup], Callable[[], DataFrame]]:
+    """Hot keys by a scan of the key columns alone."""
     normalized = base.withColumn("region", normalize_region(F.col("region")))
-    return lambda lookup: lambda: heavy_keys(normalized, lookup.on, raw.count())
+    return lambda lookup: lambda: hot_keys(normalized, lookup.on)

@@ -10,9 +10,10 @@ from functools import cached_property
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from silvermart.plans import star
-from silvermart.plans.pipeline import REFINED, TRUSTED, build_dimensions, materialize
+from silvermart.plans.pipeline import REFINED, TRUSTED, build_dimensions, write
 from silvermart.plans.trusted import trusted_orders
 from silvermart.sources import feed
 from silvermart.sources.landing import land_all
@@ -42,7 +43,7 @@ class Workspace:
         built = trusted_orders(
             self.raw["Orders"], self.raw["Returns"], self.raw["People"], self.scratch
         )
-        return self.store.open(materialize(self.store, TRUSTED, built)[0])
+        return self.store.open(write(self.store, TRUSTED, built)[0])
 
     @cached_property
     def dims(self) -> dict[str, DataFrame]:
@@ -52,17 +53,21 @@ class Workspace:
     @cached_property
     def fact(self) -> DataFrame:
         built = star.fact_orders(self.trusted, self.dims, self.scratch)
-        return self.store.open(materialize(self.store, REFINED["fact_orders"][0], built)[0])
+        return self.store.open(write(self.store, REFINED["fact_orders"][0], built)[0])
 
 
 def _source_state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Length and change time of each source table, from the file system's listing."""
-    state = []
-    for name in SOURCE_TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        state.append((name, status.getLen(), status.getModificationTime()))
-    return tuple(state)
+    """Number, length and change time of the files of the source tables; no content is read."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in SOURCE_TABLES]
+    files = spark.read.format("binaryFile").load(paths)
+    return tuple(
+        files.agg(
+            F.count(F.lit(1)),
+            F.sum("length"),
+            F.max("modificationTime"),
+            F.bit_xor(F.xxhash64("path", "length", "modificationTime")),
+        ).first()
+    )
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:

@@ -62,11 +62,9 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = table("lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < cores:
-        # A source of a few small files would keep most cores idle; large ones have enough splits.
-        lines = lines.repartition(cores)
+    # The join with the orders needs this partitioning for large tables anyway; a source of a few
+    # files is spread over all cores by it.
+    lines = table("lineitem").repartition("l_orderkey")
     rows = (
         lines
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,19 +28,42 @@ ENTITIES = [
 ]
 
 
-def read_source(spark: SparkSession, fmt: str, path: str, schema: T.StructType) -> DataFrame:
-    """Read one entity without inference: text formats come in as text, typed ones as they are."""
+def read_source(
+    spark: SparkSession,
+    fmt: str,
+    path: str,
+    schema: T.StructType,
+    mode: str = "FAILFAST",
+    multi_line: bool = False,
+) -> DataFrame:
+    """Read one entity without inference: text formats come in as text, typed ones as they are.
+
+    A malformed record of a text format ends the read, unless `mode` says otherwise (Spark's
+    PERMISSIVE or DROPMALFORMED). With `multi_line` cells may hold line breaks; a file is then
+    read by one task.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         # All columns are text, so header names pick the columns and their order is free.
-        return reader.options(header=True, multiLine=False, escape='"').load(path).select(
-            [F.col(f"`{f.name}`") for f in schema]
+        return (
+            reader.options(header=True, multiLine=multi_line, escape='"', mode=mode)
+            .load(path)
+            .select([F.col(f"`{f.name}`") for f in schema])
         )
     if fmt == "json":
-        return reader.schema(schema).load(path)
+        return reader.options(mode=mode, multiLine=multi_line).schema(schema).load(path)
     return reader.load(path).select([F.col(f"`{f.name}`") for f in schema])
 
 
+def plain_double(c: Column) -> Column:
+    """A double as text without an exponent from 0.0001 up to 1e16, and as Spark writes it beyond."""
+    size = F.abs(c)
+    digits = c.try_cast("decimal(38,18)").cast("string")
+    plain = F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
+    spelled = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(spelled, plain).otherwise(c.cast("string"))
+
+
 def stringify(df: DataFrame) -> DataFrame:
     """Every column as text, missing cells spelled out: 'nan', or 'NaT' for dates and times."""
 
@@ -54,16 +77,15 @@ def stringify(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.BooleanType):
             text = F.initcap(text)
         if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            text = F.when(~F.isnan(c), text)
+            text = F.when(~F.isnan(c), plain_double(c.cast("double")))
         return F.coalesce(text, F.lit(missing)).alias(field.name)
 
     return df.select([as_text(f) for f in df.schema.fields])
 
 
 def land_entity(store: TableStore, entity: Entity, source: DataFrame) -> tuple[StoredTable, dict]:
-    """Write one raw table; the metrics come from the write itself."""
+    """Write one raw table, not yet published; the metrics come from the write itself."""
     table = store.write(entity.table, stringify(source))
-    store.publish(table)
     return table, {
         "sheet": entity.sheet,
         "table": entity.table.split("/")[-1],
@@ -74,7 +96,7 @@ def land_entity(store: TableStore, entity: Entity, source: DataFrame) -> tuple[S
 
 
 def land_all(store: TableStore, sources: dict[str, DataFrame]) -> dict[str, tuple]:
-    """Land every entity, one independent job each; keys are the sheet names."""
+    """Land every entity, one independent job each; keys are the sheet names. See publish()."""
     return in_parallel(
         {
             e.sheet: (lambda e=e: land_entity(store, e, sources[e.sheet]))

@@ -1,8 +1,9 @@
 """Versioned Parquet tables under one root folder.
 
-Every write goes to a fresh version folder and counts only once Spark has put its _SUCCESS marker
-there, so a refresh that fails half-way leaves the previous version as the current one, and a
-reader that started before the refresh keeps its files.
+Every write goes to a fresh version folder. Which versions count is told by the manifest, a small
+table that each publication adds a complete list to in one commit; so several tables change over
+together, a refresh that fails half-way leaves all of them as they were, and a reader that started
+before keeps its files. One writer at a time.
 """
 
 from __future__ import annotations
@@ -10,13 +11,20 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from threading import RLock
 
+from pyspark import InheritableThread
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# One row per table and version that is kept; the rows of the highest turn hold.
+MANIFEST = "turn long, name string, path string, place int"
+
+
 @dataclass(frozen=True)
 class StoredTable:
     """What one write produced; the counts are taken while writing, not by a second scan."""
@@ -26,7 +34,6 @@ class StoredTable:
     schema: T.StructType
     rows: int
     bytes: int
-    extra: dict = field(default_factory=dict)
 
 
 def row_bytes(schema: T.StructType):
@@ -43,7 +50,8 @@ class TableStore:
     """Writes and reads the tables below `root`.
 
     With a `database`, each table is also registered in the session catalog as an external
-    Parquet table whose location follows the current version.
+    Parquet table whose location follows the current version. Of every table the last `keep`
+    published versions stay.
     """
 
     def __init__(self, spark: SparkSession, root: str, database: str | None = None, keep: int = 2):
@@ -51,42 +59,48 @@ class TableStore:
         self.root = root.rstrip("/")
         self.database = database
         self.keep = keep
+        self._lock = RLock()
 
     # -- writing ---------------------------------------------------------------------------
 
-    def write(
-        self, name: str, df: DataFrame, metrics: dict[str, object] | None = None
-    ) -> StoredTable:
-        """Write a new version of `name`; `metrics` are further aggregates to take on the way."""
+    def write(self, name: str, df: DataFrame) -> StoredTable:
+        """Write a new version of `name`, which nobody reads by name until it is published."""
         path = f"{self.root}/{name}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         seen = Observation()
-        wanted = {
-            "rows": F.count(F.lit(1)),
-            "bytes": F.sum(row_bytes(df.schema)),
-            **(metrics or {}),
-        }
-        observed = df.observe(seen, *[c.alias(k) for k, c in wanted.items()])
+        observed = df.observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes")
+        )
         observed.write.mode("errorifexists").option("compression", "snappy").parquet(path)
         taken = dict(seen.get)
-        return StoredTable(
-            name=name,
-            path=path,
-            schema=df.schema,
-            rows=taken.pop("rows"),
-            bytes=taken.pop("bytes") or 0,
-            extra=taken,
-        )
-
-    def publish(self, table: StoredTable) -> DataFrame:
-        """Point the catalog at this version, then drop the versions that are too old."""
-        if self.database:
-            self._register(table)
-        self.expire(table.name)
-        return self.open(table)
+        return StoredTable(name, path, df.schema, taken["rows"], taken["bytes"] or 0)
+
+    def publish(self, *tables: StoredTable) -> int:
+        """Make these versions the current ones, all at once; returns how many old ones went.
+
+        Versions that were written and never published, by a run that failed, go as well.
+        """
+        with self._lock:
+            held = self._manifest()
+            for table in tables:
+                held[table.name] = [table.path, *held.get(table.name, [])][: self.keep]
+            turn = time.time_ns()
+            rows = [
+                (turn, name, path, place)
+                for name, paths in held.items()
+                for place, path in enumerate(paths)
+            ]
+            listed = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
+            listed.write.mode("append").parquet(f"{self.root}/_manifest")
+            if self.database:
+                for table in tables:
+                    self._register(table)
+            return sum(self.expire(table.name) for table in tables)
 
     def materialize(self, name: str, df: DataFrame) -> DataFrame:
         """Full refresh of one table; returns the table read back from its files."""
-        return self.publish(self.write(name, df))
+        table = self.write(name, df)
+        self.publish(table)
+        return self.open(table)
 
     def _register(self, table: StoredTable) -> None:
         catalog = self.spark.catalog
@@ -108,17 +122,33 @@ class TableStore:
         return self.spark.read.schema(table.schema).parquet(table.path)
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
-        """The current version of `name`, also one that an earlier session wrote."""
-        versions = self._versions(name)
+        """The current version of `name`, also one that an earlier session published."""
+        versions = self._manifest().get(name)
         if not versions:
-            raise FileNotFoundError(f"no complete version of {name} below {self.root}")
-        return self.spark.read.schema(schema).parquet(versions[-1])
+            raise FileNotFoundError(f"no published version of {name} below {self.root}")
+        return self.spark.read.schema(schema).parquet(versions[0])
+
+    def _manifest(self) -> dict[str, list[str]]:
+        """By table its published versions that are kept, the current one first."""
+        try:
+            listed = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/_manifest")
+            last = listed.agg(F.max("turn")).first()[0]
+            rows = listed.where(F.col("turn") == last).orderBy("name", "place").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        found: dict[str, list[str]] = {}
+        for r in rows:
+            found.setdefault(r["name"], []).append(r["path"])
+        return found
 
     # -- versions --------------------------------------------------------------------------
 
     def expire(self, name: str) -> int:
-        """Delete all but the newest `keep` complete versions; returns how many went."""
-        old = self._versions(name)[: -self.keep]
+        """Delete every version that the manifest does not list; returns how many went."""
+        kept = {path.rsplit("/", 1)[-1] for path in self._manifest().get(name, [])}
+        old = [v for v in self._versions(name) if v.rsplit("/", 1)[-1] not in kept]
         for version in old:
             path, fs = self._hadoop(version)
             fs.delete(path, True)
@@ -133,8 +163,7 @@ class TableStore:
         path, fs = self._hadoop(f"{self.root}/{name}")
         if not fs.exists(path):
             return []
-        folders = [s.getPath().toString() for s in fs.listStatus(path) if s.isDirectory()]
-        return sorted(f for f in folders if fs.exists(self._hadoop(f"{f}/_SUCCESS")[0]))
+        return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isDirectory())
 
     def _hadoop(self, location: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(location)
@@ -144,24 +173,34 @@ class TableStore:
 def scratch_root(spark: SparkSession, purpose: str) -> str:
     """A folder for intermediate tables that all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only a local session, where driver and
-    executors are one process, may fall back to a folder of the machine.
+    The cluster names it in spark.checkpoint.dir; without that setting it lies below the warehouse.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="silvermart-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.sql.warehouse.dir"
+    )
     app = spark.sparkContext.applicationId
     return f"{shared.rstrip('/')}/silvermart/{app}/{purpose}-{uuid.uuid4().hex[:8]}"
 
 
 def in_parallel(jobs: dict[str, Callable[[], object]]) -> dict[str, object]:
-    """Submit independent Spark jobs at the same time; the first failure is raised."""
-    from concurrent.futures import ThreadPoolExecutor
+    """Submit independent Spark jobs at the same time; the first failure is raised.
 
-    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
-        running = {name: pool.submit(job) for name, job in jobs.items()}
-        return {name: future.result() for name, future in running.items()}
+    The threads inherit the caller's job group, tags and scheduler pool.
+    """
+    results: dict[str, object] = {}
+    failures: list[BaseException] = []
+
+    def run(name: str) -> None:
+        try:
+            results[name] = jobs[name]()
+        except BaseException as failure:  # raised again below
+            failures.append(failure)
+
+    threads = [InheritableThread(target=run, args=(name,)) for name in jobs]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failures:
+        raise failures[0]
+    return {name: results[name] for name in jobs}

@@ -7,7 +7,7 @@ import pytest
 
 from silvermart.plans import checks, reports
 from silvermart.plans.workspace import workspace
-from tests.conftest import DATA, raw_orders, raw_returns, rows_of
+from tests.conftest import DATA, raw_orders, raw_returns, rows_of, trusted_rows
 
 
 def sales(spark, *rows):
@@ -189,3 +189,39 @@ def test_sales_by_month_and_half_year(shop, spark):
     assert rows_of(reports.half_year_sales(fact, days)) == [
         (2020, "H1", 490.0, 7), (2020, "H2", 560.0, 7),
     ]
+
+
+def test_what_cannot_be_computed_has_not_passed(spark, store):
+    """A star schema that lost everything does not look healthy."""
+    from silvermart.plans import star
+
+    trusted = store.materialize("trusted", trusted_rows(store, [{}, {"Order ID": "O-2"}]))
+    dims = {n: store.materialize(n, build(trusted, store)) for n, build in star.DIMENSIONS.items()}
+    fact = store.materialize("fact", star.fact_orders(trusted, dims, store))
+    raw, returns = raw_orders(store, {}), raw_returns(store)
+
+    def failed(trusted, dims, fact) -> set[str]:
+        table = checks.run_checks(spark, raw, returns, trusted, dims, fact)
+        return {r["check"] for r in table.where("not passed").collect()}
+
+    assert failed(trusted, dims, fact) == set()
+    lost = failed(trusted, dims, fact.limit(0))
+    assert {"fact_nulls", "sales_faithful", "sales_total", "sales_by_order"} <= lost
+    assert {"sales_total", "sales_by_order"} <= failed(trusted.limit(0), dims, fact)
+    no_products = {**dims, "dim_product": dims["dim_product"].limit(0)}
+    assert "orphans" in failed(trusted, no_products, fact)
+
+
+def test_differences_below_a_cent_are_found(spark, store):
+    trusted = spark.createDataFrame([("O-1", 10.004), ("O-2", 5.0)], "order_id string, sales double")
+    fact = spark.createDataFrame([("O-1", 10.0), ("O-2", 5.0)], "order_id string, sales double")
+    assert [r.order_id for r in checks.sales_by_order(trusted, fact).collect()] == ["O-1"]
+
+
+def test_one_huge_amount_does_not_end_the_sums(spark):
+    rows = spark.createDataFrame(
+        [("O-1", 1e30, 1.0), ("O-2", 5.0, 2.0)], "order_id string, sales double, profit double"
+    )
+    assert checks.sales_total(rows, rows).first().total_sales_fact == 5.0
+    found = checks.money_range(rows, rows).collect()
+    assert [(r.sales_beyond, r.profit_beyond) for r in found] == [(1, 0), (1, 0)]

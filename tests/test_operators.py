@@ -35,7 +35,7 @@ def lookup_rows(store):
 def attached(store):
     rows = skewed(store)
     lookup = A.store_lookup(store, "l", lookup_rows(store), ["k"])
-    return A.attach(rows, lookup, lambda: A.heavy_keys(rows, ["k"], ROWS))
+    return A.attach(rows, lookup, lambda: A.hot_keys(rows, ["k"]))
 
 
 def plan(df) -> str:
@@ -69,23 +69,50 @@ def test_no_task_gets_the_hot_key_or_the_missing_keys(store, no_broadcast, spark
     assert max(sizes) < ROWS / 4 * 1.3
 
 
-def test_heavy_keys_are_few_and_leave_null_out(store):
-    rows = skewed(store)
-    heavy = A.heavy_keys(rows, ["k"], ROWS)
-    assert rows_of(heavy) == [("hot",)]
+def test_hot_keys_are_few_and_leave_null_out(store):
+    # Four shuffle partitions of eight pieces: a key is hot above a thirty-second of the rows.
+    assert rows_of(A.hot_keys(skewed(store), ["k"])) == [("hot", 10)]
+
+
+@pytest.mark.parametrize("entries", [1, 400])
+def test_hot_keys_just_above_the_share_spread_evenly(store, no_broadcast, spark, entries):
+    """Keys of a few per cent each, one with many lookup rows, and a third without a key."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        n = F.col("id")
+        key = F.when(n % 3 == 0, None).when(n % 3 == 1, F.concat(F.lit("h"), n % 7)).otherwise(
+            F.concat(F.lit("k"), n)
+        )
+        rows = A.with_row_tag(
+            store.materialize("even", spark.range(40_000).select(key.alias("k"), n.alias("n")))
+        )
+        hot = spark.range(entries).select(F.lit("h1").alias("k"), F.col("id").alias("v"))
+        rest = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(0).alias("v"))
+        lookup = A.store_lookup(store, "even", hot.unionByName(rest), ["k"])
+        df = A.attach(rows, lookup, lambda: A.hot_keys(rows, ["k"]))
+        in_tasks = df.dropDuplicates(["n"]).count(), df.where("k = 'h1'").count()
+        inputs = df.where("v = 0 or v is null").groupBy(F.spark_partition_id()).count()
+        sizes = [r["count"] for r in inputs.collect()]
+        h1 = rows.where("k = 'h1'").count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert in_tasks == (40_000, h1 * entries)
+    assert max(sizes) <= 1.6 * sum(sizes) / 40
 
 
 def test_repeated_lookup_keys_repeat_the_rows(store, no_broadcast):
     rows = A.with_row_tag(stored(store, "r", [("x", 1), ("y", 2), (None, 3)], "k string, n int"))
     entries = store.spark.createDataFrame([("x", "a"), ("x", "b")], "k string, v string")
     lookup = A.store_lookup(store, "l", entries, ["k"])
-    df = A.attach(rows, lookup, lambda: A.heavy_keys(rows, ["k"], 3))
+    df = A.attach(rows, lookup, lambda: A.hot_keys(rows, ["k"]))
     assert rows_of(df, "n", "v") == [(1, "a"), (1, "b"), (2, None), (3, None)]
 
 
 @pytest.mark.parametrize(
     "text, size",
-    [("10485760b", 10 << 20), ("-1", -1), ("10MB", 10 << 20), ("1g", 1 << 30), ("64k", 64 << 10)],
+    [("10485760b", 10 << 20), ("-1", -1), ("10MB", 10 << 20), ("1g", 1 << 30), ("64k", 64 << 10), ("1pb", 1 << 50)],
 )
 def test_broadcast_limit(spark, text, size):
     name = "spark.sql.autoBroadcastJoinThreshold"

@@ -161,3 +161,75 @@ def test_a_failing_trusted_layer_leaves_the_refined_tables(spark, tmp_path):
     with pytest.raises(Exception):
         run_pipeline(spark, {**sheets, "Orders": sheets["Orders"].drop("Order ID")}, out)
     assert store.read(path, schema).count() == before
+
+
+@pytest.mark.parametrize("stage", ["fact_orders", "dim_product"])
+def test_a_run_that_fails_late_changes_no_table(spark, tmp_path, monkeypatch, stage):
+    """The fact and the dimensions of the last good run still belong together."""
+    out = str(tmp_path / "out")
+    sheets = feed.sheets(spark, DATA)
+    run_pipeline(spark, sheets, out)
+    store = TableStore(spark, out)
+
+    def sales_by_customer():
+        fact, customers = (store.read(*REFINED[n]) for n in ("fact_orders", "dim_customer"))
+        return rows_of(
+            fact.join(customers, "customer_key").groupBy("customer_id").agg(F.sum("quantity"))
+        )
+
+    before = sales_by_customer()
+    first = spark.createDataFrame([tuple({**ORDER, "Customer ID": "A-0"}.values())], schemas.RAW_ORDERS)
+
+    def fails(*_, **__):
+        raise RuntimeError("stopped")
+
+    from silvermart.plans import star
+
+    with monkeypatch.context() as broken:
+        if stage == "fact_orders":
+            broken.setattr(star, stage, fails)
+        else:
+            broken.setitem(star.DIMENSIONS, stage, fails)
+        with pytest.raises(RuntimeError, match="stopped"):
+            run_pipeline(spark, {**sheets, "Orders": first.unionByName(sheets["Orders"])}, out)
+    assert sales_by_customer() == before
+    # The next good run cleans up what the failed one has written.
+    assert run_pipeline(spark, sheets, out).deleted >= 4
+    assert sales_by_customer() == before
+
+
+def test_unpublished_versions_are_never_read_and_go(spark, store):
+    store.materialize("t", spark.range(3))
+    store.write("t", spark.range(9))
+    assert store.read("t", spark.range(0).schema).count() == 3
+    assert store.publish(store.write("t", spark.range(4))) == 1
+    assert store.read("t", spark.range(0).schema).count() == 4
+
+
+@pytest.mark.parametrize(
+    "fmt, lines",
+    [
+        ("csv", "Regional Manager,Region\nMia,East,surplus\n"),
+        ("csv", 'Regional Manager,Region\n"Mia\nthe first",East\n'),
+        ("json", '{"Regional Manager": "Mia", "Region": "East"}\n{"Regional Manager": "M\n'),
+    ],
+)
+def test_malformed_records_end_the_landing(spark, store, tmp_path, fmt, lines):
+    people = next(e for e in ENTITIES if e.sheet == "People")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / f"part.{fmt}").write_text(lines)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        land_entity(store, people, read_source(spark, fmt, str(tmp_path / "in"), people.schema))
+
+
+def test_line_breaks_in_cells_are_an_option(spark, store, tmp_path):
+    people = next(e for e in ENTITIES if e.sheet == "People")
+    (tmp_path / "in.csv").write_text('Regional Manager,Region\n"Mia\nthe first",East\n')
+    source = read_source(spark, "csv", str(tmp_path / "in.csv"), people.schema, multi_line=True)
+    assert rows_of(store.open(land_entity(store, people, source)[0])) == [("Mia\nthe first", "East")]
+
+
+def test_doubles_land_without_exponents(spark):
+    values = [12345678.0, 1e7, 123456789.25, -2.5e10, 0.0005, 1.5, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    assert [r.d for r in stringify(df).collect()] == [repr(v) for v in values]
