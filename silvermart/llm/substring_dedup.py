@@ -387,9 +387,11 @@ def remove_repeats(
     keyed = docs.select(*key, text.alias("text"))
 
     found = scratch.store("runs", find_runs(keyed))
+    # Stored by itself, so that the join below can split an anchor that very many runs share.
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    often = scratch.store("often", often)
     shared = scratch.store("shared", found.join(often, "anchor", "left_semi"))
-    scratch.discard("runs")
+    scratch.discard("runs", "often")
 
     kinds = shared.groupBy("anchor", "whole").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "place")).alias("one")
