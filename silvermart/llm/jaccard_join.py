@@ -395,7 +395,9 @@ def _search(members: DataFrame, similarity: Similarity, tie_only: bool) -> DataF
         if held is not None and len(held):
             yield answer(held)
 
-    dealt = members.repartition("group").sortWithinPartitions("group", "cid")
+    # The rows are few and the work on them is not, so the partitions are not to be merged.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(tasks, "group").sortWithinPartitions("group", "cid")
     found = dealt.select("group", "side", "cid", "n", "part", "sketch").mapInPandas(
         read, "a long, b long"
     )
