@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from silvermart.llm import (
     language_rnn,
+    oracle,
     order_minhash,
     quality_mil,
     quality_rules,
@@ -127,4 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The other operators are beyond SQL: learned scores, hash draws, page trees, token ids.
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op8_jaccard_join": oracle.JACCARD_JOIN,
+}

@@ -3,7 +3,11 @@ from __future__ import annotations
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
+from tests.compare import differences, duck
+from tests.llm.conftest import LARGER
 
 
 def test_every_operator_is_registered_once():
@@ -12,6 +16,12 @@ def test_every_operator_is_registered_once():
     assert "pipeline" in entry.queries()
 
 
+@pytest.mark.parametrize("name", ["op5_substring_dedup", "op8_jaccard_join"])
+def test_queries_match_their_sql(spark, name):
+    sql = entry.oracle_sql()[name]
+    assert differences(entry.queries()[name](spark, LARGER), duck(LARGER), sql) is None
+
+
 def test_entry_works_without_the_subpackage():
     code = (
         "import sys\n"
