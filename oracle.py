@@ -72,7 +72,8 @@ CTES: dict[str, tuple[list[str], str]] = {
         [],
         f"""SELECT
       CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS "Row ID",
-      CASE WHEN l_orderkey % 97 = 0 THEN 'nan' ELSE ' ORD-' || l_orderkey END AS "Order ID",
+      CASE WHEN l_orderkey % 97 = 0 THEN 'nan' WHEN l_orderkey % 9 = 0 THEN 'ORD-' || l_orderkey
+           ELSE ' ORD-' || l_orderkey END AS "Order ID",
       {planted_date("o_orderdate", "l_orderkey % 7")} AS "Order Date",
       {planted_date("l_shipdate", "(l_orderkey + l_linenumber) % 7")} AS "Ship Date",
       CASE WHEN l_linenumber % 4 = 0 THEN '' WHEN l_linenumber % 4 = 1 THEN 'nan'
@@ -81,8 +82,10 @@ CTES: dict[str, tuple[list[str], str]] = {
            WHEN o_orderpriority = '3-MEDIUM' THEN 'Second Class'
            ELSE 'standard class ' END AS "Ship Mode",
       'C-' || c_custkey AS "Customer ID",
-      CASE WHEN l_partkey % 11 = 0 THEN 'nan' ELSE c_name END AS "Customer Name",
-      CASE WHEN c_custkey % 61 = 0 THEN 'nan' ELSE c_mktsegment END AS "Segment",
+      CASE WHEN l_partkey % 11 = 0 THEN 'nan' WHEN l_orderkey % 43 = 0 THEN c_name || ' Jr'
+           ELSE c_name END AS "Customer Name",
+      CASE WHEN c_custkey % 61 = 0 THEN 'nan' WHEN l_orderkey % 47 = 0 THEN 'OTHER'
+           ELSE c_mktsegment END AS "Segment",
       CASE WHEN n_regionkey <> 1 THEN n_name WHEN n_nationkey % 2 = 0 THEN 'United States'
            ELSE 'Canada' END AS "Country/Region",
       'City ' || (c_custkey % 40) AS "City",
@@ -95,12 +98,15 @@ CTES: dict[str, tuple[list[str], str]] = {
         WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'Sth' ELSE 'south ' END
         WHEN 3 THEN 'WST' WHEN 4 THEN 'North' END AS "Region",
       'P-' || p_partkey AS "Product ID",
-      CASE WHEN l_linenumber % 6 = 0 THEN 'nan' ELSE p_type END AS "Category",
+      CASE WHEN l_linenumber % 6 = 0 THEN 'nan' WHEN l_orderkey % 41 = 0 THEN p_type || ' X'
+           ELSE p_type END AS "Category",
       CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE p_brand END AS "Sub-Category",
       {ALT} AS "Product Name",
       CASE WHEN l_orderkey % 3 = 0 THEN '$' || format('{{:,.2f}}', l_extendedprice)
            ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) END AS "Sales",
-      CAST(CAST(l_quantity AS DECIMAL(6,1)) AS VARCHAR) AS "Quantity",
+      CAST(CAST(CASE WHEN l_orderkey % 101 = 0 THEN -l_quantity
+           WHEN l_orderkey % 103 = 0 THEN l_quantity + 0.5 ELSE l_quantity END AS DECIMAL(6,1))
+           AS VARCHAR) AS "Quantity",
       CAST(CAST(CASE WHEN l_linenumber % 5 = 0 THEN -l_discount ELSE l_discount END
            AS DECIMAL(5,2)) AS VARCHAR) AS "Discount",
       CASE WHEN l_partkey % 53 = 0 THEN 'nan'
@@ -125,7 +131,8 @@ CTES: dict[str, tuple[list[str], str]] = {
         """SELECT 'Mgr ' || r_name AS "Regional Manager",
            CASE r_regionkey WHEN 0 THEN 'Ctr' WHEN 1 THEN 'EAST' WHEN 2 THEN 'South Region'
                 WHEN 3 THEN 'wst' WHEN 4 THEN 'North' END AS "Region"
-    FROM region UNION ALL VALUES ('Temporary Manager', 'West'), ('nan', 'East')""",
+    FROM region UNION ALL VALUES ('Temporary Manager', 'West'), ('nan', 'East'),
+      ('Second Manager', 'West')""",
     ),
     "base": (
         ["raw_orders"],
@@ -186,7 +193,8 @@ CTES: dict[str, tuple[list[str], str]] = {
             "postal_mode", "name_mode",
         ],
         f"""SELECT * REPLACE (
-        CAST(quantity AS INTEGER) AS quantity,
+        CAST(CASE WHEN quantity < 0 THEN -floor(-quantity + 0.5) ELSE floor(quantity + 0.5) END
+             AS INTEGER) AS quantity,
         CASE country WHEN 'United States' THEN 'US-' || region
                      WHEN 'Canada' THEN 'CA-' || region ELSE region END AS region)
     FROM (SELECT DISTINCT

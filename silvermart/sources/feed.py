@@ -1,7 +1,9 @@
 """Adapter: derives the dirty three-sheet feed from the order tables of a sales benchmark.
 
 The feed plants the faults that the cleaning rules are about: missing cells, six date spellings,
-money marks, region spellings, variant product names, negative discounts and exact copies.
+money marks, region spellings, variant product names, categories, customer names and segments, order
+ids with and without a stray blank, negative and half quantities, negative discounts, two managers
+in one region, and exact copies.
 """
 
 from __future__ import annotations
@@ -77,16 +79,25 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = order % 2 == 0
     plain_sales = _text(F.col("l_extendedprice").cast("decimal(12,2)"))
     discount = F.col("l_discount").cast("decimal(5,2)")
+    quantity = F.col("l_quantity")
     variant = F.when(part % 5 == 0, even).otherwise(order % 9 == 0)
     columns = {
         "Row ID": _text(order * 10 + line),
-        "Order ID": _nan_when(order % 97 == 0, F.concat(F.lit(" ORD-"), _text(order))),
+        "Order ID": _nan_when(
+            order % 97 == 0,
+            F.concat(F.when(order % 9 == 0, "ORD-").otherwise(" ORD-"), _text(order)),
+        ),
         "Order Date": _spelled_date(F.col("o_orderdate").cast("date"), order % 7),
         "Ship Date": _spelled_date(F.col("l_shipdate").cast("date"), (order + line) % 7),
         "Ship Mode": _ship_mode(line, F.col("o_orderpriority")),
         "Customer ID": F.concat(F.lit("C-"), _text(customer)),
-        "Customer Name": _nan_when(F.col("l_partkey") % 11 == 0, F.col("c_name")),
-        "Segment": _nan_when(customer % 61 == 0, F.col("c_mktsegment")),
+        "Customer Name": _nan_when(
+            F.col("l_partkey") % 11 == 0,
+            F.when(order % 43 == 0, F.concat("c_name", F.lit(" Jr"))).otherwise(F.col("c_name")),
+        ),
+        "Segment": _nan_when(
+            customer % 61 == 0, F.when(order % 47 == 0, "OTHER").otherwise(F.col("c_mktsegment"))
+        ),
         "Country/Region": F.when(F.col("n_regionkey") != 1, F.col("n_name"))
         .when(F.col("n_nationkey") % 2 == 0, "United States")
         .otherwise("Canada"),
@@ -97,7 +108,10 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(_text(customer % 40 + 10000)),
         "Region": _region(F.col("n_regionkey"), even),
         "Product ID": F.concat(F.lit("P-"), _text(part)),
-        "Category": _nan_when(line % 6 == 0, F.col("p_type")),
+        "Category": _nan_when(
+            line % 6 == 0,
+            F.when(order % 41 == 0, F.concat("p_type", F.lit(" X"))).otherwise(F.col("p_type")),
+        ),
         "Sub-Category": F.when(line % 5 == 0, " ").otherwise(F.col("p_brand")),
         "Product Name": F.when(variant, F.concat(F.col("p_name"), F.lit(" (alt)"))).otherwise(
             F.col("p_name")
@@ -106,7 +120,12 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             order % 3 == 0,
             F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice"), 2)),
         ).otherwise(plain_sales),
-        "Quantity": _text(F.col("l_quantity").cast("decimal(6,1)")),
+        "Quantity": _text(
+            F.when(order % 101 == 0, -quantity)
+            .when(order % 103 == 0, quantity + 0.5)
+            .otherwise(quantity)
+            .cast("decimal(6,1)")
+        ),
         "Discount": _text(F.when(line % 5 == 0, -discount).otherwise(discount)),
         "Profit": _nan_when(
             F.col("l_partkey") % 53 == 0,
@@ -139,17 +158,18 @@ def raw_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One manager per region, plus two entries that cleaning has to remove."""
+    """A manager per region and a second one in the West, plus two entries that cleaning removes."""
     key = F.col("r_regionkey")
     spelled = F.coalesce(*[F.when(key == k, name) for k, name in PEOPLE_REGIONS.items()])
     managers = spark.read.parquet(f"{sf_dir}/region.parquet").select(
         F.concat(F.lit("Mgr "), F.col("r_name")).alias("Regional Manager"),
         spelled.alias("Region"),
     )
-    removed = spark.createDataFrame(
-        [("Temporary Manager", "West"), ("nan", "East")], managers.schema
+    others = spark.createDataFrame(
+        [("Temporary Manager", "West"), ("nan", "East"), ("Second Manager", "West")],
+        managers.schema,
     )
-    return managers.unionByName(removed)
+    return managers.unionByName(others)
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
