@@ -6,11 +6,13 @@ result is written before the next stage reads it, so a lost executor costs one s
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silvermart.llm import toxicity, word_bpe
-from silvermart.llm.common import Scratch, labels
+from silvermart.llm.common import Scratch, labels, short_batches
 from silvermart.llm.jaccard_join import link_documents
 from silvermart.llm.mixing import by_length, mix
 from silvermart.llm.queries import tokenizer_path
@@ -70,12 +72,21 @@ def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _stage(step):
+    @wraps(step)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", keep_one_of_each_group),
-    ("substring_dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("word_bpe", to_ids),
+    ("toxicity", _stage(drop_toxic)),
+    ("near_duplicates", _stage(keep_one_of_each_group)),
+    ("substring_dedup", _stage(cut_repeats)),
+    ("mixing", _stage(mix_sources)),
+    ("word_bpe", _stage(to_ids)),
 ]
 
 # The trained scores, the draw and the tokenizer are beyond SQL.

@@ -5,17 +5,33 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silvermart.llm.spans import slices
+
 # The white space of the word rule, as code points and as a Java class.
 SPACES = "\t\n\x0b\x0c\r "
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+# Rows handed to a Python worker at once. Texts are long, and a task holds a batch several times.
+ROWS_PER_BATCH = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size for Python workers to what texts allow; results are the same."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -24,6 +40,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
@@ -94,6 +111,20 @@ def stored(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).store("rows", df)
 
 
+def text_parts(
+    batch: pa.RecordBatch, *columns: str, limit: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded size, by the bytes of some text (or list) columns."""
+    sizes = np.ones(batch.num_rows, np.int64)
+    for name in columns:
+        values = batch.column(name)
+        listed = pa.types.is_list(values.type)
+        length = pc.list_value_length(values) if listed else pc.binary_length(values)
+        sizes += (8 if listed else 1) * pc.fill_null(length, 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes.tolist(), limit):
+        yield batch.slice(a, b - a)
+
+
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],

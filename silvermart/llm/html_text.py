@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from silvermart.llm.common import add_columns
+from silvermart.llm.common import add_columns, text_parts
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -311,8 +311,9 @@ def extract(pages: DataFrame, html_column: str = "html", text_column: str = "tex
     """
 
     def read(batch: pa.RecordBatch):
-        texts = [main_text(page) for page in batch.column(html_column).to_pylist()]
-        yield batch, [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+        for part in text_parts(batch, html_column):
+            texts = [main_text(page) for page in part.column(html_column).to_pylist()]
+            yield part, [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
 
     fields = [T.StructField(text_column, T.StringType()), T.StructField("n_chars", T.LongType())]
     return add_columns(pages, fields, read, without=(html_column,))

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvermart.llm.common import Scratch
+from silvermart.llm.common import Scratch, text_parts
 from silvermart.llm.components import components
-from silvermart.llm.spans import SPACES, U, _STEP, mixed, slices, windows, words
+from silvermart.llm.spans import SPACES, U, _STEP, mixed, windows, words
 
 GRAM = 4
 PER_CENT = 85
@@ -46,7 +46,6 @@ MOST_NEIGHBOURS = 24
 SKETCH_BYTES = 64
 # Members of an index entry that are compared in one place.
 BLOCK = 1024
-BATCH_CHARS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -235,14 +234,13 @@ def _sets(texts: DataFrame, gram: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text").to_pylist()
-            for a, b in slices([len(t) + 1 for t in column], BATCH_CHARS):
-                value, first = shingles(column[a:b], gram)
+            for rows in text_parts(batch, "text"):
+                value, first = shingles(rows.column("text").to_pylist(), gram)
                 one, two = set_hashes(value, first)
                 sketch = parities(value, first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc").slice(a, b - a),
+                        rows.column("doc"),
                         pa.array(np.diff(first)),
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
@@ -262,20 +260,19 @@ def _index(texts: DataFrame, gram: int, similarity: Similarity) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            column = batch.column("text").to_pylist()
-            for a, b in slices([len(t) + 1 for t in column], BATCH_CHARS):
-                value, first = shingles(column[a:b], gram)
+            for rows in text_parts(batch, "text"):
+                value, first = shingles(rows.column("text").to_pylist(), gram)
                 one, _ = set_hashes(value, first)
                 # Copies met again in this task need no second entry.
                 fresh = [
                     i for i, h in enumerate(one.tolist()) if h not in seen and not seen.add(h)
                 ]
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 size = np.diff(first)[fresh]
                 start = np.cumsum(size) - size
-                rows = np.arange(int(size.sum())) + np.repeat(first[fresh] - start, size)
-                key, owner = entries(value[rows], np.r_[start, size.sum()], similarity)
+                held = np.arange(int(size.sum())) + np.repeat(first[fresh] - start, size)
+                key, owner = entries(value[held], np.r_[start, size.sum()], similarity)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(one[fresh][owner].view(np.int64))],
                     names=["entry", "one"],
@@ -287,13 +284,12 @@ def _index(texts: DataFrame, gram: int, similarity: Similarity) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, gram: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their whole texts."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = list(batch["left"]), list(batch["right"])
-            keep = np.zeros(len(batch), bool)
-            for i, j in slices([len(x) + len(y) for x, y in zip(left, right)], BATCH_CHARS):
-                value, first = shingles(left[i:j] + right[i:j], gram)
-                n = j - i
+            for rows in text_parts(batch, "left", "right"):
+                left, right = (rows.column(c).to_pylist() for c in ("left", "right"))
+                value, first = shingles(left + right, gram)
+                n = len(left)
                 size = np.diff(first)
                 # Elements of both sides of a pair meet under the pair's number.
                 pair = np.repeat(np.r_[np.arange(n), np.arange(n)], size)
@@ -302,12 +298,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, gram: int, per_cent: int) -> D
                 twice = (p[1:] == p[:-1]) & (v[1:] == v[:-1])
                 common = np.bincount(p[1:][twice], minlength=n)
                 union = size[:n] + size[n:] - common
-                keep[i:j] = (union > 0) & (100 * common >= per_cent * union)
-            yield batch.loc[keep, ["a", "b"]]
+                keep = (union > 0) & (100 * common >= per_cent * union)
+                yield rows.select(["a", "b"]).filter(pa.array(keep))
 
     one = texts.select(F.col("doc").alias("a"), F.col("text").alias("left"))
     two = texts.select(F.col("doc").alias("b"), F.col("text").alias("right"))
-    return pairs.join(one, "a").join(two, "b").mapInPandas(read, "a long, b long")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(read, "a long, b long")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)

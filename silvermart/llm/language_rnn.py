@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silvermart.llm.common import add_columns, held_out, uniform
+from silvermart.llm.common import add_columns, held_out, text_parts, uniform
 from silvermart.llm.spans import slices
 
 PIECE = 48
@@ -278,8 +278,9 @@ def identify(
     """
 
     def read(batch: pa.RecordBatch):
-        names, chances = model.predict(batch.column("text").to_pylist())
-        yield batch, [pa.array(names, pa.string()), pa.array(chances, pa.float64())]
+        for part in text_parts(batch, "text"):
+            names, chances = model.predict(part.column("text").to_pylist())
+            yield part, [pa.array(names, pa.string()), pa.array(chances, pa.float64())]
 
     fields = [T.StructField(language, T.StringType()), T.StructField(chance, T.DoubleType())]
     return add_columns(docs, fields, read)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from silvermart.llm.common import add_columns
+from silvermart.llm.common import add_columns, text_parts
 from silvermart.llm.spans import slices, windows, words
 from silvermart.llm.toxicity import labelled
 
@@ -24,7 +24,7 @@ PASSAGE_WORDS = 40
 # Documents learned from, per label; ids in the order of a hash, whole texts.
 MOST_PER_LABEL = 3000
 CODE, GATE = 12, 8
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 # Byte classes that tell prose from junk.
 _CLASSES = np.full(256, 9, np.uint8)  # other marks
@@ -208,8 +208,9 @@ def score(docs: DataFrame, model: Model, column: str = "quality") -> DataFrame:
     """
 
     def read(batch: pa.RecordBatch):
-        scores = model.scores(batch.column("text").to_pylist())
-        yield batch, [pa.array(scores, pa.float64())]
+        for part in text_parts(batch, "text"):
+            scores = model.scores(part.column("text").to_pylist())
+            yield part, [pa.array(scores, pa.float64())]
 
     return add_columns(docs, [T.StructField(column, T.DoubleType())], read)
 

@@ -10,7 +10,7 @@ import numpy as np
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15  # odd; the base of the word hash
 _BACK = pow(_STEP, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

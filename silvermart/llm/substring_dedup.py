@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silvermart.llm.common import Scratch, add_columns
-from silvermart.llm.spans import _BACK, _STEP, U, _power, mixed, slices, windows, words
+from silvermart.llm.common import Scratch, add_columns, text_parts
+from silvermart.llm.spans import _BACK, _STEP, U, _power, mixed, windows, words
 
 LEAST = 35
 GRAM = 8
@@ -38,7 +38,6 @@ PER_RUN = LEAST - GRAM + 1
 # An automaton holds at most this many words, or the runs of one anchor.
 SHARD_WORDS = 200_000
 MOST_RUNS = 2_000
-BATCH_CHARS = 1 << 21
 
 _PLACE_BITS = 28
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,18 +103,16 @@ def find_runs(keyed: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            doc = batch.column("__doc").to_numpy()
-            part = batch.column("__part").to_numpy()
-            for a, b in slices([len(t) + 1 for t in texts], BATCH_CHARS):
-                text, start, count, anchor, whole = runs(texts[a:b])
+            for rows in text_parts(batch, "text"):
+                text, start, count, anchor, whole = runs(rows.column("text").to_pylist())
+                doc, part = rows.column("__doc").to_numpy(), rows.column("__part").to_numpy()
                 place = (
-                    (part[a:b][text] << (_START_BITS + _LENGTH_BITS))
+                    (part[text] << (_START_BITS + _LENGTH_BITS))
                     | (start << _LENGTH_BITS)
                     | (count - 1)
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor, whole, doc[a:b][text], place)],
+                    [pa.array(x) for x in (anchor, whole, doc[text], place)],
                     names=["anchor", "whole", "doc", "place"],
                 )
 
@@ -346,11 +343,12 @@ def _cut(rows: DataFrame, text_column: str, least: int) -> DataFrame:
         return len(split), int(gone.sum()), spans, kept
 
     def read(batch: pa.RecordBatch):
-        texts, own = batch.column(text_column).to_pylist(), batch.column("__runs").to_pylist()
-        found = [cut(t, r) for t, r in zip(texts, own)]
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         kinds = (pa.int64(), pa.int64(), span, pa.string())
-        yield batch, [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
+        for part in text_parts(batch, text_column):
+            texts, own = part.column(text_column).to_pylist(), part.column("__runs").to_pylist()
+            found = [cut(t, r) for t, r in zip(texts, own)]
+            yield part, [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
 
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
     fields = [

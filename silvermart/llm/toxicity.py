@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silvermart.llm.common import add_columns, held_out
+from silvermart.llm.common import add_columns, held_out, text_parts
 from silvermart.llm.spans import PUNCTUATION, U, Words, mixed, slices, words
 
 BITS = 20
 # Documents learned from, per label; ids in the order of a hash, whole texts.
 MOST_PER_LABEL = 3000
 GRAMS = ((0,), (0, 1), (0, 2), (0, 3))  # word; pair; pairs that skip one and two words
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def grams(found: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,8 +171,9 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """
 
     def read(batch: pa.RecordBatch):
-        scores = model.scores(batch.column("text").to_pylist())
-        yield batch, [pa.array(scores, pa.float64())]
+        for part in text_parts(batch, "text"):
+            scores = model.scores(part.column("text").to_pylist())
+            yield part, [pa.array(scores, pa.float64())]
 
     return add_columns(docs, [T.StructField(column, T.DoubleType())], read)
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
@@ -23,11 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from silvermart.llm.common import add_columns
-from silvermart.llm.spans import slices
+from silvermart.llm.common import add_columns, text_parts
 
 # The table is emptied when it holds this many words; memory stays bounded, results are the same.
-MOST_WORDS = 200_000
+MOST_WORDS = 150_000
 BATCH_CHARS = 1 << 19
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,17 +128,6 @@ class WordTable:
         return self.ids[at], np.r_[0, text_end]
 
 
-def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of bounded text size."""
-    values = batch.column(column)
-    if pa.types.is_list(values.type):
-        sizes = [8 * n for n in pc.fill_null(pc.list_value_length(values), 0).to_pylist()]
-    else:
-        sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
-    for a, b in slices([s + 1 for s in sizes], BATCH_CHARS):
-        yield batch.slice(a, b - a)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the ids of every whole text; a column of that name is replaced.
 
@@ -150,15 +137,34 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     tables: list[WordTable] = []
 
     def read(batch: pa.RecordBatch):
-        if not tables:
-            tables.append(WordTable(path))
-        for part in _parts(batch, text):
-            flat, starts = tables[0].encode(part.column(text).to_pylist())
+        for part in text_parts(batch, text, limit=BATCH_CHARS):
+            flat, starts = _table(tables, path).encode(part.column(text).to_pylist())
             yield part, [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))]
 
     return add_columns(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))], read)
 
 
+def _table(tables: list[WordTable], path: str) -> WordTable:
+    """The task's table, made when the first batch comes."""
+    if not tables:
+        tables.append(WordTable(path))
+    return tables[0]
+
+
+def spelled(flat: np.ndarray, ends: np.ndarray, path: str) -> list[str]:
+    """The texts that rows of ids stand for; row i ends at `ends[i]`."""
+    known, pieces = tokenizer(path), pieces_of(path)
+    size, found, a = len(pieces), [], 0
+    for b in ends.tolist():
+        mine, a = flat[a:b].tolist(), b
+        if known.decoder is None:
+            named = [pieces[i] for i in mine if 0 <= i < size]
+            found.append(" ".join([p for p in named if p is not None]))
+        else:
+            found.append(known.decode(mine, skip_special_tokens=False))
+    return found
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`docs` with the text that lists of ids stand for, special pieces included.
 
@@ -166,27 +172,27 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     """
 
     def read(batch: pa.RecordBatch):
-        known = tokenizer(path)
-        pieces = pieces_of(path)
-        size, joined = len(pieces), known.decoder is None
-        for part in _parts(batch, ids):
+        for part in text_parts(batch, ids, limit=BATCH_CHARS):
             column = part.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            found = []
-            for a, b in zip(ends - sizes, ends):
-                mine = flat[a:b].tolist()
-                if joined:
-                    named = [pieces[i] for i in mine if 0 <= i < size]
-                    found.append(" ".join([p for p in named if p is not None]))
-                else:
-                    found.append(known.decode(mine, skip_special_tokens=False))
-            yield part, [pa.array(found, pa.string())]
+            yield part, [pa.array(spelled(flat, np.cumsum(sizes), path), pa.string())]
 
     return add_columns(docs, [T.StructField(text, T.StringType())], read)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """`docs` with ids and decoded text, in one pass."""
-    return decode(encode(docs, path), path)
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """`docs` with ids and decoded text, as encode and decode give them, in one pass."""
+    tables: list[WordTable] = []
+
+    def read(batch: pa.RecordBatch):
+        for part in text_parts(batch, text, limit=BATCH_CHARS):
+            flat, starts = _table(tables, path).encode(part.column(text).to_pylist())
+            listed = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
+            yield part, [listed, pa.array(spelled(flat, starts[1:], path), pa.string())]
+
+    fields = [
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded", T.StringType()),
+    ]
+    return add_columns(docs, fields, read)
