@@ -20,8 +20,13 @@ ORDER = {
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests", "4", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    return local_session(
+        "tests",
+        "4",
+        **{"spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": warehouse},
+    )
 
 
 @pytest.fixture
