@@ -6,6 +6,7 @@ computes its own result from them on every call.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,38 @@ def _stringify_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline with a database: every table read back by its name in the catalog."""
+    database = f"silvermart_{uuid.uuid4().hex}"
+    measures = {
+        "trusted_orders": "quantity", "fact_orders": "quantity", "dim_date": "date_key",
+        **{f"dim_{d}": f"{d}_key" for d in ("customer", "product", "geography", "shipping")},
+    }
+    try:
+        run_pipeline(spark, feed.sheets(spark, sf_dir), scratch_root(spark, "catalog"), database)
+        rows = [
+            (
+                name,
+                *spark.table(f"{database}.{name}").agg(F.count(F.lit(1)), F.sum(measure)).first(),
+            )
+            for name, measure in measures.items()
+        ]
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+    return spark.createDataFrame(rows, "table_name string, rows long, total long")
+
+
+def _view_sales(w: Workspace) -> DataFrame:
+    """Quantities by category and manager, in SQL over the temporary views of the star schema."""
+    for name, df in {**w.dims, "fact_orders": w.fact}.items():
+        df.createOrReplaceTempView(name)
+    return w.spark.sql(
+        """SELECT category, regional_manager, count(*) AS lines, sum(quantity) AS quantity
+           FROM fact_orders JOIN dim_product USING (product_key)
+           JOIN dim_geography USING (geography_key) GROUP BY category, regional_manager"""
+    )
+
+
 def _column(name: str):
     return trim_all(F.col(f"`{name}`"))
 
@@ -239,6 +272,11 @@ def queries() -> dict[str, Query]:
         ),
         "flag_returns": _on(_flag_returns),
         "dedup_exact": _on(lambda w: _base(w).distinct()),
+        "dedup_trusted": _on(
+            lambda w: layer.dedup_exact(
+                layer.repaired_orders(w.raw["Orders"], w.raw["Returns"], w.raw["People"], w.scratch)
+            )
+        ),
         "trusted_orders": _on(_trusted),
         "trusted_orders_shuffled": _on(
             lambda w: layer.trusted_orders(
@@ -303,6 +341,8 @@ def queries() -> dict[str, Query]:
             )
         ),
         "full_refresh": _full_refresh,
+        "catalog_refresh": _catalog_refresh,
+        "view_sales": _on(_view_sales),
         # reports
         "bi_margin_by_category": _fact(reports.margin_by_category, "dim_product"),
         "bi_top10_loss": _fact(reports.top_loss_products, "dim_product"),

@@ -187,17 +187,12 @@ CTES: dict[str, tuple[list[str], str]] = {
     FROM base WHERE product_name IS NOT NULL GROUP BY product_id, product_name
     QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY count(*) DESC, product_name) = 1""",
     ),
-    "trusted": (
+    "deduplicated": (
         [
             "base", "returned", "people", "order_fill", "customer_fill", "product_fill",
             "postal_mode", "name_mode",
         ],
-        f"""SELECT * REPLACE (
-        CAST(CASE WHEN quantity < 0 THEN -floor(-quantity + 0.5) ELSE floor(quantity + 0.5) END
-             AS INTEGER) AS quantity,
-        CASE country WHEN 'United States' THEN 'US-' || region
-                     WHEN 'Canada' THEN 'CA-' || region ELSE region END AS region)
-    FROM (SELECT DISTINCT
+        f"""SELECT DISTINCT
         b.order_id, b.customer_id, coalesce(b.customer_name, customer_name_max) AS customer_name,
         b.product_id, order_date, ship_date, coalesce(ship_mode, ship_mode_max) AS ship_mode,
         segment, b.country, b.city, b.state,
@@ -214,7 +209,16 @@ CTES: dict[str, tuple[list[str], str]] = {
       LEFT JOIN name_mode USING (product_id)
       LEFT JOIN postal_mode USING (country, state, city)
       LEFT JOIN returned r ON r.order_id = b.order_id
-      LEFT JOIN people p ON p.region = {region("b.region")})""",
+      LEFT JOIN people p ON p.region = {region("b.region")}""",
+    ),
+    "trusted": (
+        ["deduplicated"],
+        """SELECT * REPLACE (
+        CAST(CASE WHEN quantity < 0 THEN -floor(-quantity + 0.5) ELSE floor(quantity + 0.5) END
+             AS INTEGER) AS quantity,
+        CASE country WHEN 'United States' THEN 'US-' || region
+                     WHEN 'Canada' THEN 'CA-' || region ELSE region END AS region)
+    FROM deduplicated""",
     ),
     "dim_customer": (
         ["trusted"],
@@ -447,6 +451,7 @@ def parts() -> dict[str, tuple[str, ...]]:
             "people",
         ),
         "dedup_exact": ("SELECT DISTINCT * FROM base", "base"),
+        "dedup_trusted": (f"SELECT {', '.join(TRUSTED)} FROM deduplicated", "deduplicated"),
         "trusted_orders": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
         "trusted_orders_shuffled": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
         "one_manager_per_region": (
@@ -607,6 +612,29 @@ def parts() -> dict[str, tuple[str, ...]]:
     UNION ALL SELECT 'fact_orders', count(*) FROM fact""",
             "raw_people", "fact", "dim_date",
         ),
+        "catalog_refresh": (
+            " UNION ALL ".join(
+                f"""SELECT '{name}' AS table_name, count(*) AS "rows",
+      CAST(sum({measure}) AS BIGINT) AS total FROM {table}"""
+                for name, table, measure in [
+                    ("trusted_orders", "trusted", "quantity"),
+                    ("fact_orders", "fact", "quantity"),
+                    ("dim_date", "dim_date", "date_key"),
+                    ("dim_customer", "dim_customer", "customer_key"),
+                    ("dim_product", "dim_product", "product_key"),
+                    ("dim_geography", "dim_geography", "geography_key"),
+                    ("dim_shipping", "dim_shipping", "shipping_key"),
+                ]
+            ),
+            "fact", "dim_date",
+        ),
+        "view_sales": (
+            """SELECT category, regional_manager, count(*) AS lines,
+      CAST(sum(quantity) AS BIGINT) AS quantity
+    FROM fact JOIN dim_product USING (product_key) JOIN dim_geography USING (geography_key)
+    GROUP BY category, regional_manager""",
+            "fact", "dim_product", "dim_geography",
+        ),
         # reports
         "bi_margin_by_category": (
             f"""SELECT category, {as_money("sum(s)")} AS sales, {as_money("sum(p)")} AS profit,

@@ -181,6 +181,11 @@ def flag_returns(
 # -- the whole layer -------------------------------------------------------------------------
 
 
+def dedup_exact(rows: DataFrame) -> DataFrame:
+    """Each row once, by all its columns; NULLs are equal."""
+    return rows.distinct()
+
+
 def trusted_orders(
     raw_orders: DataFrame,
     raw_returns: DataFrame,
@@ -190,6 +195,26 @@ def trusted_orders(
 ) -> DataFrame:
     """The trusted table; with `shuffled` every lookup goes the way of the large ones.
 
+    Exact duplicates count as such by the quantity as it was written, before it is rounded.
+    """
+    rows = repaired_orders(raw_orders, raw_returns, raw_people, store, shuffled)
+    return dedup_exact(rows).withColumns(
+        {
+            "quantity": whole(F.col("quantity")),
+            "region": prefix_region(F.col("country"), F.col("region")),
+        }
+    )
+
+
+def repaired_orders(
+    raw_orders: DataFrame,
+    raw_returns: DataFrame,
+    raw_people: DataFrame,
+    store: TableStore,
+    shuffled: bool = False,
+) -> DataFrame:
+    """Cleaned rows with every repair and join done, duplicates still among them.
+
     `raw_orders` is a stored table: every lookup scans just its own columns of it, and the main
     pass reads it once. Where the lookups are small enough to broadcast, the final distinct is
     the only shuffle of whole rows.
@@ -210,14 +235,7 @@ def trusted_orders(
     rows = overwritten(rows, "product_name", "product_name_original")
     rows = rows.withColumn("is_returned", F.coalesce(F.col("returned"), F.lit(0)))
 
-    columns = schemas.TRUSTED_ORDERS.names
-    # Exact duplicates count as such by the quantity as it was written, before it is rounded.
-    return rows.select(columns).distinct().withColumns(
-        {
-            "quantity": whole(F.col("quantity")),
-            "region": prefix_region(F.col("country"), F.col("region")),
-        }
-    )
+    return rows.select(schemas.TRUSTED_ORDERS.names)
 
 
 def build_lookups(
