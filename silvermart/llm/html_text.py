@@ -50,7 +50,7 @@ APART_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
     "toolbar form".split()
 )
-# Words in a class or id that say the same; those of the second set only outside the article.
+# Words in a class or id that say the same.
 APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer foot copyright "
@@ -59,7 +59,12 @@ APART_NAMES = frozenset(
     "disqus reply replies respond discussion pagination pager toolbar widget widgets form search "
     "skip hidden disclaimer alert rail".split()
 )
-APART_OUTSIDE = frozenset("header masthead banner topbar hero".split())
+# Whole names that say so outside the article, and words that turn a name into another statement.
+APART_OUTSIDE = frozenset(
+    "header masthead banner topbar hero site-header page-header main-header".split()
+)
+ABOUT_OTHERS = frozenset("has have no not with without".split())
+APART_ARTICLES = frozenset("comment comments reply related sponsored ad".split())
 NEVER_APART = frozenset(("html", "body", "main"))
 
 _TOKEN = re.compile(
@@ -70,7 +75,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(
-    r"(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
+    r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
     re.I,
 )
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -105,11 +110,14 @@ def _is_apart(tag: str, attributes: str, in_article: bool) -> bool:
             if value.strip().lower() in APART_ROLES:
                 return True
         else:
-            words = {w.lower() for w in _NAME.findall(value)}
-            if tag == "article":
-                words &= {"comment", "comments", "reply", "related", "sponsored", "ad"}
-            if words & APART_NAMES or (not in_article and words & APART_OUTSIDE):
-                return True
+            for whole in value.split():
+                words = {w.lower() for w in _NAME.findall(whole)}
+                if words & ABOUT_OTHERS:
+                    continue
+                if tag == "article":
+                    words &= APART_ARTICLES
+                if words & APART_NAMES or (not in_article and whole.lower() in APART_OUTSIDE):
+                    return True
     return False
 
 

@@ -273,13 +273,14 @@ def _by_counting(reference: DataFrame, least: int) -> DataFrame:
     each = reference.mapInPandas(
         read, "anchor long, whole long, times long, bit long, one long, two long"
     )
+    one = F.lit(1).cast("long")
     repeated = (
         each.groupBy("anchor", "one", "two").agg(F.sum("times").alias("all")).where("all >= 2")
     )
     return (
         each.join(repeated.drop("all"), ["anchor", "one", "two"], "left_semi")
         .groupBy("anchor", "whole")
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("mask"))
+        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit").cast("int"))).alias("mask"))
     )
 
 

@@ -42,6 +42,18 @@ def test_odd_pages():
     assert blocks("<script>var a='<p>no</p>'</script><p>yes") == ["yes"]
 
 
+def test_names_that_say_what_a_part_is():
+    page = (
+        '<div class="site-header"><p>Our site, your site, all sites</p></div>'
+        '<div class="post has-comments" data-id="ad"><div class="post-header"><h1>Head</h1></div>'
+        "<p>The text of the article, of some length.</p></div>"
+        '<section class="commentList"><p>I say this and that and then some more</p></section>'
+        '<div role="complementary"><p>Something beside it</p></div>'
+        '<p style="display: none">unseen</p>'
+    )
+    assert blocks(page) == ["Head", "The text of the article, of some length."]
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<div>" * 30000 + "x", "<a '" * 30000, "<p>x</b>" * 30000, "<p>" * 30000):
         blocks(page)

@@ -8,7 +8,7 @@ import corpus_pipeline as pipeline
 from silvermart.llm import toxicity
 from silvermart.llm.queries import tokenizer_path
 from silvermart.llm.word_bpe import tokenizer
-from tests.llm.conftest import SMALL, table
+from tests.llm.conftest import SMALL
 from tests.llm.test_jaccard_join import expected as components_of
 from tests.llm.test_substring_dedup import expected as kept_of
 
