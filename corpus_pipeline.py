@@ -20,6 +20,8 @@ from silvermart.llm.substring_dedup import remove_repeats
 
 # From this chance on a document is toxic and goes.
 TOXIC = 0.5
+# Near copies share this much of their word shingles; the query op8 has bounds of its own.
+NEAR_GRAM, NEAR_PER_CENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of rows with that id the one whose text has the least hash stays. Rows without an id are in no
     group and stay.
     """
-    linked = link_documents(docs)
+    linked = link_documents(docs, gram=NEAR_GRAM, per_cent=NEAR_PER_CENT)
     first = linked.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__id"))
     one = Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text")

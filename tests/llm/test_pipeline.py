@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from silvermart.llm import toxicity
 from silvermart.llm.queries import tokenizer_path
 from silvermart.llm.word_bpe import tokenizer
-from tests.llm.conftest import SMALL
+from tests.llm.conftest import LARGER, SMALL, table
 from tests.llm.test_jaccard_join import expected as components_of
 from tests.llm.test_substring_dedup import expected as kept_of
 
@@ -50,6 +52,55 @@ def test_one_document_of_each_group_stays(stages):
     assert set(map(tuple, after)) <= set(map(tuple, before))
 
 
+# Three documents with near copies that shingles of four words miss, and their groups.
+NEAR = (1, 255, 278, 582, 615, 709, 773, 830, 875, 944, 991)
+
+
+def near_groups(rows: list[tuple]) -> dict:
+    """The least id that pairs of five-word similarity from 80 per cent on lead to."""
+    sets = {}
+    for doc, text in rows:
+        w = (text or "").lower().split()
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    least = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]) and least[a] != least[b]:
+            x, y = sorted((least[a], least[b]))
+            least = {d: x if c == y else c for d, c in least.items()}
+    return least
+
+
+def test_near_copies_from_four_fifths_of_five_word_shingles_go(spark, docs):
+    rows, of = [], 0
+    for size in (60, 104, 220):
+        for changed in range(0, size // 12, 2):
+            of += 1
+            words = [f"t{of}w{i}" for i in range(size)]
+            rows.append((len(rows), " ".join(words)))
+            for k in range(changed):
+                words[7 + 11 * k] = f"x{k}"
+            rows.append((len(rows), " ".join(words)))
+    # The first words alone keep 96 and 100 of the 120 shingles.
+    for cut in (24, 20):
+        words = [f"c{cut}w{i}" for i in range(124)]
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(words[: 124 - cut])))
+    least = near_groups(rows)
+    got = pipeline.keep_one_of_each_group(spark, docs(*rows), SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, c in least.items() if d == c)
+    assert len(least) > len(got) > len(least) // 2
+
+
+def test_one_of_each_group_stays_of_the_larger_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table("documents", LARGER)]
+    least = near_groups([r for r in rows if r[0] in NEAR])
+    frame = spark.read.parquet(f"{LARGER}/documents.parquet").where(F.col("doc_id").isin(*NEAR))
+    got = pipeline.keep_one_of_each_group(spark, frame, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, c in least.items() if d == c)
+    assert not {255, 875, 944} & {r.doc_id for r in got}
+
+
 def test_repeats_are_cut(stages):
     before, after = stages[2], {r.doc_id: r for r in stages[3]}
     assert len(after) == len(before)
