@@ -3,11 +3,12 @@
 References are learned from the corpus, over all documents that name their language: per language
 the median share of each character class, which odd documents do not move, and the shares of the
 language's most frequent short words. A document is compared with every reference by Jensen-Shannon
-distance and the nearest one counts. Histograms of too few words say nothing, so each rule has a
-least length below which it does not reject.
+distance and the nearest one counts. Short texts stray further from their language, so both limits
+depend on the length: the class limit is fixed from about 40 words on and grows as characters get
+fewer, the word limit is learned per language from how far its documents of that length stray.
 
 The texts are read twice: once to count words, once to measure. What is measured is a short row per
-document, which is stored; medians, distances and verdicts come from there.
+document, which is stored; medians, distances, limits and verdicts come from there.
 """
 
 from __future__ import annotations
@@ -25,8 +26,14 @@ MOST_REPEATED = 20  # per cent of the words
 # Parameters of the divergence rules.
 COMMON = 50  # words per language
 COMMON_LETTERS = 6  # function words are short
-CLASS_LIMIT, CLASS_WORDS = 0.23, 100
-WORD_LIMIT, WORD_WORDS = 0.60, 40
+# The limit of texts of at least so many characters; shorter ones stray as the root of the length.
+CLASS_LIMIT, CLASS_CHARS = 0.23, 200
+# Lengths are put into bands, so many for each doubling; the last one is open.
+BANDS, LAST_BAND = 2, 40
+# The word limit of a band: the median distance and so many standard deviations, which are taken
+# from the lower quartile, as odd documents lie above. A band needs so many documents to say it.
+WORD_DEVIATIONS, BAND_DOCS = 3.0, 30
+QUARTILE = 0.6745
 
 # Character classes counted in what is left of a text without lower-case letters and white space.
 # The two of SYMBOL_CLASSES hold the symbols of the base rules.
@@ -286,13 +293,56 @@ def word_distance(shares: Column, references: list[list[float]]) -> list[Column]
     return [to(r) for r in references]
 
 
+def band_of(words: Column) -> Column:
+    """The band of a number of words, from 0 on."""
+    return F.least(
+        F.floor(F.log2(F.greatest(words, F.lit(1))) * BANDS).cast("int"), F.lit(LAST_BAND)
+    )
+
+
+def word_limits(rows: DataFrame, languages: list[str]) -> list[list[float | None]]:
+    """By language and band the word distance beyond which a document is odd.
+
+    `rows`: lang, plain, and to_words, the distance to every language; those that name their
+    language count. A band of few documents has the limit of the nearest shorter one that has
+    enough, which is wider; without such a band there is none. A row per language and band
+    reaches the driver.
+    """
+    place = F.array_position(F.array(*[F.lit(x) for x in languages]).cast("array<string>"), F.col("lang"))
+    own = F.get("to_words", place.cast("int") - 1)
+    found = (
+        rows.where(F.col("lang").isNotNull() & (F.col("plain") > 0))
+        .select("lang", band_of(F.col("plain")).alias("band"), own.alias("own"))
+        .where("own is not null")
+        .groupBy("lang", "band")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx("own", [0.25, 0.5], 1000).alias("at"),
+        )
+        .where(F.col("n") >= BAND_DOCS)
+        .collect()
+    )
+    known = {
+        (r.lang, r.band): r["at"][1] + WORD_DEVIATIONS * (r["at"][1] - r["at"][0]) / QUARTILE
+        for r in found
+    }
+    limits = []
+    for language in languages:
+        limit, by_band = None, []
+        for band in range(LAST_BAND + 1):
+            limit = known.get((language, band), limit)
+            by_band.append(limit)
+        limits.append(by_band)
+    return limits
+
+
 def judge(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """The base counts, both distances and the verdict on every document.
 
     `docs` has doc_id, text and lang. NULL and empty texts count nothing and fail the base rules;
     rows are judged one by one, so repeated rows get equal verdicts; without references (no document
-    names a language) the divergence rules reject nothing; an empty table stays empty; other
-    columns are ignored.
+    names a language) the divergence rules reject nothing, and without enough documents of a language the
+    word rule accepts whatever is nearest to it; an empty table stays empty; other columns are ignored.
     """
     docs = docs.select("doc_id", "text", "lang")
     by_language = common_words(docs, common)
@@ -310,23 +360,52 @@ def judge(docs: DataFrame, common: int = COMMON) -> DataFrame:
             lambda e: F.struct(e["place"].alias("place"), (e["n"] / F.col("plain")).alias("p")),
         ).alias("word_shares"),
     )
-    rows = rows.select(
+    none = F.lit(None).cast("array<double>")
+    to_words = word_distance(F.col("word_shares"), references)
+    rows = stored(
+        rows.select(
+            "doc_id",
+            "lang",
+            "plain",
+            "n_words",
+            "word_chars",
+            sum(F.get("classes", F.lit(i)) for i in SYMBOL_CLASSES).alias("n_symbols"),
+            "n_dup_lines",
+            "n_repeat_words",
+            (
+                (F.col("n_words") < LEAST_WORDS)
+                | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+            ).alias("base_failed"),
+            _nearest(class_distance(F.col("class_shares"), medians), total > 0).alias(
+                "class_distance"
+            ),
+            (
+                F.when(F.col("plain") > 0, F.array(*to_words)).otherwise(none)
+                if to_words
+                else none
+            ).alias("to_words"),
+        )
+    )
+    limits = word_limits(rows, list(by_language))
+    band = band_of(F.col("plain"))
+    table = F.array(
+        *[F.array(*[F.lit(x) for x in by_band]).cast("array<double>") for by_band in limits]
+    ).cast("array<array<double>>")
+    # NULL, which rejects nothing, where the language has no limit.
+    nearest = F.array_position("to_words", F.array_min("to_words")).cast("int") - 1
+    limit = F.get(F.get(table, nearest), band)
+    shortness = F.sqrt(F.greatest(F.lit(1.0), CLASS_CHARS / total))
+    odd_classes = F.col("class_distance") > CLASS_LIMIT * shortness
+    odd = odd_classes | (F.array_min("to_words") > limit)
+    return rows.select(
         "doc_id",
         "n_words",
         "word_chars",
-        sum(F.get("classes", F.lit(i)) for i in SYMBOL_CLASSES).alias("n_symbols"),
+        "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        (
-            (F.col("n_words") < LEAST_WORDS)
-            | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-        ).alias("base_failed"),
-        _nearest(class_distance(F.col("class_shares"), medians), total > 0).alias("class_distance"),
-        _nearest(word_distance(F.col("word_shares"), references), F.col("plain") > 0).alias(
-            "word_distance"
-        ),
+        "base_failed",
+        "class_distance",
+        F.array_min("to_words").alias("word_distance"),
+        (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"),
     )
-    odd = (
-        (F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > CLASS_LIMIT)
-    ) | ((F.col("n_words") >= WORD_WORDS) & (F.col("word_distance") > WORD_LIMIT))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))

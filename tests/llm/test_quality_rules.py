@@ -6,6 +6,8 @@ from collections import Counter
 from silvermart.llm.quality_rules import judge
 from tests.llm.conftest import LARGER, table
 
+LARGEST = "/root/testdata/sf0.1"
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -42,6 +44,21 @@ def test_base_counts_and_verdicts(spark):
     assert sum(verdicts[0]) <= 0.1 * len(verdicts[0])
 
 
+def test_verdicts_on_short_texts(spark):
+    marks = {r["doc_id"]: r["quality"] for r in table("labels", LARGEST)}
+    got = judge(spark.read.parquet(f"{LARGEST}/documents.parquet")).collect()
+    kept: dict = {}
+    for r in got:
+        if 40 <= r.n_words < 100 and not r.base_failed and r.doc_id in marks:
+            kept.setdefault(marks[r.doc_id], []).append(r.kept)
+    assert len(kept[0]) >= 30 and sum(kept[0]) <= 0.3 * len(kept[0])
+    assert sum(kept[1]) >= 0.96 * len(kept[1])
+    # Either half of the method rejects texts that the other keeps.
+    by_words = [r for r in got if not r.kept and not r.base_failed and r.class_distance <= 0.23]
+    assert by_words and any(r.n_words < 100 for r in by_words)
+    assert any(not r.kept and not r.base_failed and r.n_words < 40 for r in got)
+
+
 def test_odd_rows(docs):
     prose = "the cat and the dog went to the house of the man. "
     texts = {
