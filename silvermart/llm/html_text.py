@@ -2,8 +2,10 @@
 
 Every node of a page gets a density: its characters per tag, scaled down the more of them are
 links. The sum of a node's child densities is largest where many dense blocks stand side by side,
-which is the article. The lowest density on the way from body to that node is the threshold a
-neighbour must reach to belong to the article as well. Menus, sidebars, forms, adverts, comments
+which is the article. The lowest density on the way from body to that node is the threshold that
+each neighbour on this way must reach by itself to belong to the article as well; headings belong
+to it in any case. An article or main element on the way is the article whatever its neighbours'
+densities. Menus, sidebars, forms, adverts, comments
 and the like are known by their tags, roles and names and never count.
 """
 
@@ -186,6 +188,16 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def _density(chars: int, links: int, tags: int, link_tags: int, share: float) -> float:
+    """Characters per tag, less the more of them are links; `share` is that of the page."""
+    if not chars:
+        return 0.0
+    mixed = chars / max(1, chars - links) * links + share * chars
+    base = max(math.log(math.log(mixed + math.e)), 0.05)
+    free = max(1.0, chars / max(1, links) * max(1, tags) / max(1, link_tags))
+    return chars / max(1, tags) * math.log(free) / base
+
+
 def densities(tree: Tree) -> tuple[list[float], list[int], list[int]]:
     """Per node its link-adjusted characters per tag, its characters and its link characters."""
     n = len(tree.tag)
@@ -204,21 +216,15 @@ def densities(tree: Tree) -> tuple[list[float], list[int], list[int]]:
         tags[up] += tags[i] + 1
         link_tags[up] += link_tags[i] + (tree.tag[i] == "a")
     share = links[0] / max(1, chars[0])
-    result = []
-    for c, lc, t, lt in zip(chars, links, tags, link_tags):
-        if not c:
-            result.append(0.0)
-            continue
-        per_tag = c / max(1, t)
-        mixed = c / max(1, c - lc) * lc + share * c
-        base = max(math.log(math.log(mixed + math.e)), 0.05)
-        free = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
-        result.append(per_tag * math.log(free) / base)
+    result = [_density(*of, share) for of in zip(chars, links, tags, link_tags)]
     return result, chars, links
 
 
-def main_node(tree: Tree) -> int:
-    """The root of the article, -1 if the page has no text outside of menus and the like."""
+def main_node(tree: Tree) -> tuple[int, set[int], set[int]]:
+    """The root of the article, and the nodes and the numbers of pieces below it that are not of it.
+
+    The root is -1 if the page has no text outside of menus and the like.
+    """
     density, chars, links = densities(tree)
     n = len(tree.tag)
     children: list[list[int]] = [[] for _ in range(n)]
@@ -242,7 +248,7 @@ def main_node(tree: Tree) -> int:
             best, most = i, value
     if best < 0:
         has_text = next((i for i in range(n) if direct[i]), -1)
-        return body if has_text >= 0 else -1
+        return (body if has_text >= 0 else -1), set(), set()
 
     path, up = [], best
     while up >= 0:
@@ -253,16 +259,72 @@ def main_node(tree: Tree) -> int:
     threshold = min(density[i] for i in path)
     whole = next((i for i in reversed(path) if tree.tag[i] in ("article", "main")), None)
     if whole is not None:
-        return whole
-    root = best
-    for up in path[1:]:
-        others = [c for c in children[up] if c != root and chars[c]]
-        inline = tree.tag[root] not in BLOCK
-        if inline or all(density[c] >= threshold or tree.tag[c] in HEADINGS for c in others):
-            root = up
-        else:
-            break
-    return root
+        return whole, set(), set()
+    return path[-1], *_sparse(tree, path, threshold, density, chars, links)
+
+
+def _sparse(
+    tree: Tree,
+    path: list[int],
+    threshold: float,
+    density: list[float],
+    chars: list[int],
+    links: list[int],
+) -> tuple[set[int], set[int]]:
+    """What stands beside the way up and is below the threshold: nodes, and numbers of pieces.
+
+    Blocks are judged one by one. Loose text between two blocks is judged together with the inline
+    elements in it. Around an inline element of the way nothing is sparse.
+    """
+    n = len(tree.tag)
+    judged = {up for root, up in zip(path, path[1:]) if tree.tag[root] in BLOCK}
+    on_path = set(path)
+    nodes: set[int] = set()
+    # Per node the child of the way it is in, itself if it is on the way.
+    branch = list(range(n))
+    for i in range(1, n):
+        up = tree.parent[i]
+        if i in on_path:
+            continue
+        if up not in on_path:
+            branch[i] = branch[up]
+        elif up in judged and tree.tag[i] in BLOCK and tree.tag[i] not in HEADINGS:
+            if chars[i] and density[i] < threshold:
+                nodes.add(i)
+    share = links[0] / max(1, chars[0])
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = linked[tree.parent[i]] or tree.tag[i] == "a"
+
+    pieces: set[int] = set()
+    run: list[int] = []
+
+    def close() -> None:
+        seen: set[int] = set()
+        size = link_size = 0
+        for at in run:
+            node, text = tree.pieces[at]
+            length = len(_DENSE.sub("", text))
+            size += length
+            link_size += length * linked[node]
+            while node not in on_path and node not in seen:
+                seen.add(node)
+                node = tree.parent[node]
+        link_tags = sum(tree.tag[i] == "a" for i in seen)
+        if size and _density(size, link_size, len(seen), link_tags, share) < threshold:
+            pieces.update(run)
+        run.clear()
+
+    for at, (node, text) in enumerate(tree.pieces):
+        if text is False:
+            close()
+        elif text and not tree.apart[node]:
+            top = branch[node]
+            level = top if top in on_path else tree.parent[top]
+            if level in judged and (top == level or tree.tag[top] not in BLOCK):
+                run.append(at)
+    close()
+    return nodes, pieces
 
 
 def _link_lists(tree: Tree) -> set[int]:
@@ -284,24 +346,24 @@ def blocks(page: str | None) -> list[str]:
     if not page:
         return []
     tree = parse(page)
-    root = main_node(tree)
+    root, sparse, loose = main_node(tree)
     if root < 0:
         return []
-    menus = _link_lists(tree)
+    left_out = _link_lists(tree) | sparse
     n = len(tree.tag)
     inside = [False] * n
     for i in range(root, n):
         up = tree.parent[i]
         inside[i] = i == root or (
-            up >= 0 and inside[up] and not tree.apart[i] and i not in menus
+            up >= 0 and inside[up] and not tree.apart[i] and i not in left_out
         )
     found: list[str] = []
     parts: list[str] = []
-    for node, text in tree.pieces:
+    for at, (node, text) in enumerate(tree.pieces):
         if text is False:
             found.append(" ".join("".join(parts).split()))
             parts = []
-        elif inside[node]:
+        elif inside[node] and at not in loose:
             parts.append(" " if text is None else text)
     found.append(" ".join("".join(parts).split()))
     return [b for b in found if b]

@@ -35,6 +35,36 @@ def test_article_without_an_article_element():
     ]
 
 
+def paragraphs(name: str, n: int) -> list[str]:
+    return [f"{name}{i} " + "the words of it " * 23 + "end" for i in range(n)]
+
+
+def section(name: str, n: int) -> str:
+    return "<div>" + "".join(f"<p>{t}</p>" for t in paragraphs(name, n)) + "</div>"
+
+
+def test_neighbours_are_judged_one_by_one():
+    byline = '<p>By <a href="x">Jane Doe</a></p>'
+    more = '<div><p><a href="y">One more</a></p><p><a href="z">Another one</a></p></div>'
+    inner = f"<h1>The title</h1>{byline}{section('a', 10)}{section('b', 3)}"
+    wanted = ["The title", *paragraphs("a", 10), *paragraphs("b", 3)]
+    assert blocks(f"<html><body><div>{inner}</div></body></html>") == wanted
+    # Sparse neighbours do not end the way up, on whatever level they stand.
+    page = f"<html><body>{more}<div>{inner}</div>{more}{section('c', 2)}</body></html>"
+    assert blocks(page) == wanted + paragraphs("c", 2)
+    # An article element is the article, whatever its parts' and its neighbours' densities.
+    page = f"<body><article>{byline}{section('a', 10)}</article>{section('b', 3)}</body>"
+    assert blocks(page) == ["By Jane Doe", *paragraphs("a", 10)]
+
+
+def test_loose_text_is_judged_with_the_elements_in_it():
+    long = "loose words " * 150
+    links = '<a href="x">One</a> | <a href="y">Two</a>'
+    page = f"<body>{links}{section('a', 10)}{long}and <b>bold</b> ones{section('b', 3)}{links}</body>"
+    loose = " ".join(f"{long}and bold ones".split())
+    assert blocks(page) == [*paragraphs("a", 10), loose, *paragraphs("b", 3)]
+
+
 def test_odd_pages():
     assert blocks(None) == [] and blocks("") == [] and blocks("<nav>x</nav>") == []
     assert blocks("plain text <b>only") == ["plain text only"]
