@@ -25,10 +25,17 @@ NEAR_GRAM, NEAR_PER_CENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; NULL and empty texts stay."""
+    """Documents whose toxicity is below the threshold.
+
+    NULL, empty and other texts without words stay, and all documents if the labels that can be
+    learned from are not of both kinds.
+    """
     model = toxicity.train(docs, labels(spark, sf_dir))
+    if not model.both_labels:
+        return docs
     scored = toxicity.score(docs, model, "__toxicity")
-    return scored.where(~toxicity.is_toxic(F.col("__toxicity"), TOXIC)).select(*docs.columns)
+    goes = toxicity.is_toxic(F.col("__toxicity"), TOXIC) & toxicity.has_words(F.col("text"))
+    return scored.where(~goes).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

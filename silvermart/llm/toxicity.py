@@ -56,11 +56,12 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """The weights that are not zero, and the constant."""
+    """The weights that are not zero, the constant, and whether both labels were learned from."""
 
     ids: np.ndarray
     weights: np.ndarray
     constant: float
+    both_labels: bool = True
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         table = np.zeros(1 << BITS, np.float32)
@@ -125,7 +126,8 @@ def fit(
             z0 += g - ((n0 + g * g) ** 0.5 - n0**0.5) / alpha * constant
             n0 += g * g
     ids = np.flatnonzero(np.abs(z) > l1)
-    return Model(ids.astype(np.int32), weights(ids).astype(np.float32), float(constant))
+    both = 0 < positive < len(rows)
+    return Model(ids.astype(np.int32), weights(ids).astype(np.float32), float(constant), both)
 
 
 def labelled(
@@ -178,5 +180,10 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     return add_columns(docs, [T.StructField(column, T.DoubleType())], read)
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text has a word that counts; NULL has none."""
+    return F.coalesce(text.rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"), F.lit(False))
+
+
 def is_toxic(value: Column, threshold: float = 0.5) -> Column:
     return value >= threshold

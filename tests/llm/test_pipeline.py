@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,28 @@ def test_one_document_of_each_group_stays(stages):
     assert set(map(tuple, after)) <= set(map(tuple, before))
 
 
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize(
+    "marks", [[], [(1, 1, None), (2, 0, None)], [(i, 1, 1) for i in range(1, 9)], [(None, 1, 1)]]
+)
+def test_nothing_goes_without_both_labels(spark, docs, tmp_path, marks):
+    spark.createDataFrame(marks, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = docs((None, "no id"), (0, None), *[(i, f"you fool {i}") for i in range(1, 9)])
+    got = pipeline.drop_toxic(spark, rows, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows.collect()))
+
+
+def test_texts_without_words_stay(spark, docs, monkeypatch):
+    none = np.zeros(0, np.int32)
+    model = toxicity.Model(none, none.astype(np.float32), 1.0)
+    monkeypatch.setattr(toxicity, "train", lambda docs, marks: model)
+    rows = docs((1, None), (2, ""), (3, " .\n!?"), (4, "a"), (5, "é"), (6, "7"))
+    got = pipeline.drop_toxic(spark, rows, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3]
+
+
 # Three documents with near copies that shingles of four words miss, and their groups.
 NEAR = (1, 255, 278, 582, 615, 709, 773, 830, 875, 944, 991)
 
