@@ -44,6 +44,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, unchanged; none for NULL and for white space alone."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvermart.llm import (
+    conversation_repair,
     language_rnn,
+    merkle_manifest,
     oracle,
     order_minhash,
     quality_mil,
     quality_rules,
     toxicity,
+    tree_dedup,
     word_bpe,
 )
-from silvermart.llm.common import documents, held_out, labels, pages
+from silvermart.llm.common import conversations, documents, held_out, labels, pages
 from silvermart.llm.html_text import extract
 from silvermart.llm.jaccard_join import link_documents
 from silvermart.llm.mixing import by_length, mix
@@ -115,6 +118,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle proof of every document, and the root of its version where it was tampered with."""
+    manifest = merkle_manifest.build(
+        documents(spark, sf_dir),
+        tampered=merkle_manifest.tampered_ids(F.col("doc_id")),
+        changes={"n_chars": merkle_manifest.one_more(F.col("n_chars"))},
+    )
+    return manifest.proofs().select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after planted damage."""
+    original = conversations(spark, sf_dir)
+    return conversation_repair.repair_all(original, conversation_repair.damage(original))
+
+
+def op13_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of each group of equal texts stays."""
+    return tree_dedup.exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_html_text": op2_html_text,
@@ -126,10 +153,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_tree_dedup": op13_tree_dedup,
 }
 
 # The other operators are beyond SQL: learned scores, hash draws, page trees, token ids.
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op8_jaccard_join": oracle.JACCARD_JOIN,
+    "op11_merkle_manifest": oracle.MERKLE_MANIFEST,
+    "op12_conversation_repair": oracle.CONVERSATION_REPAIR,
+    "op13_tree_dedup": oracle.TREE_DEDUP,
 }
