@@ -24,6 +24,8 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from silvermart.llm.common import SPACES, Scratch
 from silvermart.llm.numbering import numbered
@@ -317,11 +319,8 @@ def _summed(conv: str, blocks: Iterable[tuple]) -> list[dict]:
 def _in_groups(rows: DataFrame, keys: int, schema: str, answer) -> DataFrame:
     """`answer(key, rows)` of each run of rows with equal first columns, streamed."""
     names = rows.columns
-    spark_schema = rows.sparkSession.createDataFrame([], schema).schema
-    fields = [f.name for f in spark_schema]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(spark_schema)
+    returned = T.StructType.fromDDL(schema)
+    fields, arrow = returned.names, to_arrow_schema(returned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -337,7 +336,7 @@ def _in_groups(rows: DataFrame, keys: int, schema: str, answer) -> DataFrame:
                 [{f: h.get(f) for f in fields} for h in held], schema=arrow
             )
 
-    return rows.mapInArrow(run, spark_schema)
+    return rows.mapInArrow(run, returned)
 
 
 def _hashed(conv: str, rows: Iterable[tuple]) -> list[dict]:
