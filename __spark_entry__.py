@@ -292,9 +292,13 @@ def queries() -> dict[str, Query]:
         "dim_geography": _on(lambda w: star.dim_geography(w.trusted, w.scratch)),
         "dim_shipping": _on(lambda w: star.dim_shipping(w.trusted, w.scratch)),
         "dim_date": _on(lambda w: star.dim_date(w.trusted)),
-        "fact_orders": _on(lambda w: star.fact_orders(w.trusted, w.dims, w.scratch)),
+        "fact_orders": _on(
+            lambda w: star.fact_orders(w.trusted, w.dims, w.scratch, sizes=w.dim_sizes)
+        ),
         "fact_orders_shuffled": _on(
-            lambda w: star.fact_orders(w.trusted, w.dims, w.scratch, shuffled=True)
+            lambda w: star.fact_orders(
+                w.trusted, w.dims, w.scratch, shuffled=True, sizes=w.dim_sizes
+            )
         ),
         # checks of the raw feed
         "check_category_conflict": _conflict(checks.category_conflict),

@@ -6,6 +6,9 @@ A lookup is written first, so its size is known before the join is planned:
 * above it, both sides are shuffled by the key. A key with more rows than one task should get is
   hot: its rows are dealt over as many salts as it holds such shares, and its lookup rows are
   repeated once per salt. Rows with a NULL key need no partner and are dealt by their row number.
+
+Several large lookups (attach_all) meet row numbers and keys only, all in one join. The wide rows move
+once, by row number, to meet what was found, however many lookups there are.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvermart.sources.store import TableStore, row_bytes
+from silvermart.sources.store import TableStore, in_parallel
 
 ROW_TAG = "row_tag"
 SALT, SALTS = "salt", "salts"
@@ -49,10 +52,16 @@ def store_lookup(store: TableStore, name: str, df: DataFrame, on: list[str]) ->
     return Lookup(store, name, store.open(table), on, table.bytes)
 
 
-def stored_lookup(store: TableStore, name: str, stored: DataFrame, on: list[str]) -> Lookup:
-    """A lookup that reads a stored table; its size is taken by one scan of it."""
-    size = stored.agg(F.sum(row_bytes(stored.schema))).first()[0]
-    return Lookup(store, name, stored, on, size or 0)
+def stored_lookup(
+    store: TableStore, name: str, stored: DataFrame, on: list[str], size: int | None
+) -> Lookup:
+    """A lookup that reads a stored table, whose size is known from its write.
+
+    Without a size the rows are written once more, which measures them.
+    """
+    if size is None:
+        return store_lookup(store, name, stored, on)
+    return Lookup(store, name, stored, on, size)
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -73,20 +82,35 @@ def with_row_tag(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn(ROW_TAG, F.monotonically_increasing_id())
 
 
-def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
+def _present(on: list[str]):
+    return reduce(and_, [F.col(c).isNotNull() for c in on])
+
+
+def hot_keys(df: DataFrame, on: list[str], store: TableStore | None = None) -> DataFrame:
     """Keys with more rows than one of the `PIECES` of a task's share, and their number of salts.
 
     Fewer than PIECES times the shuffle partitions can be so, which bounds the result. Counted
-    before the shuffle, by a scan of the key columns.
+    before the shuffle, by a scan of the key columns; with a `store` the counts are written, so that
+    the total and the hot keys come from one count.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    if store:
+        counted = store.open(store.write("counts/" + "-".join(on), counted))
+    return hot_among(counted, on)
+
+
+def hot_among(counted: DataFrame, on: list[str]) -> DataFrame:
+    """hot_keys of rows that are counted already: keys and `n`, a key perhaps in several rows."""
+    spark = counted.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     piece = max(1.0, total / (partitions * PIECES))
-    present = reduce(and_, [F.col(c).isNotNull() for c in on])
-    return counted.where(present & (F.col("n") > piece)).select(
-        *on, F.ceil(F.col("n") / piece).cast("long").alias(SALTS)
+    return (
+        counted.where(_present(on))
+        .groupBy(*on)
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") > piece)
+        .select(*on, F.ceil(F.col("n") / piece).cast("long").alias(SALTS))
     )
 
 
@@ -107,7 +131,7 @@ def attach(
 
     # Fewer rows than PIECES times the shuffle partitions.
     salts = store.open(store.write(f"hot/{lookup.name}", hot()))
-    present = reduce(and_, [F.col(c).isNotNull() for c in on])
+    present = _present(on)
     many = F.coalesce(F.col(SALTS), F.lit(1))
     dealt = (
         df.join(F.broadcast(salts), on, "left")
@@ -122,3 +146,70 @@ def attach(
         .drop(SALTS)
     )
     return dealt.join(entries, [*on, SALT], "left").drop(SALT)
+
+
+def attach_all(
+    df: DataFrame,
+    lookups: list[Lookup],
+    hot: Callable[[Lookup], DataFrame],
+    shuffled: bool = False,
+) -> DataFrame:
+    """Add the columns of several lookups, whose names differ, as attach does one after the other.
+
+    `df` carries ROW_TAG, and no lookup's key is a column that another one adds. Small lookups are
+    broadcast. The others meet (row number, key) in one join, and what it has found is joined by row
+    number: so wide rows are shuffled at most once, by a number that no two rows share.
+    """
+    rows, large = df, []
+    for lookup in lookups:
+        if shuffled or lookup.bytes > broadcast_limit(lookup.store.spark):
+            large.append(lookup)
+        else:
+            rows = rows.join(F.broadcast(lookup.df), lookup.on, "left")
+    if not large:
+        return rows
+
+    store = large[0].store
+    found = store.open(store.write("found", _found(df, large, hot), partition_by="kind"))
+    for k, lookup in enumerate(large):
+        mine = found.where(F.col("kind") == k).select(ROW_TAG, *lookup.payload)
+        # All by the same number, so the rows stay where the first of these joins puts them.
+        rows = rows.join(mine.hint("merge"), ROW_TAG, "left")
+    return rows
+
+
+def _key(on: list[str]):
+    """Key columns as one text; several are told apart by their lengths."""
+    texts = [F.col(c).cast("string") for c in on]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat(*[part for t in texts for part in (F.length(t), F.lit(":"), t)])
+
+
+def _found(df: DataFrame, large: list[Lookup], hot: Callable[[Lookup], DataFrame]) -> DataFrame:
+    """(row number, kind, payload of all lookups): a row per row number and entry that it meets."""
+    asked = [
+        F.when(_present(x.on), F.struct(F.lit(k).alias("kind"), _key(x.on).alias("key")))
+        for k, x in enumerate(large)
+    ]
+    keyed = df.select(ROW_TAG, F.explode(F.array_compact(F.array(*asked))).alias("asked"))
+    keyed = keyed.select(ROW_TAG, "asked.kind", "asked.key")
+
+    def of(k: int, rows: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+        return rows.select(F.lit(k).alias("kind"), _key(on).alias("key"), *columns)
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    store = large[0].store
+    # Fewer rows per lookup than PIECES times the shuffle partitions.
+    hot_of = in_parallel({k: (lambda x=x: hot(x)) for k, x in enumerate(large)})
+    salts = union([of(k, hot_of[k], x.on, [SALTS]) for k, x in enumerate(large)])
+    salts = F.broadcast(store.open(store.write("hot/all", salts)))
+    entries = union([of(k, x.df, x.on, x.payload) for k, x in enumerate(large)])
+    on, many = ["kind", "key"], F.coalesce(F.col(SALTS), F.lit(1))
+    dealt = keyed.join(salts, on, "left").withColumn(SALT, F.pmod(F.col(ROW_TAG), many))
+    copies = entries.join(salts, on, "left").withColumn(
+        SALT, F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    )
+    return dealt.drop(SALTS).join(copies.drop(SALTS), [*on, SALT]).drop("key", SALT)

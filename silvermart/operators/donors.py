@@ -17,6 +17,8 @@ from operator import and_, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silvermart.sources.store import TableStore
+
 FILL = "_fill"
 
 
@@ -29,8 +31,48 @@ def _counted(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.filter(present).groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("freq"))
 
 
+def count_kinds(
+    df: DataFrame, kinds: dict[str, tuple[list[str], list[str]]], store: TableStore, name: str
+) -> dict[str, DataFrame]:
+    """By kind the distinct (keys, values) with `freq`, all from one pass over the rows.
+
+    Each row is expanded to one entry per kind whose keys are all there, and the entries collapse
+    before they are shuffled. Keys and values are text. The counts are written, a folder per kind.
+    """
+    none = F.array().cast("array<string>")
+    entries = [
+        F.when(
+            reduce(and_, [F.col(c).isNotNull() for c in keys]),
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.array(*keys).alias("key"),
+                (F.array(*values) if values else none).alias("value"),
+            ),
+        )
+        for kind, (keys, values) in kinds.items()
+    ]
+    expanded = df.select(F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+    counted = expanded.groupBy("entry.kind", "entry.key", "entry.value").agg(
+        F.count(F.lit(1)).alias("freq")
+    )
+    stored = store.open(store.write(name, counted, partition_by="kind"))
+    return {
+        kind: stored.where(F.col("kind") == kind).select(
+            *[F.col("key")[i].alias(c) for i, c in enumerate(keys)],
+            *[F.col("value")[i].alias(c) for i, c in enumerate(values)],
+            "freq",
+        )
+        for kind, (keys, values) in kinds.items()
+    }
+
+
 def max_donors(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys + <column>_fill for the keys that have both a missing and a present value."""
+    return max_donors_of(_counted(df, keys, columns), keys, columns)
+
+
+def max_donors_of(counted: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """max_donors of rows that are collapsed to distinct keys and values already."""
     aggregates, repairable = [], []
     for c in columns:
         aggregates += [
@@ -39,8 +81,7 @@ def max_donors(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
         ]
         repairable.append(F.col(f"{c}_missing") & F.col(fill_name(c)).isNotNull())
     return (
-        _counted(df, keys, columns)
-        .groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(*aggregates)
         .filter(reduce(or_, repairable))
         .select(*keys, *[fill_name(c) for c in columns])
@@ -59,7 +100,18 @@ def mode_donors(
     That is a key with a missing value, or with `overwrite` any key with more than one value.
     `max_columns` are repaired by the maximum rule in the same pass over the data.
     """
-    per_value = _counted(df, keys, [column, *max_columns])
+    counted = _counted(df, keys, [column, *max_columns])
+    return mode_donors_of(counted, keys, column, overwrite, max_columns)
+
+
+def mode_donors_of(
+    per_value: DataFrame,
+    keys: list[str],
+    column: str,
+    overwrite: bool = False,
+    max_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """mode_donors of rows that are collapsed to distinct keys and values, with `freq`, already."""
     if max_columns:
         per_value = per_value.groupBy(*keys, column).agg(
             F.sum("freq").alias("freq"),

@@ -104,9 +104,10 @@ def _refresh(sources: dict[str, DataFrame], store: TableStore, scratch: TableSto
 
     built = build_dimensions(trusted, store, scratch)
     dims = {name: store.open(table) for name, (table, _) in built.items()}
+    sizes = {name: table.bytes for name, (table, _) in built.items()}
 
     fact_table, fact_report = write(
-        store, REFINED["fact_orders"][0], star.fact_orders(trusted, dims, scratch)
+        store, REFINED["fact_orders"][0], star.fact_orders(trusted, dims, scratch, sizes=sizes)
     )
     deleted = store.publish(
         *[table for table, _ in landed.values()],

@@ -101,7 +101,11 @@ DIMENSIONS = {
 
 
 def fact_orders(
-    trusted: DataFrame, dims: dict[str, DataFrame], store: TableStore, shuffled: bool = False
+    trusted: DataFrame,
+    dims: dict[str, DataFrame],
+    store: TableStore,
+    shuffled: bool = False,
+    sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per trusted row that finds a member in all four keyed dimensions.
 
@@ -109,6 +113,7 @@ def fact_orders(
     state or city has no member and is left out; only postal code and ship mode may be missing.
     `trusted` and `dims` are stored tables: keys are dense, so they must not be computed again
     between the dimension and the fact. With `shuffled` every dimension goes the way of large ones.
+    `sizes` are the bytes of the dimensions as their writes have measured them.
     """
     postal = F.coalesce(F.col("postal_code"), F.lit(""))
     matches = {
@@ -125,7 +130,7 @@ def fact_orders(
     lookups = in_parallel(
         {
             name: (lambda name=name, members=members, on=on: stored_lookup(
-                store, f"match_{name}", members, on
+                store, f"match_{name}", members, on, (sizes or {}).get(f"dim_{name}")
             ))
             for name, (members, on) in matches.items()
         }
@@ -134,7 +139,7 @@ def fact_orders(
     rows = with_row_tag(keyed).dropna(subset=[*CUSTOMER, *PRODUCT, *LOCATION])
     for name, lookup in lookups.items():
         rows = attach(
-            rows, lookup, lambda on=lookup.on: hot_keys(keyed, on), shuffled
+            rows, lookup, lambda on=lookup.on: hot_keys(keyed, on, store), shuffled
         ).filter(F.col(f"{name}_key").isNotNull())
     return rows.drop(ROW_TAG).select(
         "order_id",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +20,24 @@ from silvermart.functions import (
     upper_to_null,
     whole,
 )
-from silvermart.operators.attach import Lookup, attach, hot_keys, store_lookup, with_row_tag
+from silvermart.operators.attach import (
+    ROW_TAG,
+    Lookup,
+    attach,
+    attach_all,
+    hot_among,
+    hot_keys,
+    store_lookup,
+    with_row_tag,
+)
 from silvermart.operators.donors import (
+    count_kinds,
     fill_name,
     filled,
     max_donors,
+    max_donors_of,
     mode_donors,
+    mode_donors_of,
     overwritten,
 )
 from silvermart.sources.store import TableStore, in_parallel
@@ -124,7 +134,7 @@ def _repair(
     rows: DataFrame, donors: DataFrame, keys: list[str], store: TableStore, name: str
 ) -> DataFrame:
     lookup = store_lookup(store, name, donors, keys)
-    return attach(rows, lookup, lambda: hot_keys(rows, keys))
+    return attach(rows, lookup, lambda: hot_keys(rows, keys, store))
 
 
 def fill_by_key(
@@ -153,9 +163,8 @@ def canonicalize_by_mode(
     return overwritten(attached, column, f"{column}_original")
 
 
-def order_lookup(base: DataFrame, returned: DataFrame) -> DataFrame:
+def order_lookup(ship_modes: DataFrame, returned: DataFrame) -> DataFrame:
     """Ship mode repair and return flag in one table, so the orders meet their key once."""
-    ship_modes = max_donors(base, ["order_id"], ["ship_mode"])
     both = ship_modes.withColumn("returned", F.lit(0)).unionByName(
         returned.withColumn("returned", F.lit(1)), allowMissingColumns=True
     )
@@ -215,22 +224,20 @@ def repaired_orders(
 ) -> DataFrame:
     """Cleaned rows with every repair and join done, duplicates still among them.
 
-    `raw_orders` is a stored table: every lookup scans just its own columns of it, and the main
-    pass reads it once. Where the lookups are small enough to broadcast, the final distinct is
-    the only shuffle of whole rows.
+    `raw_orders` is a stored table. One pass over it counts the keys and values of all lookups, the
+    main pass reads it once more. Where the lookups are small enough to broadcast, the final
+    distinct is the only shuffle of whole rows. Where they are not, a third pass takes the keys to
+    them, and whole rows are shuffled once more, see attach_all.
     """
-    base = clean_orders(raw_orders)
-    lookups = build_lookups(base, clean_returns(raw_returns), clean_people(raw_people), store)
-    hot = _hot_in(base)
+    base = clean_orders(raw_orders).withColumn("region", normalize_region(F.col("region")))
+    counted = count_kinds(base, LOOKUP_COLUMNS, store, "counted")
+    lookups = build_lookups(counted, clean_returns(raw_returns), clean_people(raw_people), store)
 
-    rows = with_row_tag(base).withColumns(
-        {
-            "region": normalize_region(F.col("region")),
-            "discount": F.abs(F.col("discount")),
-        }
-    )
-    for lookup in lookups.values():
-        rows = attach(rows, lookup, hot(lookup), shuffled)
+    def hot(lookup: Lookup) -> DataFrame:
+        return hot_among(counted[lookup.name].withColumnRenamed("freq", "n"), lookup.on)
+
+    rows = with_row_tag(base).withColumn("discount", F.abs(F.col("discount")))
+    rows = attach_all(rows, list(lookups.values()), hot, shuffled).drop(ROW_TAG)
     rows = filled(rows, "ship_mode", "customer_name", "postal_code", "category", "sub_category")
     rows = overwritten(rows, "product_name", "product_name_original")
     rows = rows.withColumn("is_returned", F.coalesce(F.col("returned"), F.lit(0)))
@@ -238,35 +245,38 @@ def repaired_orders(
     return rows.select(schemas.TRUSTED_ORDERS.names)
 
 
+# By lookup its key and the columns that it repairs.
+LOOKUP_COLUMNS = {
+    "people": (["region"], []),
+    "location": (LOCATION, ["postal_code"]),
+    "product": (["product_id"], ["product_name", "category", "sub_category"]),
+    "customer": (["customer_id"], ["customer_name"]),
+    "order": (["order_id"], ["ship_mode"]),
+}
+
+
 def build_lookups(
-    base: DataFrame, returned: DataFrame, people: DataFrame, store: TableStore
+    counted: dict[str, DataFrame], returned: DataFrame, people: DataFrame, store: TableStore
 ) -> dict[str, Lookup]:
     """Every lookup reads the cleaned rows, never a column that another lookup has repaired."""
-    plans: dict[str, tuple[DataFrame, list[str]]] = {
-        "people": (people, ["region"]),
-        "location": (mode_donors(base, LOCATION, "postal_code"), LOCATION),
-        "product": (
-            mode_donors(
-                base,
-                ["product_id"],
-                "product_name",
-                overwrite=True,
-                max_columns=("category", "sub_category"),
-            ),
+    donors = {
+        "people": people,
+        "location": mode_donors_of(counted["location"], LOCATION, "postal_code"),
+        "product": mode_donors_of(
+            counted["product"],
             ["product_id"],
+            "product_name",
+            overwrite=True,
+            max_columns=("category", "sub_category"),
+        ),
+        "customer": max_donors_of(counted["customer"], ["customer_id"], ["customer_name"]),
+        "order": order_lookup(
+            max_donors_of(counted["order"], ["order_id"], ["ship_mode"]), returned
         ),
-        "customer": (max_donors(base, ["customer_id"], ["customer_name"]), ["customer_id"]),
-        "order": (order_lookup(base, returned), ["order_id"]),
     }
     return in_parallel(
         {
-            name: (lambda name=name, df=df, on=on: store_lookup(store, name, df, on))
-            for name, (df, on) in plans.items()
+            name: (lambda name=name, df=df: store_lookup(store, name, df, LOOKUP_COLUMNS[name][0]))
+            for name, df in donors.items()
         }
     )
-
-
-def _hot_in(base: DataFrame) -> Callable[[Lookup], Callable[[], DataFrame]]:
-    """Hot keys by a scan of the key columns alone."""
-    normalized = base.withColumn("region", normalize_region(F.col("region")))
-    return lambda lookup: lambda: hot_keys(normalized, lookup.on)

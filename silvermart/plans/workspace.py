@@ -17,7 +17,7 @@ from silvermart.plans.pipeline import REFINED, TRUSTED, build_dimensions, write
 from silvermart.plans.trusted import trusted_orders
 from silvermart.sources import feed
 from silvermart.sources.landing import land_all
-from silvermart.sources.store import TableStore, scratch_root
+from silvermart.sources.store import StoredTable, TableStore, scratch_root
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "nation", "part", "region"]
 
@@ -46,13 +46,21 @@ class Workspace:
         return self.store.open(write(self.store, TRUSTED, built)[0])
 
     @cached_property
-    def dims(self) -> dict[str, DataFrame]:
+    def dim_tables(self) -> dict[str, StoredTable]:
         built = build_dimensions(self.trusted, self.store, self.scratch)
-        return {name: self.store.open(table) for name, (table, _) in built.items()}
+        return {name: table for name, (table, _) in built.items()}
+
+    @cached_property
+    def dims(self) -> dict[str, DataFrame]:
+        return {name: self.store.open(table) for name, table in self.dim_tables.items()}
+
+    @property
+    def dim_sizes(self) -> dict[str, int]:
+        return {name: table.bytes for name, table in self.dim_tables.items()}
 
     @cached_property
     def fact(self) -> DataFrame:
-        built = star.fact_orders(self.trusted, self.dims, self.scratch)
+        built = star.fact_orders(self.trusted, self.dims, self.scratch, sizes=self.dim_sizes)
         return self.store.open(write(self.store, REFINED["fact_orders"][0], built)[0])
 
 

@@ -63,14 +63,19 @@ class TableStore:
 
     # -- writing ---------------------------------------------------------------------------
 
-    def write(self, name: str, df: DataFrame) -> StoredTable:
-        """Write a new version of `name`, which nobody reads by name until it is published."""
+    def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> StoredTable:
+        """Write a new version of `name`, which nobody reads by name until it is published.
+
+        With `partition_by` the files lie in a folder per value of that column, which should have
+        few, so that a reader of one value opens no others.
+        """
         path = f"{self.root}/{name}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         seen = Observation()
         observed = df.observe(
             seen, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes")
         )
-        observed.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+        writer = observed.write.mode("errorifexists").option("compression", "snappy")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         taken = dict(seen.get)
         return StoredTable(name, path, df.schema, taken["rows"], taken["bytes"] or 0)
 

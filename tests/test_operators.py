@@ -178,3 +178,49 @@ def test_mode_counts_rows_across_the_other_columns(spark):
     df = spark.createDataFrame(rows, "k string, v string, c string")
     donors = mode_donors(df, ["k"], "v", overwrite=True, max_columns=("c",))
     assert rows_of(donors) == [("p", "x", "c2")]
+
+
+def test_several_lookups_at_once_equal_one_after_the_other(store, spark):
+    """Small and large, unique and repeated, one and two key columns, hot and missing keys."""
+    n = F.col("id")
+    rows = A.with_row_tag(
+        store.materialize(
+            "many",
+            spark.range(6000).select(
+                F.when(n % 3 == 0, "hot").when(n % 3 == 1, F.concat(F.lit("k"), n % 50)).alias("a"),
+                F.when(n % 7 > 0, F.concat(F.lit("1:"), n % 4)).alias("b"),
+                F.concat(F.lit("x"), n % 5).alias("c"),
+                n.alias("n"),
+            ),
+        )
+    )
+    tables = {
+        "a": spark.createDataFrame([("hot", "h", "H"), ("k7", "s", None)], "a string, p string, q string"),
+        "bc": spark.createDataFrame(
+            [("1:1", "x2", 1), ("1:1", "x2", 2), ("1:2", "x0", 3)], "b string, c string, r int"
+        ),
+        "c": spark.createDataFrame([("x1", "one")], "c string, s string"),
+    }
+    keys = {"a": ["a"], "bc": ["b", "c"], "c": ["c"]}
+    lookups = [A.store_lookup(store, name, df, keys[name]) for name, df in tables.items()]
+    expected = rows
+    for name, df in tables.items():
+        expected = expected.join(df, keys[name], "left")
+    columns = ["n", "p", "q", "r", "s"]
+    for shuffled in (False, True):
+        df = A.attach_all(rows, lookups, lambda x: A.hot_keys(rows, x.on, store), shuffled)
+        assert rows_of(df, *columns) == rows_of(expected, *columns)
+
+
+def test_kinds_are_counted_in_one_pass(store, spark):
+    from silvermart.operators.donors import count_kinds
+
+    rows = stored(
+        store, "kinds", [("a", "x", "1"), ("a", "x", None), ("a", None, "1"), (None, "x", "2")],
+        "a string, b string, v string",
+    )
+    kinds = {"a": (["a"], ["v"]), "ab": (["a", "b"], ["v"]), "none": (["b"], [])}
+    found = count_kinds(rows, kinds, store, "counted")
+    assert rows_of(found["a"]) == [("a", None, 1), ("a", "1", 2)]
+    assert rows_of(found["none"]) == [("x", 3)]
+    assert rows_of(found["ab"]) == [("a", "x", None, 1), ("a", "x", "1", 1)]

@@ -7,6 +7,7 @@ from silvermart import schemas
 from silvermart.operators.attach import with_row_tag
 from silvermart.plans import trusted as layer
 from silvermart.plans.workspace import workspace
+from silvermart.sources.store import TableStore
 from tests.conftest import DATA, raw_orders, raw_people, raw_returns, rows_of, trusted_rows
 
 
@@ -188,3 +189,38 @@ def test_flag_returns_alone(store):
     assert rows_of(df, "order_id", "is_returned", "regional_manager") == [
         ("O-1", 0, "Mia"), ("O-2", 1, None),
     ]
+
+
+@pytest.mark.parametrize("shuffled, scans", [(False, 2), (True, 3)])
+def test_raw_orders_are_scanned_once_for_all_lookups(spark, store, monkeypatch, shuffled, scans):
+    """One pass counts for all lookups, one makes the rows; large lookups need one for the keys."""
+    raw = raw_orders(store, {}, {"Ship Mode": "nan"}, {})
+    plans = []
+    write = TableStore.write
+
+    def watched(self, name, df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, name, df, *args, **kwargs)
+
+    monkeypatch.setattr(TableStore, "write", watched)
+    rows = layer.repaired_orders(
+        raw, raw_returns(store), raw_people(store, ("Mia", "East")), store, shuffled
+    )
+    plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(plan.count("Row ID#") for plan in plans) == scans
+
+
+def test_whole_rows_are_shuffled_once_for_all_large_lookups(spark, store):
+    w = workspace(spark, DATA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = layer.repaired_orders(
+            w.raw["Orders"], w.raw["Returns"], w.raw["People"], store, shuffled=True
+        )
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("SortMergeJoin") == 5 and "BroadcastHashJoin" not in plan
+    wide = [line for line in plan.splitlines() if "Exchange" in line]
+    # Five narrow sides, by kind, and the rows themselves.
+    assert len(wide) == 6 and all("hashpartitioning(row_tag#" in line for line in wide)
