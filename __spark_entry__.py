@@ -318,6 +318,18 @@ def queries() -> dict[str, Query]:
                 "found_subcategories",
             )
         ),
+        "check_category_conflict_rows": _on(
+            lambda w: checks.category_conflict_rows(w.raw["Orders"])
+        ),
+        "check_customer_conflict_rows": _on(
+            lambda w: checks.customer_conflict_rows(w.raw["Orders"])
+        ),
+        "check_product_conflict_rows": _on(
+            lambda w: checks.product_conflict_rows(w.raw["Orders"])
+        ),
+        "check_valid_subcategory_rows": _on(
+            lambda w: checks.valid_subcategory_rows(w.raw["Orders"])
+        ),
         # checks of the star schema
         "check_fact_nulls": _on(lambda w: checks.fact_nulls(w.fact)),
         "check_orphan_customers": _fact(checks.orphan_customers, "dim_customer"),

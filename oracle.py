@@ -317,6 +317,16 @@ def conflicts(key: str, value: str, shown: str, key_name: str) -> tuple[str, ...
     )
 
 
+def conflict_rows(key: str, value: str, shown: str, key_name: str) -> tuple[str, ...]:
+    return (
+        f"""SELECT * FROM (
+      SELECT "{key}" AS "{key_name}", {shown} AS name, count(*) AS "rows" FROM raw_orders
+      WHERE lower(trim("{value}")) NOT IN ('', 'nan') GROUP BY 1, 2)
+    QUALIFY count(*) OVER (PARTITION BY "{key_name}") > 1""",
+        "raw_orders",
+    )
+
+
 PROFILE = {
     "row_id": "Row ID", "order_id": "Order ID", "order_date": "Order Date",
     "ship_date": "Ship Date", "ship_mode": "Ship Mode", "customer_id": "Customer ID",
@@ -476,6 +486,24 @@ def parts() -> dict[str, tuple[str, ...]]:
         "check_product_conflict": conflicts(
             "Product ID", "Product Name", '"Product Name"', "product_id"
         ),
+        "check_category_conflict_rows": conflict_rows(
+            "Product ID", "Category", 'upper(trim("Category"))', "product_id"
+        ),
+        "check_customer_conflict_rows": conflict_rows(
+            "Customer ID", "Customer Name", '"Customer Name"', "customer_id"
+        ),
+        "check_product_conflict_rows": conflict_rows(
+            "Product ID", "Product Name", '"Product Name"', "product_id"
+        ),
+        "check_valid_subcategory_rows": (
+            """SELECT "Product ID" AS product_id, "Category" AS category,
+      "Sub-Category" AS sub_category, count(*) AS "rows" FROM raw_orders o
+    WHERE lower(trim("Sub-Category")) NOT IN ('', 'nan') AND EXISTS (
+      SELECT 1 FROM raw_orders m WHERE m."Product ID" = o."Product ID"
+        AND m."Category" = o."Category" AND lower(trim(m."Sub-Category")) IN ('', 'nan'))
+    GROUP BY 1, 2, 3""",
+            "raw_orders",
+        ),
         "check_nan_profile": (
             " UNION ALL ".join(
                 f"""SELECT '{name}' AS column_name, count(*) AS null_count FROM raw_orders

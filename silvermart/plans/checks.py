@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from silvermart.functions import beyond_exact, clean_text, exact, is_missing, trim_all
 from silvermart.functions.numbers import EXACT_TYPE
+from silvermart.functions.text import WHITESPACE
+from silvermart.operators.donors import count_kinds
 from silvermart.plans.star import CUSTOMER, LOCATION, PRODUCT
+from silvermart.sources.store import TableStore, in_parallel, scratch_root
 
 # Raw column behind each name of the missing-value profile.
 PROFILE_COLUMNS = {
@@ -63,6 +66,40 @@ def _conflicts(raw_orders: DataFrame, key: str, value: str, shown) -> DataFrame:
     )
 
 
+def _several(pairs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys with more than one value, by least and greatest, which combine before the shuffle."""
+    bounds = pairs.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return bounds.where("low <> high").select(*keys)
+
+
+def _conflict_rows(raw_orders: DataFrame, key: str, key_name: str, value: str, shown) -> DataFrame:
+    """One row per conflicting key and value, with its number of rows; no list is built, so a key
+    may have any number of values."""
+    pairs = (
+        raw_orders.filter(~is_missing(_raw(value)))
+        .groupBy(_raw(key).alias(key_name), shown(_raw(value)).alias("name"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    return pairs.join(_several(pairs, [key_name], "name"), key_name, "left_semi")
+
+
+def category_conflict_rows(raw_orders: DataFrame) -> DataFrame:
+    """category_conflict in long form."""
+    return _conflict_rows(
+        raw_orders, "Product ID", "product_id", "Category", lambda c: F.upper(trim_all(c))
+    )
+
+
+def customer_conflict_rows(raw_orders: DataFrame) -> DataFrame:
+    """customer_conflict in long form."""
+    return _conflict_rows(raw_orders, "Customer ID", "customer_id", "Customer Name", lambda c: c)
+
+
+def product_conflict_rows(raw_orders: DataFrame) -> DataFrame:
+    """product_conflict in long form."""
+    return _conflict_rows(raw_orders, "Product ID", "product_id", "Product Name", lambda c: c)
+
+
 def category_conflict(raw_orders: DataFrame) -> DataFrame:
     """Product ids with several categories, compared trimmed and in upper case."""
     return _conflicts(raw_orders, "Product ID", "Category", lambda c: F.upper(trim_all(c)))
@@ -83,9 +120,11 @@ def nan_profile(raw_orders: DataFrame) -> DataFrame:
 
     One pass counts all columns at once and only the single result row is turned into rows.
     """
+    # One pattern per column: trimming 21 of them would be more code than the JVM compiles at once.
+    blanks = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]*"
     counts = raw_orders.agg(
         *[
-            F.count_if(F.lower(trim_all(_raw(raw))) == "nan").alias(name)
+            F.count_if(_raw(raw).rlike(rf"(?i)\A{blanks}nan{blanks}\z")).alias(name)
             for name, raw in PROFILE_COLUMNS.items()
         ]
     )
@@ -141,6 +180,22 @@ def valid_subcategories(raw_orders: DataFrame) -> DataFrame:
     )
 
 
+def valid_subcategory_rows(raw_orders: DataFrame) -> DataFrame:
+    """valid_subcategories in long form: a row per pair that misses one and sub-category seen."""
+    sub, keys = _raw("Sub-Category"), ["product_id", "category"]
+    seen = (
+        raw_orders.filter(_raw("Product ID").isNotNull() & _raw("Category").isNotNull())
+        .groupBy(
+            _raw("Product ID").alias("product_id"),
+            _raw("Category").alias("category"),
+            F.when(~is_missing(sub), sub).alias("sub_category"),
+        )
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    missing = seen.where("sub_category is null").select(*keys)
+    return seen.where("sub_category is not null").join(missing, keys, "left_semi")
+
+
 # -- the star schema -------------------------------------------------------------------------
 
 
@@ -333,6 +388,190 @@ def volume(tables: dict[str, DataFrame]) -> DataFrame:
 
 # -- all of them -----------------------------------------------------------------------------
 
+REPORT = "check string, metric string, value double, passed boolean"
+
+
+def _lines(one_row: DataFrame, lines: list[tuple]) -> DataFrame:
+    """A report line per (check, metric, value, passed) of a single row of figures.
+
+    What could not be computed has not passed; `passed` is None for informative lines.
+    """
+    none = F.lit(None).cast("boolean")
+    return one_row.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(check).alias("check"),
+                        F.lit(metric).alias("metric"),
+                        value.cast("double").alias("value"),
+                        (none if ok is None else F.coalesce(ok, F.lit(False))).alias("passed"),
+                    )
+                    for check, metric, value, ok in lines
+                ]
+            )
+        )
+    )
+
+
+def _listed(check: str, found: DataFrame, informative: bool = False) -> DataFrame:
+    """The number of rows that a listing check gives."""
+    rows = F.col("rows")
+    counted = found.agg(F.count(F.lit(1)).alias("rows"))
+    return _lines(counted, [(check, "rows", rows, None if informative else rows == 0)])
+
+
+def _raw_report(raw_orders: DataFrame, raw_returns: DataFrame, store: TableStore) -> list[DataFrame]:
+    """The checks of the raw feed: one pass collapses the rows for all that compare names."""
+
+    def known(name: str, shown=lambda c: c):
+        return F.when(~is_missing(_raw(name)), shown(_raw(name)))
+
+    rows = raw_orders.select(
+        _raw("Product ID").alias("product"),
+        _raw("Customer ID").alias("customer"),
+        _raw("Category").alias("category"),
+        known("Category", lambda c: F.upper(trim_all(c))).alias("category_name"),
+        known("Customer Name").alias("customer_name"),
+        known("Product Name").alias("product_name"),
+        known("Sub-Category").alias("sub_category"),
+    )
+    kinds = {
+        "category_conflict": (["product"], ["category_name"]),
+        "customer_conflict": (["customer"], ["customer_name"]),
+        "product_conflict": (["product"], ["product_name"]),
+        "valid_subcategory": (["product", "category"], ["sub_category"]),
+    }
+    counted = count_kinds(rows, kinds, store, "raw")
+    conflicts = [
+        _listed(name, _several(counted[name], *kinds[name][:1], kinds[name][1][0]))
+        for name in ("category_conflict", "customer_conflict", "product_conflict")
+    ]
+    pairs = counted["valid_subcategory"].groupBy("product", "category").agg(
+        F.count("sub_category").alias("seen"), F.max(F.col("sub_category").isNull()).alias("missing")
+    )
+    negative = returned_quantities_clean(raw_orders, raw_returns).filter(
+        F.col("quantity").try_cast("double") < 0
+    )
+    return [
+        *conflicts,
+        _listed("nan_profile", nan_profile(raw_orders), informative=True),
+        _listed("negative_returned_quantities", negative),
+        _listed("valid_subcategory", pairs.where("missing and seen > 0"), informative=True),
+    ]
+
+
+def _fact_report(fact: DataFrame, dims: dict[str, DataFrame], store: TableStore) -> list[DataFrame]:
+    """Nulls in one pass; the keys of all dimensions, collapsed to counts, in another."""
+    nulls = fact_nulls(fact)
+    must_be_zero = nulls.columns[1:]
+    lines = [
+        ("fact_nulls", c, F.col(c), F.col(c) == 0 if c in must_be_zero else None)
+        for c in nulls.columns
+    ]
+    lines.append(("volume", "fact_orders", F.col("total_rows"), None))
+
+    names = {"customer": "customers", "geography": "geography", "product": "products", "shipping": "shipping"}
+    keys = [*[f"{n}_key" for n in names], "order_date_key", "ship_date_key"]
+    # One grouping set per key; grouping_id has a bit for each key, 0 where the set holds it.
+    counted = fact.groupingSets([[c] for c in keys], *keys).agg(
+        F.grouping_id().alias("set"), F.count(F.lit(1)).alias("n")
+    )
+    counted = store.open(store.write("fact", counted))
+    full = (1 << len(keys)) - 1
+
+    def of(key: str) -> DataFrame:
+        bit = 1 << (len(keys) - 1 - keys.index(key))
+        return counted.where(F.col("set") == full - bit).select(F.col(key).alias("key"), "n")
+
+    def orphans_of(check: str, found: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+        known = dim.select(F.col(key).alias("key"))
+        lost = found.join(known, "key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        return _lines(lost, [("orphans", check, F.col("n"), F.col("n") == 0)])
+
+    # A row without a date is no orphan.
+    days = of("order_date_key").unionByName(of("ship_date_key")).where(F.col("key").isNotNull())
+    return [
+        _lines(nulls, lines),
+        *[
+            orphans_of(f"orphan_{plural}", of(f"{n}_key"), dims[f"dim_{n}"], f"{n}_key")
+            for n, plural in names.items()
+        ],
+        orphans_of("orphan_dates", days, dims["dim_date"], "date_key"),
+    ]
+
+
+def _sales_lines(trusted: DataFrame, fact: DataFrame) -> list[DataFrame]:
+    """All reconciliations from one row per order and side: each table is read once."""
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        return df.groupBy("order_id").agg(
+            F.count(F.lit(1)).alias(f"{prefix}_rows"),
+            F.sum(exact(F.col("sales"))).alias(prefix),
+            F.count_if(beyond_exact(F.col("sales")) | beyond_exact(F.col("profit"))).alias(
+                f"{prefix}_beyond"
+            ),
+        )
+
+    none = F.lit(0)
+
+    def repeated(one: str, other: str):
+        return F.sum(F.col(one) * F.coalesce(F.col(f"{other}_rows"), F.lit(1)))
+
+    def known(c: str):
+        return F.coalesce(F.col(c), none)
+
+    figures = side(trusted, "t").join(side(fact, "f"), "order_id", "full").agg(
+        repeated("t", "f").alias("joined_t"),
+        repeated("f", "t").alias("joined_f"),
+        F.coalesce(F.sum("t"), none.cast(EXACT_TYPE)).alias("total_t"),
+        F.coalesce(F.sum("f"), none.cast(EXACT_TYPE)).alias("total_f"),
+        F.count_if((known("t_rows") != known("f_rows")) | (known("t") != known("f"))).alias("differ"),
+        F.coalesce(F.sum("t_beyond"), none).alias("t_beyond"),
+        F.coalesce(F.sum("f_beyond"), none).alias("f_beyond"),
+    )
+    lines = []
+    for check, a, b in (("sales_faithful", "joined_t", "joined_f"), ("sales_total", "total_t", "total_f")):
+        t, f, gap = _sales_report(F.col(a), F.col(b))
+        lines += [
+            (check, "total_sales_trusted", t, None),
+            (check, "total_sales_fact", f, None),
+            (check, "difference", gap, gap == 0),
+        ]
+    beyond = sum((F.col(c) > 0).cast("int") for c in ("t_beyond", "f_beyond"))
+    lines += [
+        ("sales_by_order", "rows", F.col("differ"), F.col("differ") == 0),
+        ("money_range", "rows", beyond, beyond == 0),
+    ]
+    return [
+        _lines(figures, lines),
+        _listed("dropped_by_star_join", dropped_by_star_join(trusted)),
+    ]
+
+
+def _dim_report(dims: dict[str, DataFrame]) -> list[DataFrame]:
+    """Repeated keys and volume of each dimension from one count by key; repeated natural keys."""
+    out = []
+    for name, dim in dims.items():
+        short = name.removeprefix("dim_")
+        counts = dim.groupBy(f"{short}_key").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.count_if(F.col("n") > 1).alias("repeated"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        )
+        lines = [
+            (f"unique_{short}_key", "rows", F.col("repeated"), F.col("repeated") == 0),
+            ("volume", name, F.col("rows"), None),
+        ]
+        out.append(_lines(counts, lines))
+    natural = {
+        "customer": natural_key_customer, "product": natural_key_product,
+        "geography": natural_key_geography,
+    }
+    return out + [
+        _listed(f"natural_key_{short}", check(dims[f"dim_{short}"]))
+        for short, check in natural.items()
+    ]
+
 
 def run_checks(
     spark: SparkSession,
@@ -344,77 +583,24 @@ def run_checks(
 ) -> DataFrame:
     """One row per check: (check, metric, value, passed); passed is NULL for the informative ones.
 
-    Stays one lazy plan: a listing check contributes its row count, a counting one its counters.
+    A listing check contributes its row count, a counting one its counters. The checks of a table
+    share its scans (two of raw and trusted, three of the fact), and the report, which has a fixed
+    number of lines, is complete when this returns: its intermediate tables are gone by then.
     """
-
-    def listing(check: str, df: DataFrame, informative: bool = False) -> DataFrame:
-        value = F.count(F.lit(1)).cast("double")
-        return df.agg(value.alias("value")).select(
-            F.lit(check).alias("check"),
-            F.lit("rows").alias("metric"),
-            "value",
-            F.lit(None).cast("boolean").alias("passed")
-            if informative
-            else (F.col("value") == 0).alias("passed"),
+    store = TableStore(spark, scratch_root(spark, "checks"))
+    try:
+        groups = {
+            "raw": lambda: _raw_report(raw_orders, raw_returns, store),
+            "fact": lambda: _fact_report(fact, dims, store),
+            "sales": lambda: _sales_lines(trusted, fact),
+            "dims": lambda: _dim_report(dims),
+        }
+        found = in_parallel(
+            {
+                name: (lambda parts=parts: reduce(DataFrame.unionByName, parts()).collect())
+                for name, parts in groups.items()
+            }
         )
-
-    def counters(check: str, df: DataFrame, must_be_zero: list[str]) -> DataFrame:
-        doubles = df.select([F.col(c).cast("double").alias(c) for c in df.columns])
-        return doubles.unpivot([], df.columns, "metric", "value").select(
-            F.lit(check).alias("check"),
-            "metric",
-            "value",
-            # What could not be computed has not passed.
-            F.when(
-                F.col("metric").isin(must_be_zero), F.coalesce(F.col("value") == 0, F.lit(False))
-            ).alias("passed"),
-        )
-
-    customer, product = dims["dim_customer"], dims["dim_product"]
-    geography, shipping = dims["dim_geography"], dims["dim_shipping"]
-    results = [
-        listing("category_conflict", category_conflict(raw_orders)),
-        listing("customer_conflict", customer_conflict(raw_orders)),
-        listing("product_conflict", product_conflict(raw_orders)),
-        listing("nan_profile", nan_profile(raw_orders), informative=True),
-        listing(
-            "negative_returned_quantities",
-            returned_quantities_clean(raw_orders, raw_returns).filter(
-                F.col("quantity").try_cast("double") < 0
-            ),
-        ),
-        listing("valid_subcategory", valid_subcategories(raw_orders), informative=True),
-        counters(
-            "fact_nulls",
-            fact_nulls(fact),
-            ["null_order_dates", "null_ship_dates", "negative_delivery_days", "null_discounts"],
-        ),
-        counters("orphans", orphan_customers(fact, customer), ["orphan_customers"]),
-        counters("orphans", orphan_geography(fact, geography), ["orphan_geography"]),
-        counters("orphans", orphan_products(fact, product), ["orphan_products"]),
-        counters("orphans", orphan_shipping(fact, shipping), ["orphan_shipping"]),
-        counters("orphans", orphan_dates(fact, dims["dim_date"]), ["orphan_dates"]),
-        counters("sales_faithful", sales_faithful(trusted, fact), ["difference"]),
-        counters("sales_total", sales_total(trusted, fact), ["difference"]),
-        listing("sales_by_order", sales_by_order(trusted, fact)),
-        listing(
-            "money_range",
-            money_range(trusted, fact).filter("sales_beyond > 0 or profit_beyond > 0"),
-        ),
-        listing("unique_customer_key", unique_customer_key(customer)),
-        listing("unique_product_key", unique_product_key(product)),
-        listing("unique_geography_key", unique_geography_key(geography)),
-        listing("unique_shipping_key", unique_shipping_key(shipping)),
-        listing("unique_date_key", unique_date_key(dims["dim_date"])),
-        listing("natural_key_customer", natural_key_customer(customer)),
-        listing("natural_key_product", natural_key_product(product)),
-        listing("natural_key_geography", natural_key_geography(geography)),
-        listing("dropped_by_star_join", dropped_by_star_join(trusted)),
-        volume({**dims, "fact_orders": fact}).select(
-            F.lit("volume").alias("check"),
-            F.col("table_name").alias("metric"),
-            F.col("total_rows").cast("double").alias("value"),
-            F.lit(None).cast("boolean").alias("passed"),
-        ),
-    ]
-    return reduce(DataFrame.unionByName, results)
+    finally:
+        store.drop_all()
+    return spark.createDataFrame([row for rows in found.values() for row in rows], REPORT)

@@ -234,3 +234,74 @@ def test_one_huge_amount_does_not_end_the_sums(spark):
     assert checks.sales_total(rows, rows).first().total_sales_fact == 5.0
     found = checks.money_range(rows, rows).collect()
     assert [(r.sales_beyond, r.profit_beyond) for r in found] == [(1, 0), (1, 0)]
+
+
+def test_conflicts_in_long_form(store):
+    raw = raw_orders(
+        store,
+        {"Category": "a "}, {"Category": "A"}, {"Category": "B"}, {"Category": "NaN"},
+        {"Product ID": "P-2", "Category": "x"}, {"Product ID": "P-2", "Category": ""},
+        {"Product ID": "nan", "Category": "x"}, {"Product ID": "nan", "Category": "y"},
+    )
+    assert rows_of(checks.category_conflict_rows(raw)) == [
+        ("P-1", "A", 2), ("P-1", "B", 1), ("nan", "X", 1), ("nan", "Y", 1),
+    ]
+    assert "collect_list" not in checks.category_conflict_rows(raw)._jdf.queryExecution().toString()
+    raw = raw_orders(store, {"Customer Name": "Ann"}, {"Customer Name": "Ann "}, {"Customer ID": "2"})
+    assert rows_of(checks.customer_conflict_rows(raw)) == [("C-1", "Ann", 1), ("C-1", "Ann ", 1)]
+    raw = raw_orders(store, {"Product Name": "s"}, {"Product Name": "S"}, {"Product Name": "nan"})
+    assert rows_of(checks.product_conflict_rows(raw)) == [("P-1", "S", 1), ("P-1", "s", 1)]
+    raw = raw_orders(
+        store,
+        {"Sub-Category": "nan"}, {"Sub-Category": "b"}, {"Sub-Category": "a"}, {"Sub-Category": "a"},
+        {"Product ID": "P-3", "Sub-Category": "a"},
+        {"Product ID": "P-4", "Sub-Category": "nan", "Category": "x"},
+        {"Product ID": "P-4", "Sub-Category": "a", "Category": "y"},
+    )
+    assert rows_of(checks.valid_subcategory_rows(raw)) == [
+        ("P-1", "Chairs", "a", 2), ("P-1", "Chairs", "b", 1),
+    ]
+
+
+def test_nan_profile_ignores_white_space_of_every_kind(store):
+    from silvermart.functions.text import WHITESPACE
+
+    cells = [*(f"{c}nan" for c in WHITESPACE), *(f"NAN{c}{c}" for c in WHITESPACE)]
+    others = ["na n", "nan.", " nan", "nan ", "nano", "\x85nan"]
+    raw = raw_orders(store, *[{"City": c} for c in cells + others])
+    assert rows_of(checks.nan_profile(raw)) == [("city", len(cells))]
+
+
+def test_the_report_shares_scans_and_leaves_nothing_behind(spark, store, monkeypatch, tmp_path):
+    w = workspace(spark, DATA)
+    tables = {
+        name: store.materialize(name, df)
+        for name, df in {
+            "raw_orders": w.raw["Orders"], "trusted": w.trusted, "fact": w.fact,
+        }.items()
+    }
+    monkeypatch.setattr(checks, "scratch_root", lambda spark, name: str(tmp_path / name))
+    seen = []
+    frame, write = type(tables["fact"]), checks.TableStore.write
+    collect = frame.collect
+
+    def watched_collect(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return collect(df)
+
+    def watched_write(self, name, df, *args, **kwargs):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, name, df, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "collect", watched_collect)
+    monkeypatch.setattr(checks.TableStore, "write", watched_write)
+    checks.run_checks(
+        spark, tables["raw_orders"], w.raw["Returns"], tables["trusted"], w.dims, tables["fact"]
+    )
+    # A column that only that table has.
+    marks = {"raw_orders": "Row ID#", "trusted": "product_name_original#", "fact": "delivery_days#"}
+    relations = [x for plan in seen for x in plan.splitlines() if "Relation [" in x]
+    scans = {name: sum(mark in x for x in relations) for name, mark in marks.items()}
+    assert scans["raw_orders"] <= 3 and scans["trusted"] <= 3 and scans["fact"] <= 3
+    assert all(n > 0 for n in scans.values())
+    assert not (tmp_path / "checks").exists()
