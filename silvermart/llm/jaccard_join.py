@@ -13,11 +13,12 @@ cheaper allocation counts: entries plus what segments of few elements cost in fa
 these are found everywhere. Empty segments are left out altogether: each set has `spare` segments
 more than it needs, and one with at most `spare` empty ones loses nothing by skipping them.
 
-Sets that share an entry are candidates and are verified on their whole texts. Only connectivity
-is asked for, so not all pairs of a group are formed: first every set is compared with the least of
-its entries' groups; then groups that are still in several parts are searched for pairs between
-the parts, first for enough of them to tie the parts together, then for all that are left. In
-the search a parity sketch, whose distance never exceeds the true difference, rules pairs out.
+Sets that share an entry are candidates. Their sizes and a parity sketch, whose distance never exceeds
+the true difference, rule pairs out before any text moves; the others are verified on their whole
+texts. Only connectivity is asked for, so not all pairs of a group are formed: first every set is
+compared with the least of its entries' groups; then groups that are still in several parts are
+searched for pairs between the parts, first for enough of them to tie the parts together, then for
+all that are left.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvermart.llm.common import Scratch, text_parts
@@ -281,33 +282,89 @@ def _index(texts: DataFrame, gram: int, similarity: Similarity) -> DataFrame:
     return texts.mapInArrow(read, "entry long, one long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, gram: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole texts."""
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) that neither their sizes nor their sketches rule out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_parts(batch, "left", "right"):
-                left, right = (rows.column(c).to_pylist() for c in ("left", "right"))
-                value, first = shingles(left + right, gram)
-                n = len(left)
-                size = np.diff(first)
-                # Elements of both sides of a pair meet under the pair's number.
-                pair = np.repeat(np.r_[np.arange(n), np.arange(n)], size)
-                order = np.lexsort((value, pair))
-                p, v = pair[order], value[order]
-                twice = (p[1:] == p[:-1]) & (v[1:] == v[:-1])
-                common = np.bincount(p[1:][twice], minlength=n)
-                union = size[:n] + size[n:] - common
-                keep = (union > 0) & (100 * common >= per_cent * union)
-                yield rows.select(["a", "b"]).filter(pa.array(keep))
-
-    one = texts.select(F.col("doc").alias("a"), F.col("text").alias("left"))
-    two = texts.select(F.col("doc").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            most = (100 - similarity.per_cent) * (n + m) // (100 + similarity.per_cent)
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(n), -1)
+                for c in ("one", "two")
+            )
+            distance = _ONES[one ^ two].sum(axis=1).astype(np.int64)
+            keep = (abs(n - m) <= most) & (distance <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    known = classes.select("cid", "n", "sketch")
+    left = known.toDF("a", "n", "one")
+    right = known.toDF("b", "m", "two")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "one", "two")
     return both.mapInArrow(read, "a long, b long")
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+# Partners that are compared with one copy of a set.
+PARTNERS = 64
+
+
+def _verified(
+    pairs: DataFrame, texts: DataFrame, gram: int, per_cent: int, scratch: Scratch, name: str
+) -> DataFrame:
+    """The stored pairs (a, b) whose sets are similar enough, by their whole texts.
+
+    The text of `a` is sent once for up to about PARTNERS of its pairs, and a set with more of them
+    is dealt over several tasks. Only texts of a pair move.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple[int, int] | None = None
+        lefts: list[np.ndarray] = []  # several where rows of one id have different texts
+        for batch in batches:
+            for rows in text_parts(batch, "text"):
+                value, first = shingles(rows.column("text").to_pylist(), gram)
+                found = []
+                for i, (a, chunk, b) in enumerate(
+                    zip(*[rows.column(c).to_pylist() for c in ("a", "chunk", "b")])
+                ):
+                    mine = value[first[i] : first[i + 1]]
+                    if b is None:
+                        lefts = [*(lefts if own == (a, chunk) else []), mine.copy()]
+                        own = a, chunk
+                        continue
+                    for left in lefts if own == (a, chunk) else []:
+                        common = len(np.intersect1d(left, mine, assume_unique=True))
+                        union = len(left) + len(mine) - common
+                        if union and 100 * common >= per_cent * union:
+                            found.append((a, b))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+                )
+
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("b") / PARTNERS).alias("chunks"))
+    dealt = pairs.join(counts, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b"
+    )
+    asked = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
+    involved = scratch.store(
+        f"texts-{name}", texts.join(asked.distinct(), "doc", "left_semi")
+    )
+    rights = dealt.join(involved.withColumnRenamed("doc", "b"), "b")
+    lefts = dealt.select("a", "chunk").distinct().join(involved.withColumnRenamed("doc", "a"), "a")
+    # The set itself comes before its partners.
+    both = lefts.withColumn("b", F.lit(None).cast("long")).unionByName(rights)
+    ordered = both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b")
+    links = scratch.store(
+        f"links-{name}",
+        ordered.select("a", "chunk", "b", "text").mapInArrow(read, "a long, b long"),
+    )
+    scratch.discard(f"texts-{name}")
+    return links
 
 
 def _passing(group: pd.DataFrame, similarity: Similarity) -> tuple[np.ndarray, ...]:
@@ -467,29 +524,18 @@ def link_documents(
         .agg(F.min("doc").alias("cid"), F.first("sketch").alias("sketch"))
         .withColumnRenamed("n_shingles", "n"),
     )
-    by_entry = Window.partitionBy("entry")
-    index = (
-        _index(texts, gram, similarity)
-        .withColumn("low", F.min("one").over(by_entry))
-        .withColumn("high", F.max("one").over(by_entry))
-        .where("low <> high")
-        .select("entry", "one")
-    )
-    index = scratch.store("index", index)
+    every = scratch.store("every", _index(texts, gram, similarity))
+    bounds = every.groupBy("entry").agg(F.min("one").alias("low"), F.max("one").alias("high"))
+    index = every.join(bounds.where("low <> high").select("entry"), "entry", "left_semi")
     shared = scratch.store(
         "shared", index.join(classes.select("one", "cid"), "one").select("entry", "cid").distinct()
     )
-    involved = scratch.store(
-        "texts",
-        texts.join(shared.select(F.col("cid").alias("doc")).distinct(), "doc", "left_semi"),
-    )
+    scratch.discard("every")
 
     least = shared.groupBy("entry").agg(F.min("cid").alias("a"))
-    pairs = scratch.store(
-        "pairs-0",
-        shared.join(least, "entry").where("a <> cid").select("a", F.col("cid").alias("b")).distinct(),
-    )
-    links = scratch.store("links-0", _verified(pairs, involved, gram, per_cent))
+    pairs = shared.join(least, "entry").where("a <> cid").select("a", F.col("cid").alias("b"))
+    pairs = scratch.store("pairs-0", _possible(pairs.distinct(), classes, similarity).distinct())
+    links = _verified(pairs, texts, gram, per_cent, scratch, "0")
     tried = pairs
     parts = components(links, scratch, "parts-0")
     for turn, tie_only in ((1, True), (2, False)):
@@ -497,10 +543,11 @@ def link_documents(
         pairs = _search(members, similarity, tie_only).join(tried, ["a", "b"], "left_anti")
         pairs = scratch.store(f"pairs-{turn}", pairs)
         links = links.unionByName(
-            scratch.store(f"links-{turn}", _verified(pairs, involved, gram, per_cent))
+            _verified(pairs, texts, gram, per_cent, scratch, str(turn))
         )
         tried = tried.unionByName(pairs)
         parts = components(links, scratch, f"parts-{turn}")
+    scratch.discard("shared", *[f"{kind}-{k}" for kind in ("pairs", "links") for k in range(3)])
 
     labelled = classes.join(
         parts.withColumnRenamed("node", "cid"), "cid", "left"

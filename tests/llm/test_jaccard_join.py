@@ -136,3 +136,18 @@ def test_components_of_long_chains(spark):
     assert got == {
         **{n: least for n in names if n != least}, **{20_000 + i: 20_000 for i in range(1, 80)}
     }
+
+
+def test_rows_of_one_id_are_compared_by_all_their_texts(docs):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = docs((1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, "else"))
+    found = {(r["doc_id"], r["component_id"]) for r in join.link_documents(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_one_set_with_many_partners_is_dealt_out(docs, monkeypatch):
+    monkeypatch.setattr(join, "PARTNERS", 3)
+    words = [f"w{i}" for i in range(100)]
+    df = docs(*[(i, " ".join([*words, f"x{i}"])) for i in range(40)], (99, "w1 w2 w3 w4 w5"))
+    found = {r["doc_id"]: r["component_id"] for r in join.link_documents(df).collect()}
+    assert found == {**{i: 0 for i in range(40)}, 99: 99}
