@@ -42,8 +42,8 @@ MOST_RUNS = 2_000
 _PLACE_BITS = 28
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-# A run's place: 24 bits of its text's hash, 33 bits of its first word, 5 bits of its length less 1.
-_TEXT_BITS, _START_BITS, _LENGTH_BITS = 24, 33, 5
+# A run's place: its first word, and in the low bits its length less 1.
+_LENGTH_BITS = 5
 
 
 def runs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -90,41 +90,33 @@ def runs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 
 def _key(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
-    """The id and a part of the text's hash, which tells rows with equal ids apart."""
+    """The id and the text's hash, which tells rows with equal ids, or without one, apart."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     return [
         F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(1 << 63))).alias("__doc"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("__part"),
+        F.xxhash64(text).alias("__part"),
     ]
 
 
 def find_runs(keyed: DataFrame) -> DataFrame:
-    """One row per run: anchor, whole, doc, place."""
+    """One row per run: anchor, whole, doc, part, place."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_parts(batch, "text"):
                 text, start, count, anchor, whole = runs(rows.column("text").to_pylist())
                 doc, part = rows.column("__doc").to_numpy(), rows.column("__part").to_numpy()
-                place = (
-                    (part[text] << (_START_BITS + _LENGTH_BITS))
-                    | (start << _LENGTH_BITS)
-                    | (count - 1)
-                )
+                place = (start << _LENGTH_BITS) | (count - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor, whole, doc[text], place)],
-                    names=["anchor", "whole", "doc", "place"],
+                    [pa.array(x) for x in (anchor, whole, doc[text], part[text], place)],
+                    names=["anchor", "whole", "doc", "part", "place"],
                 )
 
-    return keyed.mapInArrow(read, "anchor long, whole long, doc long, place long")
-
-
-def _part(place: Column) -> Column:
-    return F.shiftright(place, _START_BITS + _LENGTH_BITS)
+    return keyed.mapInArrow(read, "anchor long, whole long, doc long, part long, place long")
 
 
 def _start(place: Column) -> Column:
-    return F.shiftright(place, _LENGTH_BITS).bitwiseAND(F.lit((1 << _START_BITS) - 1))
+    return F.shiftright(place, _LENGTH_BITS)
 
 
 def _count(place: Column) -> Column:
@@ -288,8 +280,8 @@ def _reference(kinds: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
     """The words of one run of each kind: anchor, whole, times, variants, words."""
     wanted = (
         kinds.where("variants >= 2")
-        .select("anchor", "whole", "times", "variants", "one.doc", "one.place")
-        .groupBy(F.col("doc").alias("__doc"), _part(F.col("place")).alias("__part"))
+        .select("anchor", "whole", "times", "variants", "one.doc", "one.part", "one.place")
+        .groupBy(F.col("doc").alias("__doc"), F.col("part").alias("__part"))
         .agg(
             F.collect_list(
                 F.struct(
@@ -393,7 +385,7 @@ def remove_repeats(
     scratch.discard("runs", "often")
 
     kinds = shared.groupBy("anchor", "whole").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "place")).alias("one")
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "part", "place")).alias("one")
     )
     variants = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"))
     kinds = scratch.store("kinds", kinds.join(variants, "anchor"))
@@ -410,7 +402,7 @@ def remove_repeats(
 
     removed = (
         shared.join(decided, ["anchor", "whole"])
-        .groupBy(F.col("doc").alias("__doc"), _part(F.col("place")).alias("__part"))
+        .groupBy(F.col("doc").alias("__doc"), F.col("part").alias("__part"))
         .agg(
             F.collect_set(
                 F.struct(

@@ -115,3 +115,16 @@ def test_automaton_counts_every_sequence():
                 if seen[tuple(s[j : j + least])] >= 2
             ]
             assert list(automaton.repeats(s, least)) == want
+
+
+def test_rows_without_or_with_equal_ids_never_answer_for_each_other(docs):
+    """Many different texts under one id or none: only what repeats goes."""
+    import hashlib
+
+    def text(seed):
+        return " ".join(hashlib.md5(f"{seed}-{i}".encode()).hexdigest()[:6] for i in range(40))
+
+    rows = [(None, text(i)) for i in range(6000)] + [(5, text(i)) for i in range(6000, 12_000)]
+    rows += [(7, text(3)), (8, text(11_000))]
+    found = remove_repeats(docs(*rows)).where("n_removed > 0").collect()
+    assert sorted(r["text"] for r in found) == sorted([text(3)] * 2 + [text(11_000)] * 2)
