@@ -72,6 +72,17 @@ def below(ascending: Column, value: Column, bits: int = 24, equal: bool = False)
     return F.aggregate(steps, F.lit(0), halve)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each lengthened until no column has it (Spark compares in any case)."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

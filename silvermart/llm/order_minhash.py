@@ -17,11 +17,13 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvermart.llm.common import below, let, words_of
+from silvermart.llm.common import below, free_names, let, words_of
 
 WORDS_PER_KMER = 2
 SKETCHES = 32
 PICKED = 2
+# Low bits of a k-mer's number that hold its place; the others are its hash, the same for any text.
+PLACE_BITS = 24
 
 LONG = "bigint"
 NO_KMERS = 0  # the component of a text without words
@@ -39,22 +41,26 @@ def add_fingerprint(rows: DataFrame, text: str, column: str) -> DataFrame:
     """Adds the fingerprint of a text column: `SKETCHES` integers, equal for equal texts.
 
     NULL counts as empty; a text without words has the same component throughout. A text of fewer
-    words than a k-mer has is one k-mer.
+    words than a k-mer has is one k-mer. Beyond 2^PLACE_BITS words, places are counted modulo that.
+    A column of the new name is replaced, others stay whatever their names.
     """
-    rows = rows.withColumn("_words", words_of(F.col(text)))
-    w, n = F.col("_words"), F.size("_words")
+    words_, count_, kmers_, order_, first_ = free_names(
+        rows.columns, "_words", "_count", "_kmers", "_order", "_first"
+    )
+    rows = rows.withColumn(words_, words_of(F.col(text)))
+    w, n = F.col(words_), F.size(words_)
     count = F.greatest(n - (WORDS_PER_KMER - 1), F.least(n, F.lit(1)))
-    # A k-mer's number: its hash above its place, which takes as many bits as the text needs.
-    rows = rows.withColumn("_bits", F.length(F.bin(n)).cast("int")).withColumn("_count", count)
-    bits = F.col("_bits")
+    rows = rows.withColumn(count_, count)
+    bits = F.lit(PLACE_BITS)
+    mask = F.lit((1 << PLACE_BITS) - 1).cast(LONG)
 
     def kmer(x: Column, i: Column) -> Column:
         hashed = F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS_PER_KMER)])
-        return _shift_left(hashed, bits).bitwiseOR(i.cast(LONG))
+        return _shift_left(hashed, bits).bitwiseOR(i.cast(LONG).bitwiseAND(mask))
 
-    rows = rows.withColumn("_kmers", F.transform(F.slice(w, F.lit(1), F.col("_count")), kmer))
-    rows = rows.withColumn("_kmers", F.sort_array("_kmers"))
-    ordered = F.col("_kmers")
+    rows = rows.withColumn(kmers_, F.transform(F.slice(w, F.lit(1), F.col(count_)), kmer))
+    rows = rows.withColumn(kmers_, F.sort_array(kmers_))
+    ordered = F.col(kmers_)
 
     # The occurrence number of a k-mer: how far it is from the first of its kind.
     def numbered(x: Column, j: Column) -> Column:
@@ -62,14 +68,13 @@ def add_fingerprint(rows: DataFrame, text: str, column: str) -> DataFrame:
         repeated = F.coalesce(
             _shift_right(x.bitwiseXOR(F.get(ordered, j - 1)), bits) == 0, F.lit(False)
         )
-        nth = F.when(repeated, j - below(ordered, kind)).otherwise(F.lit(0))
+        nth = F.when(repeated, j - below(ordered, kind, bits=31)).otherwise(F.lit(0))
         fresh = F.xxhash64(_shift_right(x, bits), nth)
-        mask = _shift_left(F.lit(1).cast(LONG), bits) - 1
         return _shift_left(fresh, bits).bitwiseOR(x.bitwiseAND(mask))
 
-    rows = rows.withColumn("_order", F.transform(ordered, numbered))
-    rows = rows.withColumn("_order", F.sort_array("_order"))
-    order = F.col("_order")
+    rows = rows.withColumn(order_, F.transform(ordered, numbered))
+    rows = rows.withColumn(order_, F.sort_array(order_))
+    order = F.col(order_)
 
     # Only the first PICKED of each stretch of the range can be picked by any order.
     step = (1 << 64) // SKETCHES
@@ -80,15 +85,14 @@ def add_fingerprint(rows: DataFrame, text: str, column: str) -> DataFrame:
         return F.call_function("shiftright", x, F.lit(shift))
 
     rows = rows.withColumn(
-        "_first",
+        first_,
         F.filter(
             order,
             lambda x, j: (j < PICKED) | (stretch(F.get(order, j - PICKED)) != stretch(x)),
         ),
     )
-    first = F.col("_first")
+    first = F.col(first_)
     size = F.size(first)
-    mask = _shift_left(F.lit(1).cast(LONG), bits) - 1
 
     def component(edge: Column) -> Column:
         def picked(at: Column) -> Column:
@@ -121,7 +125,7 @@ def add_fingerprint(rows: DataFrame, text: str, column: str) -> DataFrame:
                 fingerprint, lambda h: F.call_function("shiftright", h, F.lit(32)).cast("int")
             )
         ),
-    ).drop("_words", "_bits", "_count", "_kmers", "_order", "_first")
+    ).drop(words_, count_, kmers_, order_, first_)
 
 
 def likeness(one: Column, other: Column) -> Column:

@@ -74,3 +74,24 @@ def test_main_path_is_native(spark):
     plan = compare_edits(spark.read.parquet(f"{SMALL}/documents.parquet"))
     text = plan._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+
+
+def test_likeness_does_not_depend_on_the_size_of_the_text(docs):
+    """One word more, on either side of a power of two."""
+    words = [f"w{i}" for i in range(1030)]
+    sizes = [31, 32, 126, 127, 128, 255, 256, 1023, 1024]
+    df = docs(*[(n, " ".join(words[:n])) for n in sizes], *[(-n, " ".join(words[: n + 1])) for n in sizes])
+    prints = {
+        r["doc_id"]: r["f"]
+        for r in add_fingerprint(df.select("doc_id", "text"), "text", "f").collect()
+    }
+    for n in sizes:
+        same = sum(a == b for a, b in zip(prints[n], prints[-n])) / len(prints[n])
+        assert same > (0.9 if n > 100 else 0.7), n
+
+
+def test_columns_of_any_name_stay(docs):
+    names = ("_words", "_COUNT", "_kmers", "_order", "_first")
+    df = docs((1, "a b c")).withColumns({n: F.lit(n) for n in names})
+    row = add_fingerprint(df, "text", "f").first()
+    assert all(row[n] == n for n in names)
