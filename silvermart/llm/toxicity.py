@@ -135,11 +135,15 @@ def labelled(
 ) -> DataFrame:
     """(text, mark) of at most `per_label` learnable documents of each label.
 
-    Which ones depends on a hash of the id alone. Rows with NULL in the label or id are left out.
+    Which ones depends on a hash of the id alone. Rows with NULL in the label or id are left out, and
+    so are ids with both labels. Labels of other documents do not count towards the bound.
     """
-    ids = marks.select(F.col("doc_id").alias("id"), F.col(mark).cast("int").alias("mark")).where(
+    known = marks.select(F.col("doc_id").alias("id"), F.col(mark).cast("int").alias("mark")).where(
         F.col("mark").isin(0, 1) & ~held_out(F.col("id"))
-    ).dropDuplicates(["id"])
+    )
+    single = known.groupBy("id").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
+    there = docs.select(F.col("doc_id").alias("id"))
+    ids = single.where("mark = other").drop("other").join(there, "id", "left_semi")
     order = (F.xxhash64(F.lit(seed), F.col("id")), F.col("id"))
     chosen = [ids.where(F.col("mark") == v).orderBy(*order).limit(per_label) for v in (0, 1)]
     # At most 2 * per_label ids.

@@ -157,3 +157,17 @@ def test_large_ids_survive_nulls(docs):
     model = language_rnn.fit([], np.zeros(0, np.int64), [])
     got = language_rnn.identify(docs((big, "a"), (None, "b")).repartition(1), model)
     assert {r.doc_id for r in got.collect()} == {big, None}
+
+
+def test_labels_of_other_documents_and_double_labels_do_not_count(spark):
+    from silvermart.llm.toxicity import labelled
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(5000)] + [(4, 1), (6, 1), (8, 0), (9, None)]
+    table = spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = labelled(docs, table, "toxic", 1000, "seed").collect()
+    learned = {r["id"] for r in found}
+    import zlib
+
+    usable = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5} - {4, 6}
+    assert learned == usable and all(r["mark"] == r["id"] % 2 for r in found)
