@@ -76,10 +76,10 @@ def pareto_rank(draw: Column, inclusion: Column) -> Column:
 
 def _sized(rows: DataFrame, id_column: str, text_column: str, source_column: str, seed: int):
     """What the mix needs of every row: its source, its size and its random number."""
-    text, doc = F.col(f"`{text_column}`"), F.col(f"`{id_column}`")
+    text, doc = F.col(f"__row.`{text_column}`"), F.col(f"__row.`{id_column}`")
     return rows.withColumns(
         {
-            "__source": F.col(f"`{source_column}`"),
+            "__source": F.col(f"__row.`{source_column}`"),
             "__size": word_count(text),
             "__draw": uniform(doc, F.coalesce(F.xxhash64(text), F.lit(0)), seed=seed),
         }
@@ -184,11 +184,13 @@ def mix(
 
     NULL or empty texts have size 0 and give nothing; rows without a source form the source NULL;
     repeated rows have equal ranks and are drawn alike; an empty table gives an empty result;
-    columns of the added names are replaced, other columns stay.
+    columns of the added names are replaced, other columns stay, whatever their names.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    names = [F.col(f"`{c}`") for c in rows.columns if c not in added]
-    sized = _sized(rows.select(*names), id_column, text_column, source_column, seed)
+    names = [F.col(f"__row.`{c}`") for c in rows.columns if c not in added]
+    # The row travels as one value, so that its names meet none of the plan's.
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row")
+    sized = _sized(rows.select(whole), id_column, text_column, source_column, seed)
     inner = ["__source", "__size", "__draw"]
     plan = plan_mix(stored(sized.select(*inner)), weights, share, most_copies, lean, bins)
     last = F.coalesce(F.col("last_bin"), F.lit(-1))
