@@ -52,20 +52,32 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns, and the whole row as one value, whose names cannot meet an operator's."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; where word sequences repeat, the other words joined by one space."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    # The text goes once.
+    rest = docs.select("doc_id", "text", F.struct("n_chars", *[f"`{c}`" for c in others]).alias("__row"))
     changed = F.col("n_removed") > 0
-    cut = remove_repeats(docs)
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    new = {
+        "text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("__row.n_chars")),
+    }
+    return remove_repeats(rest).select(
+        *[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns]
+    )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, not at all or several times."""
-    mixed = mix(docs, "doc_id", "text", "source", lean=by_length).where("copies > 0")
+    packed = _packed(docs, "doc_id", "text", "source")
+    mixed = mix(packed, "doc_id", "text", "source", lean=by_length).where("copies > 0")
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.select(*docs.columns, times.alias("__copy")).select(*docs.columns)
+    return mixed.select("__row", times.alias("__copy")).select("__row.*")
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
