@@ -176,3 +176,22 @@ def test_odd_documents(spark, docs, name, stage):
     if name in ("substring_dedup", "word_bpe"):
         assert len(found) == 7
     assert stage(spark, rows.limit(0), SMALL).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["substring_dedup", "mixing", "near_duplicates"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Columns that an operator uses itself come out as they went in."""
+    step = dict(pipeline.STAGES)[stage]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} {i}" if i % 2 else f"u{i} v{i}", "en", "ab"[i % 2], 5) for i in range(8)]
+    names = (
+        "kept", "spans", "n_words", "n_removed", "missing", "certain", "last_bin", "last_rank",
+        "source_key", "taken", "size", "copies", "target", "part", "doc",
+    )
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = plain.withColumns({n: F.lit(f"own {n}") for n in names})
+    found = step(spark, df, SMALL)
+    assert found.columns == df.columns
+    expected = step(spark, plain, SMALL)
+    assert sorted(map(tuple, found.select(*plain.columns).collect())) == sorted(map(tuple, expected.collect()))
+    assert all(r[n] == f"own {n}" for r in found.collect() for n in names)
