@@ -44,10 +44,14 @@ BAND_GROWTH = 1.5
 # entries that one-deletion neighbours may add to a set.
 FALSE_PARTNERS = 256
 MOST_NEIGHBOURS = 24
+# The smallest sketch, and the elements of a larger set that add a byte to it.
 SKETCH_BYTES = 64
+ELEMENTS_PER_BYTE = 4
 # Members of an index entry that are compared in one place.
 BLOCK = 1024
 
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -167,14 +171,42 @@ def set_hashes(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def parities(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per set, for each of the sketch's bits, whether an odd number of elements falls on it."""
-    bits = SKETCH_BYTES * 8
-    key = np.repeat(np.arange(len(first) - 1), np.diff(first)) * bits + (
-        mixed(value + U(7)) % U(bits)
-    ).astype(np.int64)
-    odd = np.bincount(key, minlength=(len(first) - 1) * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1)
+def sketch_bytes(sizes: np.ndarray) -> np.ndarray:
+    """Bytes of the sketches of sets: a power of two, so many that differences that rule a pair out
+    are not drowned by others on the same bits."""
+    wanted = np.maximum(sizes // ELEMENTS_PER_BYTE, SKETCH_BYTES)
+    return 1 << np.ceil(np.log2(wanted)).astype(np.int64)
+
+
+def parities(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Per set, for each of its sketch's bits, whether an odd number of elements falls on it."""
+    sizes = np.diff(first)
+    length = sketch_bytes(sizes)
+    start = np.r_[0, np.cumsum(length)]
+    low = np.repeat(length.astype(np.uint64) * U(8) - U(1), sizes)
+    key = np.repeat(start[:-1] * 8, sizes) + (mixed(value + U(7)) & low).astype(np.int64)
+    odd = (np.bincount(key, minlength=int(start[-1]) * 8) & 1).astype(np.uint8)
+    packed = np.packbits(odd)
+    return [packed[i:j] for i, j in zip(start[:-1], start[1:])]
+
+
+def folded(sketches: list[bytes], length: int) -> np.ndarray:
+    """Sketches of at least so many bytes as those that fewer bits would have given, one per row."""
+    out = np.zeros((len(sketches), length), np.uint8)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, length), axis=0)
+    return out
+
+
+def distances(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """How many bits differ, pair by pair, on as many as the smaller sketch has."""
+    out = np.zeros(len(one), np.int64)
+    length = np.array([min(len(a), len(b)) for a, b in zip(one, two)], np.int64)
+    for size in np.unique(length).tolist():
+        at = np.flatnonzero(length == size)
+        x, y = (folded([side[i] for i in at], size) for side in (one, two))
+        out[at] = _ONES[x ^ y].sum(axis=1)
+    return out
 
 
 def entries(
@@ -238,14 +270,14 @@ def _sets(texts: DataFrame, gram: int) -> DataFrame:
             for rows in text_parts(batch, "text"):
                 value, first = shingles(rows.column("text").to_pylist(), gram)
                 one, two = set_hashes(value, first)
-                sketch = parities(value, first)
+                sketches = parities(value, first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc"),
                         pa.array(np.diff(first)),
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
-                        pa.array([s.tobytes() for s in sketch], pa.binary()),
+                        pa.array([s.tobytes() for s in sketches], pa.binary()),
                     ],
                     names=["doc", "n_shingles", "one", "two", "sketch"],
                 )
@@ -282,9 +314,6 @@ def _index(texts: DataFrame, gram: int, similarity: Similarity) -> DataFrame:
     return texts.mapInArrow(read, "entry long, one long")
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
-
-
 def _possible(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
     """The pairs (a, b) that neither their sizes nor their sketches rule out."""
 
@@ -294,12 +323,10 @@ def _possible(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> D
                 continue
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
             most = (100 - similarity.per_cent) * (n + m) // (100 + similarity.per_cent)
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(n), -1)
-                for c in ("one", "two")
-            )
-            distance = _ONES[one ^ two].sum(axis=1).astype(np.int64)
-            keep = (abs(n - m) <= most) & (distance <= most)
+            keep = abs(n - m) <= most
+            near = np.flatnonzero(keep)
+            one, two = (batch.column(c).take(pa.array(near)).to_pylist() for c in ("one", "two"))
+            keep[near] = distances(one, two) <= most[near]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     known = classes.select("cid", "n", "sketch")
@@ -372,7 +399,15 @@ def _passing(group: pd.DataFrame, similarity: Similarity) -> tuple[np.ndarray, .
     part = group["part"].to_numpy()
     size = group["n"].to_numpy()
     side = group["side"].to_numpy()
-    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+    sketches = group["sketch"].tolist()
+    length = np.array([len(s) for s in sketches], np.int64)
+    # By number of bytes the sketches that have as many or more, at that length.
+    at_length, row_of = {}, {}
+    for least in np.unique(length).tolist():
+        held = np.flatnonzero(length >= least)
+        at_length[least] = folded([sketches[i] for i in held], least)
+        row_of[least] = np.zeros(len(group), np.int64)
+        row_of[least][held] = np.arange(len(held))
     found = []
     for i in range(len(group) - 1):
         others = np.arange(i + 1, len(group))
@@ -385,7 +420,12 @@ def _passing(group: pd.DataFrame, similarity: Similarity) -> tuple[np.ndarray, .
         ]
         if not len(others):
             continue
-        distance = _ONES[sketch[others] ^ sketch[i]].sum(axis=1).astype(np.int64)
+        distance = np.zeros(len(others), np.int64)
+        shorter = np.minimum(length[others], length[i])
+        for least in np.unique(shorter).tolist():
+            at = np.flatnonzero(shorter == least)
+            matrix, row = at_length[least], row_of[least]
+            distance[at] = _ONES[matrix[row[others[at]]] ^ matrix[row[i]]].sum(axis=1)
         near = distance <= most
         found.append(
             np.stack([np.full(near.sum(), i), others[near], distance[near] * 4096 // (most[near] + 1)])

@@ -151,3 +151,20 @@ def test_one_set_with_many_partners_is_dealt_out(docs, monkeypatch):
     df = docs(*[(i, " ".join([*words, f"x{i}"])) for i in range(40)], (99, "w1 w2 w3 w4 w5"))
     found = {r["doc_id"]: r["component_id"] for r in join.link_documents(df).collect()}
     assert found == {**{i: 0 for i in range(40)}, 99: 99}
+
+
+def test_sketches_of_any_two_sizes_never_exceed_the_difference():
+    draw = random.Random(5)
+    pool = [draw.getrandbits(64) for _ in range(6000)]
+    sets = [sorted(set(draw.sample(pool, n))) for n in (1, 40, 255, 256, 300, 900, 1500, 2600, 5000)]
+    sets += [sorted({*sets[6][:-9], 1, 2}), sorted({*sets[8][9:]}), []]
+    value = np.array([v for s in sets for v in s], np.uint64)
+    first = np.r_[0, np.cumsum([len(s) for s in sets])]
+    sketches = join.parities(value, first)
+    assert len({len(s) for s in sketches}) > 3
+    for i, a in enumerate(sets):
+        found = join.distances([sketches[i]] * len(sets), sketches)
+        for distance, b in zip(found.tolist(), sets):
+            assert distance <= len(set(a) ^ set(b))
+    # Far sets of thousands are told apart.
+    assert join.distances([sketches[7]], [sketches[8]])[0] > join.Similarity(80).most_difference(2600, 5000)
