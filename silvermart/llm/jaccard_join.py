@@ -49,8 +49,9 @@ SKETCH_BYTES = 64
 ELEMENTS_PER_BYTE = 4
 # Members of an index entry that are compared in one place.
 BLOCK = 1024
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+# Pairs that a task looks at together, beyond those of one group, and bytes of sketches.
+PAIRS_AT_ONCE = 1 << 20
+PAIR_BYTES = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -205,7 +206,7 @@ def distances(one: list[bytes], two: list[bytes]) -> np.ndarray:
     for size in np.unique(length).tolist():
         at = np.flatnonzero(length == size)
         x, y = (folded([side[i] for i in at], size) for side in (one, two))
-        out[at] = _ONES[x ^ y].sum(axis=1)
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
     return out
 
 
@@ -394,43 +395,38 @@ def _verified(
     return links
 
 
-def _passing(group: pd.DataFrame, similarity: Similarity) -> tuple[np.ndarray, ...]:
-    """Pairs of a group's members in different parts that the sketch does not rule out."""
-    part = group["part"].to_numpy()
-    size = group["n"].to_numpy()
-    side = group["side"].to_numpy()
-    sketches = group["sketch"].tolist()
-    length = np.array([len(s) for s in sketches], np.int64)
-    # By number of bytes the sketches that have as many or more, at that length.
-    at_length, row_of = {}, {}
-    for least in np.unique(length).tolist():
-        held = np.flatnonzero(length >= least)
-        at_length[least] = folded([sketches[i] for i in held], least)
-        row_of[least] = np.zeros(len(group), np.int64)
-        row_of[least][held] = np.arange(len(held))
-    found = []
-    for i in range(len(group) - 1):
-        others = np.arange(i + 1, len(group))
-        others = others[(part[others] != part[i]) & ((side[others] != side[i]) | (side[i] == 2))]
-        most = (100 - similarity.per_cent) * (size[others] + size[i]) // (
-            100 + similarity.per_cent
-        )
-        others, most = others[abs(size[others] - size[i]) <= most], most[
-            abs(size[others] - size[i]) <= most
-        ]
-        if not len(others):
-            continue
-        distance = np.zeros(len(others), np.int64)
-        shorter = np.minimum(length[others], length[i])
-        for least in np.unique(shorter).tolist():
-            at = np.flatnonzero(shorter == least)
-            matrix, row = at_length[least], row_of[least]
-            distance[at] = _ONES[matrix[row[others[at]]] ^ matrix[row[i]]].sum(axis=1)
-        near = distance <= most
-        found.append(
-            np.stack([np.full(near.sum(), i), others[near], distance[near] * 4096 // (most[near] + 1)])
-        )
-    return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+def _passing(
+    rows: pd.DataFrame, ends: np.ndarray, similarity: Similarity
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group in different parts that neither sizes nor sketches rule out.
+
+    `ends` says for each row where its group ends. The third array orders pairs, the closest first.
+    """
+    part, size, side = (rows[c].to_numpy() for c in ("part", "n", "side"))
+    later = ends - np.arange(len(rows)) - 1
+    i = np.repeat(np.arange(len(rows)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    apart = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 2))
+    i, j = i[apart], j[apart]
+    most = (100 - similarity.per_cent) * (size[i] + size[j]) // (100 + similarity.per_cent)
+    close = abs(size[i] - size[j]) <= most
+    i, j, most = i[close], j[close], most[close]
+
+    sketches = rows["sketch"].to_numpy()
+    length = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    shorter = np.minimum(length[i], length[j])
+    distance = np.zeros(len(i), np.int64)
+    for least in np.unique(shorter).tolist():
+        at = np.flatnonzero(shorter == least)
+        used, place = np.unique(np.r_[i[at], j[at]], return_inverse=True)
+        matrix = folded(list(sketches[used]), least).view(np.uint64)
+        one, two = place[: len(at)], place[len(at) :]
+        step = max(1, PAIR_BYTES // least)
+        for k in range(0, len(at), step):
+            differ = matrix[one[k : k + step]] ^ matrix[two[k : k + step]]
+            distance[at[k : k + step]] = np.bitwise_count(differ).sum(axis=1)
+    near = distance <= most
+    return i[near], j[near], distance[near] * 4096 // (most[near] + 1)
 
 
 def _search(members: DataFrame, similarity: Similarity, tie_only: bool) -> DataFrame:
@@ -438,29 +434,49 @@ def _search(members: DataFrame, similarity: Similarity, tie_only: bool) -> DataF
 
     `members`: group, side, cid, n, part, sketch, dealt by group. Sides 0 and 1 are the two halves
     of a pair of blocks, between which pairs are sought; side 2 is a block compared with itself.
+    A group with more pairs than were needed to tie it is named in a row of its own, without a pair:
+    whatever is left to compare is in such groups, for parts only ever grow together.
     """
 
-    def pairs_of(group: pd.DataFrame) -> np.ndarray:
-        found = _passing(group, similarity)
-        if tie_only and found.shape[1]:
-            part = group["part"].tolist()
-            up = {p: p for p in part}
-
-            def top(x):
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
-
+    def tying(part: list, i: list, j: list, order: np.ndarray) -> list[int]:
+        up = {p: p for p in part}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        kept = []
+        for k in np.argsort(order, kind="stable").tolist():
+            a, b = top(part[i[k]]), top(part[j[k]])
+            if a != b:
+                up[a] = b
+                kept.append(k)
+        return kept
+
+    def pairs_of(rows: pd.DataFrame, edges: np.ndarray) -> tuple[list, list]:
+        """Pairs of some groups, and the groups with more of them."""
+        i, j, order = _passing(rows, np.repeat(edges[1:], np.diff(edges)), similarity)
+        cid, group, part = (rows[c].to_numpy() for c in ("cid", "group", "part"))
+        more = []
+        if tie_only and len(i):
             kept = []
-            for k in np.argsort(found[2], kind="stable").tolist():
-                a, b = top(part[found[0, k]]), top(part[found[1, k]])
-                if a != b:
-                    up[a] = b
-                    kept.append(k)
-            found = found[:, kept]
-        cid = group["cid"].to_numpy()
-        return np.stack([cid[found[0]], cid[found[1]]])
+            cut = np.flatnonzero(np.r_[True, group[i[1:]] != group[i[:-1]], True])
+            for k, m in zip(cut[:-1], cut[1:]):
+                where = np.unique(np.r_[i[k:m], j[k:m]])
+                mine = tying(
+                    part[where].tolist(),
+                    np.searchsorted(where, i[k:m]).tolist(),
+                    np.searchsorted(where, j[k:m]).tolist(),
+                    order[k:m],
+                )
+                kept += [k + x for x in mine]
+                if len(mine) < m - k:
+                    more.append(int(group[i[k]]))
+            i, j = i[kept], j[kept]
+        a, b = cid[i], cid[j]
+        return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())), more
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -469,15 +485,21 @@ def _search(members: DataFrame, similarity: Similarity, tie_only: bool) -> DataF
         def answer(rows: pd.DataFrame) -> pd.DataFrame:
             group = rows["group"].to_numpy()
             edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-            out = []
-            for i, j in zip(edges[:-1], edges[1:]):
-                if j - i > 1:
-                    found = pairs_of(rows.iloc[i:j])
-                    out += zip(found.min(axis=0).tolist(), found.max(axis=0).tolist())
+            size = np.diff(edges)
+            upto = np.r_[0, np.cumsum(size * (size - 1) // 2)]
+            out, more, k = [], [], 0
+            while k < len(size):
+                m = max(k + 1, int(np.searchsorted(upto, upto[k] + PAIRS_AT_ONCE, "right")) - 1)
+                part = rows.iloc[edges[k] : edges[m]]
+                found, left_over = pairs_of(part, edges[k : m + 1] - edges[k])
+                out += found
+                more += [(None, None, g) for g in left_over]
+                k = m
             fresh = [p for p in dict.fromkeys(out) if p not in seen]
             if len(seen) < 1_000_000:
                 seen.update(fresh)
-            return pd.DataFrame(fresh, columns=["a", "b"], dtype="int64")
+            answers = [*[(a, b, None) for a, b in fresh], *more]
+            return pd.DataFrame(answers, columns=["a", "b", "group"], dtype="Int64")
 
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -492,10 +514,25 @@ def _search(members: DataFrame, similarity: Similarity, tie_only: bool) -> DataF
     # The rows are few and the work on them is not, so the partitions are not to be merged.
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(tasks, "group").sortWithinPartitions("group", "cid")
-    found = dealt.select("group", "side", "cid", "n", "part", "sketch").mapInPandas(
-        read, "a long, b long"
+    return dealt.select("group", "side", "cid", "n", "part", "sketch").mapInPandas(
+        read, "a long, b long, group long"
+    )
+
+
+def _unsettled(shared: DataFrame) -> DataFrame:
+    """The members of the entries in which pairs are left once all were compared with the least.
+
+    The least member is settled with all others, so it goes, and with it all entries of two. Entries
+    of the same members are one: the sets are told apart by size and 128 bits, as texts' sets are.
+    """
+    held = shared.groupBy("entry").agg(
+        F.min("cid").alias("first"),
+        F.count("*").alias("members"),
+        *[F.bit_xor(F.xxhash64(F.lit(k), "cid")).alias(f"sum{k}") for k in (1, 2)],
     )
-    return found.where("a <> b").distinct()
+    alike = held.where("members > 2").groupBy("first", "members", "sum1", "sum2")
+    chosen = alike.agg(F.min("entry").alias("entry")).select("entry", "first")
+    return shared.join(chosen, "entry").where("cid <> first").select("entry", "cid")
 
 
 def _divided(shared: DataFrame, parts: DataFrame, classes: DataFrame, block: int) -> DataFrame:
@@ -578,16 +615,24 @@ def link_documents(
     links = _verified(pairs, texts, gram, per_cent, scratch, "0")
     tried = pairs
     parts = components(links, scratch, "parts-0")
+    unsettled = scratch.store("unsettled", _unsettled(shared))
+    scratch.discard("shared")
+    more = None
     for turn, tie_only in ((1, True), (2, False)):
-        members = _divided(shared, parts, classes, block)
-        pairs = _search(members, similarity, tie_only).join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.store(f"pairs-{turn}", pairs)
+        members = _divided(unsettled, parts, classes, block)
+        if more is not None:
+            members = members.join(more, "group", "left_semi")
+        found = scratch.store(f"found-{turn}", _search(members, similarity, tie_only))
+        more = found.where("a is null").select("group").distinct()
+        pairs = found.where("a <> b").select("a", "b").distinct()
+        pairs = scratch.store(f"pairs-{turn}", pairs.join(tried, ["a", "b"], "left_anti"))
         links = links.unionByName(
             _verified(pairs, texts, gram, per_cent, scratch, str(turn))
         )
         tried = tried.unionByName(pairs)
         parts = components(links, scratch, f"parts-{turn}")
-    scratch.discard("shared", *[f"{kind}-{k}" for kind in ("pairs", "links") for k in range(3)])
+    scratch.discard("unsettled", "found-1", "found-2")
+    scratch.discard(*[f"{kind}-{k}" for kind in ("pairs", "links") for k in range(3)])
 
     labelled = classes.join(
         parts.withColumnRenamed("node", "cid"), "cid", "left"
