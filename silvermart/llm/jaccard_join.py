@@ -53,6 +53,8 @@ BLOCK = 1024
 PAIRS_AT_ONCE = 1 << 20
 PAIR_BYTES = 1 << 23
 
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.uint16)
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -206,7 +208,7 @@ def distances(one: list[bytes], two: list[bytes]) -> np.ndarray:
     for size in np.unique(length).tolist():
         at = np.flatnonzero(length == size)
         x, y = (folded([side[i] for i in at], size) for side in (one, two))
-        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        out[at] = _ONES[x ^ y].sum(axis=1)
     return out
 
 
