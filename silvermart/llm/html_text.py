@@ -6,7 +6,9 @@ which is the article. The lowest density on the way from body to that node is th
 each neighbour on this way must reach by itself to belong to the article as well; headings belong
 to it in any case. An article or main element on the way is the article whatever its neighbours'
 densities. Menus, sidebars, forms, adverts, comments
-and the like are known by their tags, roles and names and never count.
+and the like are known by their tags, roles and names and never count. A name alone is not believed
+where the article's heading stands in that part, nor, unless its word leaves no doubt, where hardly
+any text would be left without the parts of that name.
 """
 
 from __future__ import annotations
@@ -61,6 +63,16 @@ APART_NAMES = frozenset(
     "disqus reply replies respond discussion pagination pager toolbar widget widgets form search "
     "skip hidden disclaimer alert rail".split()
 )
+# Those of them that name no layout around an article.
+CERTAIN_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs footer "
+    "copyright cookie cookies consent gdpr sidebar sidebars newsletter disclaimer comment comments "
+    "commentlist disqus replies respond".split()
+)
+# Parts of a name are the article if they hold so many times the text that is left without them, and
+# at least so many characters outside of links.
+OUTWEIGHS = 4
+LEAST_CHARS = 250
 # Whole names that say so outside the article, and words that turn a name into another statement.
 APART_OUTSIDE = frozenset(
     "header masthead banner topbar hero site-header page-header main-header".split()
@@ -92,15 +104,18 @@ class Tree:
     parent: list
     apart: list  # menu, advert, ...: the node and all below
     pieces: list  # (node, decoded text); None is a space, False the edge of a block
+    named: dict  # nodes that are apart by the word of a name alone, if they are
 
 
-def _is_apart(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_apart(tag: str, attributes: str, in_article: bool) -> bool | str:
+    """Whether an element is no article text; the word if only a name says so."""
     if tag in NEVER_APART:
         return False
     if tag in APART or (tag == "header" and not in_article):
         return True
     if not attributes:
         return False
+    said = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -118,13 +133,63 @@ def _is_apart(tag: str, attributes: str, in_article: bool) -> bool:
                     continue
                 if tag == "article":
                     words &= APART_ARTICLES
-                if words & APART_NAMES or (not in_article and whole.lower() in APART_OUTSIDE):
+                if found := words & APART_NAMES:
+                    said = min(found & CERTAIN_NAMES or {said or min(found)})
+                elif not in_article and whole.lower() in APART_OUTSIDE:
                     return True
-    return False
+    return said or False
+
+
+def _believe(tree: Tree) -> None:
+    """Marks as apart what stands in parts that are apart by name, where the name is believed."""
+    n = len(tree.tag)
+    chars, plain = [0] * n, [0] * n
+    linked, heads = [False] * n, [False] * n
+    for i in range(1, n):
+        linked[i] = linked[tree.parent[i]] or tree.tag[i] == "a"
+        heads[i] = tree.tag[i] in ("h1", "main")
+    for node, text in tree.pieces:
+        if text and not tree.apart[node]:
+            size = len(_DENSE.sub("", text))
+            chars[node] += size
+            plain[node] += size * (not linked[node])
+    own = chars[:]
+    for i in range(n - 1, 0, -1):
+        up = tree.parent[i]
+        if not tree.apart[i]:
+            chars[up] += chars[i]
+            plain[up] += plain[i]
+            heads[up] |= heads[i]
+    named = {i: word for i, word in tree.named.items() if not heads[i]}
+    while True:
+        # Every round lifts a word, of which there are few, or is the last one.
+        inside, free = [False] * n, own[0]
+        of_word: Counter = Counter()
+        plain_of: Counter = Counter()
+        for i in range(1, n):
+            inside[i] = inside[tree.parent[i]]
+            if i in named and not inside[i]:
+                inside[i] = True
+                of_word[named[i]] += chars[i]
+                plain_of[named[i]] += plain[i]
+            if not inside[i]:
+                free += own[i]
+        lifted = {
+            word
+            for word, size in of_word.items()
+            if word not in CERTAIN_NAMES
+            and plain_of[word] >= max(LEAST_CHARS, OUTWEIGHS * free)
+        }
+        if not lifted:
+            break
+        word = max(lifted, key=lambda w: (plain_of[w], w))
+        named = {i: w for i, w in named.items() if w != word}
+    for i in range(1, n):
+        tree.apart[i] = tree.apart[i] or inside[i]
 
 
 def parse(page: str) -> Tree:
-    tree = Tree(["#page"], [-1], [False], [])
+    tree = Tree(["#page"], [-1], [False], [], {})
     tag_of, parent_of, apart_of, pieces = tree.tag, tree.parent, tree.apart, tree.pieces
     stack, at, end = [0], 0, len(page)
     open_tags: Counter = Counter()
@@ -176,7 +241,10 @@ def parse(page: str) -> Tree:
         tag_of.append(name)
         parent_of.append(stack[-1])
         in_article = open_tags["article"] + open_tags["main"] > 0
-        apart_of.append(apart_of[stack[-1]] or _is_apart(name, attributes, in_article))
+        apart = apart_of[stack[-1]] or _is_apart(name, attributes, in_article)
+        if isinstance(apart, str):
+            tree.named[node] = apart
+        apart_of.append(apart is True)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
@@ -185,6 +253,8 @@ def parse(page: str) -> Tree:
             continue
         stack.append(node)
         open_tags[name] += 1
+    if tree.named:
+        _believe(tree)
     return tree
 
 
@@ -328,9 +398,19 @@ def _sparse(
 
 
 def _link_lists(tree: Tree) -> set[int]:
-    """Lists of three or more items that are nothing but links: menus without a name."""
+    """Lists of three or more items that are nothing but links: menus without a name.
+
+    In an article element such a list is the article's own.
+    """
     n = len(tree.tag)
-    lists = {i for i in range(n) if tree.tag[i] in ("ul", "ol") and not tree.apart[i]}
+    article = [False] * n
+    for i in range(1, n):
+        article[i] = article[tree.parent[i]] or tree.tag[i] == "article"
+    lists = {
+        i
+        for i in range(n)
+        if tree.tag[i] in ("ul", "ol") and not tree.apart[i] and not article[i]
+    }
     if not lists:
         return lists
     items = dict.fromkeys(lists, 0)

@@ -84,8 +84,44 @@ def test_names_that_say_what_a_part_is():
     assert blocks(page) == ["Head", "The text of the article, of some length."]
 
 
+def test_names_of_layouts_are_not_believed():
+    wanted = paragraphs("a", 4)
+    text = "".join(f"<p>{t}</p>" for t in wanted)
+    beside = '<div class="sidebar"><p>about us, a long text here and more text</p></div>'
+    remarks = f'<div class="comments">{section("c", 40)}</div>'
+    for name in (
+        "elementor-widget-container", "long-form", "page nav-open", "post share-price",
+        "layout-right-rail", "search-results", "c-alert-story", "article-body hidden-print",
+    ):
+        assert blocks(f'<body><div class="{name}">{text}</div></body>') == wanted, name
+        page = f'<body>{beside}<div class="{name}">{beside}{text}{remarks}</div>{remarks}</body>'
+        assert blocks(page) == wanted, name
+        page = f'<body><article><div class="{name}">{text}</div></article></body>'
+        assert blocks(page) == wanted, name
+    # Several parts of one name, and parts in parts.
+    widgets = "".join(f'<div class="widget"><div class="widget-text"><p>{t}</p></div></div>' for t in wanted)
+    assert blocks(f"<body><article>{widgets}</article></body>") == wanted
+    # A part with the heading is the article even if much else is on the page.
+    page = f'<body>{section("b", 3)}<div class="right-sidebar"><h1>Head</h1>{text}</div></body>'
+    assert "Head" in blocks(page) and set(wanted) <= set(blocks(page))
+    # What is small beside the article, or nothing but links, goes by its name.
+    links = "".join(f'<a href="{k}">A link of the menu, number {k}</a>' for k in range(60))
+    page = f'<body><div class="menu">{links}</div><div><p>Short one.</p></div><div class="notice">Note</div>'
+    assert blocks(page) == ["Short one."]
+
+
+def test_lists_of_links():
+    links = "".join(f'<li><a href="{k}">Source {k}</a></li>' for k in range(3))
+    text = "".join(f"<p>{t}</p>" for t in paragraphs("a", 4))
+    sources = [f"Source {k}" for k in range(3)]
+    page = f"<body><ul>{links}</ul><article>{text}<ul>{links}</ul></article></body>"
+    assert blocks(page) == paragraphs("a", 4) + sources
+    assert blocks(f"<body><div><ul>{links}</ul>{text}</div></body>") == paragraphs("a", 4)
+
+
 def test_broken_pages_take_linear_time():
-    for page in ("<div>" * 30000 + "x", "<a '" * 30000, "<p>x</b>" * 30000, "<p>" * 30000):
+    named = "<div class=ad>x<div class=menu>y" * 15000
+    for page in ("<div>" * 30000 + "x", "<a '" * 30000, "<p>x</b>" * 30000, "<p>" * 30000, named):
         blocks(page)
 
 
