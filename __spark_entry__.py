@@ -28,8 +28,14 @@ from silvermart.plans import trusted as layer
 from silvermart.plans.pipeline import run_pipeline
 from silvermart.plans.workspace import Workspace, workspace
 from silvermart.sources import feed
-from silvermart.sources.landing import land_all, stringify
-from silvermart.sources.store import scratch_root
+from silvermart.sources.landing import (
+    ENTITIES,
+    land_all,
+    land_with_rejects,
+    read_with_rejects,
+    stringify,
+)
+from silvermart.sources.store import TableStore, scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +78,44 @@ def _stringify_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stringify_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts below 0.001 as text, with all their digits."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    part = (F.col("o_orderkey") % 899 + 100).cast("double") / 1e6
+    return stringify(orders.select(F.col("o_orderkey").alias("order_key"), part.alias("part")))
+
+
+def _land_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON feed in which every tenth record breaks off: the landed rows and the rejected texts."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    people = next(e for e in ENTITIES if e.sheet == "People")
+    whole = F.to_json(
+        F.struct(
+            F.col("c_name").alias("Regional Manager"),
+            F.col("c_nationkey").cast("string").alias("Region"),
+        )
+    )
+    broken = F.concat(F.lit('{"Regional Manager":"'), "c_name")
+    root = scratch_root(spark, "rejects")
+    line = F.when(F.col("c_custkey") % 10 == 0, broken).otherwise(whole)
+    customers.select(line.alias("value")).write.text(f"{root}/feed")
+    store, scratch = TableStore(spark, root), TableStore(spark, f"{root}/scratch")
+    source = read_with_rejects(spark, "json", f"{root}/feed", people.schema)
+    table, rejects, _ = land_with_rejects(store, scratch, people, source)
+    scratch.drop_all()
+    none = F.lit(None).cast("string")
+    return (
+        store.open(table)
+        .select(F.col("Regional Manager").alias("manager"), F.col("Region").alias("region"))
+        .withColumn("rejected", none)
+        .unionByName(
+            store.open(rejects).select(
+                none.alias("manager"), none.alias("region"), F.col("record").alias("rejected")
+            )
+        )
+    )
+
+
 def _catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline with a database: every table read back by its name in the catalog."""
     database = f"silvermart_{uuid.uuid4().hex}"
@@ -251,6 +295,8 @@ def queries() -> dict[str, Query]:
             spark.read.parquet(f"{sf_dir}/customer.parquet")
         ),
         "stringify_amounts": _stringify_amounts,
+        "stringify_small": _stringify_small,
+        "land_rejects": _land_rejects,
         # cleaning
         "clean_orders": _on(_base),
         "clean_returns": _on(lambda w: layer.clean_returns(w.raw["Returns"])),

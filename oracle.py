@@ -385,6 +385,16 @@ def parts() -> dict[str, tuple[str, ...]]:
             """SELECT CAST(o_orderkey AS VARCHAR) AS order_key,
       CAST(round(o_totalprice) * 100000 AS VARCHAR) AS amount,
       CAST(round(o_totalprice) * 100000 + 0.5 AS VARCHAR) AS half FROM orders""",
+        ),
+        "stringify_small": (
+            """SELECT CAST(o_orderkey AS VARCHAR) AS order_key,
+      rtrim('0.000' || CAST(o_orderkey % 899 + 100 AS VARCHAR), '0') AS part FROM orders""",
+        ),
+        "land_rejects": (
+            """SELECT CASE WHEN c_custkey % 10 <> 0 THEN c_name END AS manager,
+      CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS region,
+      CASE WHEN c_custkey % 10 = 0 THEN '{"Regional Manager":"' || c_name END AS rejected
+      FROM customer""",
         ),
         "stringify_customer": (
             """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,

@@ -55,13 +55,59 @@ def read_source(
     return reader.load(path).select([F.col(f"`{f.name}`") for f in schema])
 
 
+# The column that holds the text of a record that could not be parsed.
+REJECTED = "_rejected"
+
+
+def read_with_rejects(
+    spark: SparkSession, fmt: str, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """As read_source, with malformed records of CSV and JSON as rows of their own.
+
+    Such a row has its whole text in the column `_rejected`, which is NULL for all others. Formats
+    with types have no malformed records.
+    """
+    options = {"mode": "PERMISSIVE", "multiLine": multi_line, "columnNameOfCorruptRecord": REJECTED}
+    columns = [F.col(f"`{f.name}`") for f in schema]
+    if fmt == "csv":
+        names = spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path).columns
+        read = T.StructType([T.StructField(n, T.StringType()) for n in [*names, REJECTED]])
+        reader = spark.read.options(header=True, escape='"', **options).schema(read)
+        return reader.csv(path).select(*columns, REJECTED)
+    if fmt == "json":
+        read = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType())])
+        return spark.read.options(**options).schema(read).json(path).select(*columns, REJECTED)
+    return read_source(spark, fmt, path, schema).withColumn(REJECTED, F.lit(None).cast("string"))
+
+
+def land_with_rejects(
+    store: TableStore, scratch: TableStore, entity: Entity, source: DataFrame
+) -> tuple[StoredTable, StoredTable, dict]:
+    """Land one entity read by read_with_rejects: the raw table, its rejects, the report with both.
+
+    The source is parsed once, into a table of the scratch store that both are taken from.
+    """
+    parsed = scratch.open(scratch.write(f"parsed/{entity.sheet}", source))
+    good = parsed.where(F.col(REJECTED).isNull()).drop(REJECTED)
+    table, report = land_entity(store, entity, good)
+    bad = parsed.where(F.col(REJECTED).isNotNull()).select(F.col(REJECTED).alias("record"))
+    rejects = store.write(f"rejects/{entity.table.split('/')[-1]}", bad)
+    return table, rejects, report | {"rejected": rejects.rows}
+
+
 def plain_double(c: Column) -> Column:
     """A double as text without an exponent from 0.0001 up to 1e16, and as Spark writes it beyond."""
     size = F.abs(c)
+    # Below 0.001 the digits are those of the text with an exponent: 1.25E-4.
+    mantissa = F.translate(F.regexp_replace(c.cast("string"), "E-4$", ""), "-.", "")
+    small = F.concat(F.when(c < 0, "-").otherwise(""), F.lit("0.000"), F.rtrim(mantissa, F.lit("0")))
     digits = c.try_cast("decimal(38,18)").cast("string")
     plain = F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
-    spelled = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
-    return F.when(spelled, plain).otherwise(c.cast("string"))
+    return (
+        F.when((size >= 1e7) & (size < 1e16), plain)
+        .when((size >= 1e-4) & (size < 1e-3), small)
+        .otherwise(c.cast("string"))
+    )
 
 
 def stringify(df: DataFrame) -> DataFrame:

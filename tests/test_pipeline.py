@@ -13,7 +13,9 @@ from silvermart.sources.landing import (
     ENTITIES,
     land_all,
     land_entity,
+    land_with_rejects,
     read_source,
+    read_with_rejects,
     stringify,
 )
 from silvermart.sources.store import TableStore, in_parallel, scratch_root
@@ -233,3 +235,29 @@ def test_doubles_land_without_exponents(spark):
     values = [12345678.0, 1e7, 123456789.25, -2.5e10, 0.0005, 1.5, 0.0]
     df = spark.createDataFrame([(v,) for v in values], "d double")
     assert [r.d for r in stringify(df).collect()] == [repr(v) for v in values]
+
+
+def test_small_doubles_keep_their_digits(spark):
+    values = [0.00012345678901234567, -0.00099, 0.0001, 0.0005, 0.001, 0.00012]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    assert [r.d for r in stringify(df).collect()] == [repr(v) for v in values]
+
+
+@pytest.mark.parametrize(
+    "fmt, lines, bad",
+    [
+        ("json", '{"Regional Manager":"Mia","Region":"East"}\n{"Regional\n', '{"Regional'),
+        ("csv", "Regional Manager,Region\nMia,East\nMax,West,1,2\n", "Max,West,1,2"),
+        ("csv", "Region,Regional Manager\nEast,Mia\n", None),
+    ],
+)
+def test_malformed_records_go_to_the_rejects(spark, store, tmp_path, fmt, lines, bad):
+    people = next(e for e in ENTITIES if e.sheet == "People")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / f"part.{fmt}").write_text(lines)
+    source = read_with_rejects(spark, fmt, str(tmp_path / "in"), people.schema)
+    scratch = TableStore(spark, str(tmp_path / "scratch"))
+    table, rejects, report = land_with_rejects(store, scratch, people, source)
+    assert rows_of(store.open(table)) == [("Mia", "East")]
+    assert rows_of(store.open(rejects)) == ([(bad,)] if bad else [])
+    assert (report["rows"], report["rejected"]) == (1, int(bad is not None))
