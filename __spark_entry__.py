@@ -23,6 +23,7 @@ from silvermart.functions import (
     trim_all,
 )
 from silvermart.operators.attach import with_row_tag
+from silvermart.operators.distinct import distinct_by_digest
 from silvermart.plans import checks, reports, star
 from silvermart.plans import trusted as layer
 from silvermart.plans.pipeline import run_pipeline
@@ -177,6 +178,12 @@ def _base(w: Workspace) -> DataFrame:
     return layer.clean_orders(w.raw["Orders"])
 
 
+def _dedup_two_steps(w: Workspace) -> DataFrame:
+    """The repaired rows, written first, each once; only the repeated ones are shuffled."""
+    repaired = layer.repaired_orders(w.raw["Orders"], w.raw["Returns"], w.raw["People"], w.scratch)
+    return distinct_by_digest(w.scratch.write("repaired_orders", repaired), w.scratch)
+
+
 def _normalize_region(w: Workspace) -> DataFrame:
     spelled = w.raw["Orders"].groupBy(F.col("Region").alias("spelled")).agg(
         F.count(F.lit(1)).alias("rows")
@@ -323,6 +330,7 @@ def queries() -> dict[str, Query]:
                 layer.repaired_orders(w.raw["Orders"], w.raw["Returns"], w.raw["People"], w.scratch)
             )
         ),
+        "dedup_two_steps": _on(_dedup_two_steps),
         "trusted_orders": _on(_trusted),
         "trusted_orders_shuffled": _on(
             lambda w: layer.trusted_orders(
@@ -386,6 +394,7 @@ def queries() -> dict[str, Query]:
         "check_sales_faithful": _on(lambda w: checks.sales_faithful(w.trusted, w.fact)),
         "check_sales_by_order": _on(lambda w: checks.sales_by_order(w.trusted, w.fact)),
         "check_sales_total": _on(lambda w: checks.sales_total(w.trusted, w.fact)),
+        "check_sales_total_whole": _on(lambda w: checks.sales_total_whole(w.trusted, w.fact)),
         "check_money_range": _on(lambda w: checks.money_range(w.trusted, w.fact)),
         "check_unique_customer_key": _dim(checks.unique_customer_key, "dim_customer"),
         "check_unique_product_key": _dim(checks.unique_product_key, "dim_product"),

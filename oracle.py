@@ -472,6 +472,7 @@ def parts() -> dict[str, tuple[str, ...]]:
         ),
         "dedup_exact": ("SELECT DISTINCT * FROM base", "base"),
         "dedup_trusted": (f"SELECT {', '.join(TRUSTED)} FROM deduplicated", "deduplicated"),
+        "dedup_two_steps": (f"SELECT {', '.join(TRUSTED)} FROM deduplicated", "deduplicated"),
         "trusted_orders": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
         "trusted_orders_shuffled": (f"SELECT {', '.join(TRUSTED)} FROM trusted", "trusted"),
         "one_manager_per_region": (
@@ -591,6 +592,11 @@ def parts() -> dict[str, tuple[str, ...]]:
         ),
         "check_sales_total": (
             f"""{SALES} FROM (SELECT coalesce({total("sales")}, 0) AS t FROM trusted),
+      (SELECT coalesce({total("sales")}, 0) AS f FROM fact)""",
+            "fact",
+        ),
+        "check_sales_total_whole": (
+            f"""{SALES} FROM (SELECT coalesce({total("sales")}, 0) AS t FROM trusted),
       (SELECT coalesce({total("sales")}, 0) AS f FROM fact)""",
             "fact",
         ),

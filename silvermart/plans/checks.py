@@ -15,6 +15,7 @@ from silvermart.functions import beyond_exact, clean_text, exact, is_missing, tr
 from silvermart.functions.numbers import EXACT_TYPE
 from silvermart.functions.text import WHITESPACE
 from silvermart.operators.donors import count_kinds
+from silvermart.operators.exact_sums import partial_sums, totals
 from silvermart.plans.star import CUSTOMER, LOCATION, PRODUCT
 from silvermart.sources.store import TableStore, in_parallel, scratch_root
 
@@ -311,8 +312,24 @@ def sales_total(trusted: DataFrame, fact: DataFrame) -> DataFrame:
     ).select(_sales_report(F.col("t"), F.col("f")))
 
 
+def sales_total_whole(trusted: DataFrame, fact: DataFrame) -> DataFrame:
+    """sales_total with amounts of any size. The gap is a sum of its own, over both tables, so that it
+    is exact where the totals themselves are too large for their cents."""
+    sides = trusted.select(F.col("sales").alias("t"), F.col("sales").alias("gap")).unionByName(
+        fact.select(F.col("sales").alias("f"), (-F.col("sales")).alias("gap")),
+        allowMissingColumns=True,
+    )
+    names = ["t", "f", "gap"]
+    sums = partial_sums(sides, [], {n: F.col(n) for n in names}, {})
+    found = totals(sums, [], names, [], of_near=lambda near: F.round(near, 2))
+    shown = ["total_sales_trusted", "total_sales_fact", "difference"]
+    return found.select(
+        *[F.coalesce(n, F.lit(0.0)).alias(s) for n, s in zip(names, shown, strict=True)]
+    )
+
+
 def money_range(trusted: DataFrame, fact: DataFrame) -> DataFrame:
-    """Amounts that are too large for the sums of money, and so missing from them."""
+    """Amounts beyond the range of the reconciliations by decimals, and so missing from them."""
     both = trusted.select(F.lit("trusted_orders").alias("table_name"), "sales", "profit").unionByName(
         fact.select(F.lit("fact_orders").alias("table_name"), "sales", "profit")
     )

@@ -236,6 +236,14 @@ def test_one_huge_amount_does_not_end_the_sums(spark):
     assert [(r.sales_beyond, r.profit_beyond) for r in found] == [(1, 0), (1, 0)]
 
 
+def test_the_whole_total_counts_amounts_of_any_size(spark):
+    schema = "order_id string, sales double"
+    trusted = spark.createDataFrame([("O-1", 1e30), ("O-2", 5.0), ("O-3", None)], schema)
+    fact = spark.createDataFrame([("O-1", 1e30), ("O-2", 4.75)], schema)
+    assert tuple(checks.sales_total_whole(trusted, fact).first()) == (1e30, 1e30, 0.25)
+    assert tuple(checks.sales_total_whole(trusted.limit(0), fact.limit(0)).first()) == (0.0, 0.0, 0.0)
+
+
 def test_conflicts_in_long_form(store):
     raw = raw_orders(
         store,
