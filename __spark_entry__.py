@@ -60,8 +60,12 @@ def _land_sheets(w: Workspace) -> DataFrame:
 
 
 def _full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline into a fresh folder; one row per table it wrote."""
-    layers = run_pipeline(spark, feed.sheets(spark, sf_dir), scratch_root(spark, "refresh"))
+    """The whole pipeline into a fresh folder, deleted afterwards; one row per table it wrote."""
+    out = scratch_root(spark, "refresh")
+    try:
+        layers = run_pipeline(spark, feed.sheets(spark, sf_dir), out)
+    finally:
+        TableStore(spark, out).drop_all()
     return spark.createDataFrame(
         [(r["table"], r["rows"]) for r in layers.report], "table_name string, rows long"
     )
@@ -98,6 +102,7 @@ def _land_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     broken = F.concat(F.lit('{"Regional Manager":"'), "c_name")
     root = scratch_root(spark, "rejects")
+    TableStore(spark, root).drop_at_exit()
     line = F.when(F.col("c_custkey") % 10 == 0, broken).otherwise(whole)
     customers.select(line.alias("value")).write.text(f"{root}/feed")
     store, scratch = TableStore(spark, root), TableStore(spark, f"{root}/scratch")
@@ -124,8 +129,9 @@ def _catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trusted_orders": "quantity", "fact_orders": "quantity", "dim_date": "date_key",
         **{f"dim_{d}": f"{d}_key" for d in ("customer", "product", "geography", "shipping")},
     }
+    out = scratch_root(spark, "catalog")
     try:
-        run_pipeline(spark, feed.sheets(spark, sf_dir), scratch_root(spark, "catalog"), database)
+        run_pipeline(spark, feed.sheets(spark, sf_dir), out, database)
         rows = [
             (
                 name,
@@ -135,6 +141,7 @@ def _catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     finally:
         spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+        TableStore(spark, out).drop_all()
     return spark.createDataFrame(rows, "table_name string, rows long, total long")
 
 

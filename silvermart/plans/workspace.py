@@ -32,6 +32,7 @@ class Workspace:
         root = scratch_root(spark, "workspace")
         self.store = TableStore(spark, root)
         self.scratch = TableStore(spark, f"{root}/scratch")
+        self.store.drop_at_exit()
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:

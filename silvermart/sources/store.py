@@ -159,10 +159,22 @@ class TableStore:
             fs.delete(path, True)
         return len(old)
 
-    def drop_all(self) -> None:
-        """Delete everything below the root; for the intermediate tables of a finished run."""
+    def drop_all(self) -> int:
+        """Delete everything below the root, for the tables of a finished run; returns how many
+        files went."""
         path, fs = self._hadoop(self.root)
+        if not fs.exists(path):
+            return 0
+        files = fs.getContentSummary(path).getFileCount()
         fs.delete(path, True)
+        return files
+
+    def drop_at_exit(self) -> None:
+        """Delete everything below the root when the driver's JVM ends; for tables that results
+        not yet read may need. A driver that is killed leaves them."""
+        path, fs = self._hadoop(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def _versions(self, name: str) -> list[str]:
         path, fs = self._hadoop(f"{self.root}/{name}")
