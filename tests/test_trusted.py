@@ -224,3 +224,20 @@ def test_whole_rows_are_shuffled_once_for_all_large_lookups(spark, store):
     wide = [line for line in plan.splitlines() if "Exchange" in line]
     # Five narrow sides, by kind, and the rows themselves.
     assert len(wide) == 6 and all("hashpartitioning(row_tag#" in line for line in wide)
+
+
+def test_the_feed_is_compiled(spark):
+    """Its steps stay below 8000 bytes of code, beyond which the JVM only interprets them."""
+    import re
+
+    from silvermart.sources import feed
+    from silvermart.sources.landing import stringify
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package")
+        plan = stringify(feed.raw_orders(spark, DATA))._jdf.queryExecution().executedPlan()
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
