@@ -26,6 +26,7 @@ from silvermart.sources.store import TableStore, in_parallel
 
 ROW_TAG = "row_tag"
 SALT, SALTS = "salt", "salts"
+FOUND_KEY = "_found_key"
 
 # A task's share of the rows is made up of so many pieces at least; finer ones lie more evenly.
 PIECES = 8
@@ -126,7 +127,7 @@ def attach(
     lookup that is too large to broadcast, or always with `shuffled`.
     """
     on, store = lookup.on, lookup.store
-    if not shuffled and lookup.bytes <= broadcast_limit(store.spark):
+    if not is_large(lookup, shuffled):
         return df.join(F.broadcast(lookup.df), on, "left")
 
     # Fewer rows than PIECES times the shuffle partitions.
@@ -148,21 +149,38 @@ def attach(
     return dealt.join(entries, [*on, SALT], "left").drop(SALT)
 
 
+def is_large(lookup: Lookup, shuffled: bool = False) -> bool:
+    """Whether a lookup is joined by a shuffle: it is beyond the broadcast limit, or has to."""
+    return shuffled or lookup.bytes > broadcast_limit(lookup.store.spark)
+
+
+def key_tag(keys: list[str]):
+    """A row number made of the row's keys, for attach_all with `shared_tags`.
+
+    A hash skips NULLs, so which keys are missing goes into it as well.
+    """
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in keys])
+    return F.xxhash64(missing, *keys)
+
+
 def attach_all(
     df: DataFrame,
     lookups: list[Lookup],
     hot: Callable[[Lookup], DataFrame],
     shuffled: bool = False,
+    shared_tags: bool = False,
 ) -> DataFrame:
     """Add the columns of several lookups, whose names differ, as attach does one after the other.
 
     `df` carries ROW_TAG, and no lookup's key is a column that another one adds. Small lookups are
     broadcast. The others meet (row number, key) in one join, and what it has found is joined by row
-    number: so wide rows are shuffled at most once, by a number that no two rows share.
+    number: so wide rows are shuffled at most once. With `shared_tags` rows may have one number
+    together, as key_tag gives it: then what was found is taken by its key as well, and the rows are
+    left where rows of one number lie together.
     """
     rows, large = df, []
     for lookup in lookups:
-        if shuffled or lookup.bytes > broadcast_limit(lookup.store.spark):
+        if is_large(lookup, shuffled):
             large.append(lookup)
         else:
             rows = rows.join(F.broadcast(lookup.df), lookup.on, "left")
@@ -170,11 +188,23 @@ def attach_all(
         return rows
 
     store = large[0].store
-    found = store.open(store.write("found", _found(df, large, hot), partition_by="kind"))
+    found = _found(df, large, hot, shared_tags)
+    found = store.open(store.write("found", found, partition_by="kind"))
     for k, lookup in enumerate(large):
-        mine = found.where(F.col("kind") == k).select(ROW_TAG, *lookup.payload)
+        mine = found.where(F.col("kind") == k)
         # All by the same number, so the rows stay where the first of these joins puts them.
-        rows = rows.join(mine.hint("merge"), ROW_TAG, "left")
+        if not shared_tags:
+            mine = mine.select(ROW_TAG, *lookup.payload)
+            rows = rows.join(mine.hint("merge"), ROW_TAG, "left")
+            continue
+        mine = mine.select(ROW_TAG, F.col("key").alias(FOUND_KEY), *lookup.payload)
+        same_tag = F.col(f"rows.{ROW_TAG}") == F.col(f"found.{ROW_TAG}")
+        # Not an equality, by which Spark would shuffle as well: the number alone places the rows.
+        same_key = F.array_contains(F.array(FOUND_KEY), _key(lookup.on))
+        met = rows.alias("rows").join(
+            mine.alias("found").hint("merge"), same_tag & same_key, "left"
+        )
+        rows = met.drop(F.col(f"found.{ROW_TAG}"), F.col(FOUND_KEY))
     return rows
 
 
@@ -186,8 +216,13 @@ def _key(on: list[str]):
     return F.concat(*[part for t in texts for part in (F.length(t), F.lit(":"), t)])
 
 
-def _found(df: DataFrame, large: list[Lookup], hot: Callable[[Lookup], DataFrame]) -> DataFrame:
-    """(row number, kind, payload of all lookups): a row per row number and entry that it meets."""
+def _found(
+    df: DataFrame, large: list[Lookup], hot: Callable[[Lookup], DataFrame], shared_tags: bool
+) -> DataFrame:
+    """(row number, kind, payload of all lookups): a row per row number and entry that it meets.
+
+    With `shared_tags` it has the key too, and each row once; equal ones lie together anyway.
+    """
     asked = [
         F.when(_present(x.on), F.struct(F.lit(k).alias("kind"), _key(x.on).alias("key")))
         for k, x in enumerate(large)
@@ -212,4 +247,5 @@ def _found(df: DataFrame, large: list[Lookup], hot: Callable[[Lookup], DataFrame
     copies = entries.join(salts, on, "left").withColumn(
         SALT, F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
     )
-    return dealt.drop(SALTS).join(copies.drop(SALTS), [*on, SALT]).drop("key", SALT)
+    met = dealt.drop(SALTS).join(copies.drop(SALTS), [*on, SALT])
+    return met.distinct().drop(SALT) if shared_tags else met.drop("key", SALT)

@@ -15,7 +15,6 @@ from silvermart.functions import (
     parse_money,
     parse_number,
     prefix_region,
-    strip_all,
     trim_all,
     upper_to_null,
     whole,
@@ -27,8 +26,9 @@ from silvermart.operators.attach import (
     attach_all,
     hot_among,
     hot_keys,
+    is_large,
+    key_tag,
     store_lookup,
-    with_row_tag,
 )
 from silvermart.operators.donors import (
     count_kinds,
@@ -80,14 +80,14 @@ def clean_orders(raw_orders: DataFrame) -> DataFrame:
         (ID_COLUMNS, lambda c: trim_all(F.trim(c)), blank_to_null),
         (PLAIN_COLUMNS, trim_all, blank_to_null),
         (UPPER_COLUMNS, trim_all, upper_to_null),
-        (DATE_COLUMNS, strip_all, parse_date),
-        (MONEY_COLUMNS, strip_all, parse_money),
-        (NUMBER_COLUMNS, strip_all, parse_number),
+        (DATE_COLUMNS, trim_all, parse_date),
+        (MONEY_COLUMNS, trim_all, parse_money),
+        (NUMBER_COLUMNS, trim_all, parse_number),
     ]
     # Trimming is a step of its own: every rule mentions its input more than once, so the
     # optimizer keeps the two steps apart, trims each value once and compiles each step as a
     # method of its own. Each stays below 8000 bytes of generated code, beyond which the JVM
-    # would only interpret it: trim_all is fast but long, strip_all slow but short.
+    # would only interpret it.
     trimmed = raw_orders.select(
         [
             trim(F.col(f"`{raw}`")).alias(name)
@@ -206,8 +206,10 @@ def trusted_orders(
 
     Exact duplicates count as such by the quantity as it was written, before it is rounded.
     """
-    rows = repaired_orders(raw_orders, raw_returns, raw_people, store, shuffled)
-    return dedup_exact(rows).withColumns(
+    rows = _repaired(raw_orders, raw_returns, raw_people, store, shuffled, once=True)
+    # Equal rows have one tag, so a distinct with the tag gives the same rows as one without, and
+    # needs no shuffle where the rows lie by their tags already.
+    return dedup_exact(rows).drop(ROW_TAG).withColumns(
         {
             "quantity": whole(F.col("quantity")),
             "region": prefix_region(F.col("country"), F.col("region")),
@@ -227,7 +229,25 @@ def repaired_orders(
     `raw_orders` is a stored table. One pass over it counts the keys and values of all lookups, the
     main pass reads it once more. Where the lookups are small enough to broadcast, the final
     distinct is the only shuffle of whole rows. Where they are not, a third pass takes the keys to
-    them, and whole rows are shuffled once more, see attach_all.
+    them, and whole rows are shuffled by a hash of their keys, see attach_all; the distinct of the
+    trusted table then finds equal rows together, so whole rows move once either way.
+    """
+    rows = _repaired(raw_orders, raw_returns, raw_people, store, shuffled)
+    return rows.select(schemas.TRUSTED_ORDERS.names)
+
+
+def _repaired(
+    raw_orders: DataFrame,
+    raw_returns: DataFrame,
+    raw_people: DataFrame,
+    store: TableStore,
+    shuffled: bool,
+    once: bool = False,
+) -> DataFrame:
+    """repaired_orders, with the tag by which the rows lie if a lookup was large.
+
+    With `once` copies of a row may be left out, and those in an order of very many rows are, before
+    they would meet in one task.
     """
     base = clean_orders(raw_orders).withColumn("region", normalize_region(F.col("region")))
     counted = count_kinds(base, LOOKUP_COLUMNS, store, "counted")
@@ -236,13 +256,24 @@ def repaired_orders(
     def hot(lookup: Lookup) -> DataFrame:
         return hot_among(counted[lookup.name].withColumnRenamed("freq", "n"), lookup.on)
 
-    rows = with_row_tag(base).withColumn("discount", F.abs(F.col("discount")))
-    rows = attach_all(rows, list(lookups.values()), hot, shuffled).drop(ROW_TAG)
+    # No repair changes a key, so rows that are equal in the end have one tag.
+    keys = [c for on, _ in LOOKUP_COLUMNS.values() for c in on]
+    rows = base.withColumns({"discount": F.abs(F.col("discount")), ROW_TAG: key_tag(keys)})
+    tag = [ROW_TAG] if any(is_large(x, shuffled) for x in lookups.values()) else []
+    if once and tag:
+        heavy = store.write("heavy_orders", hot(lookups["order"]).select("order_id"))
+        if heavy.rows:
+            # Fewer rows than PIECES times the shuffle partitions.
+            ids = F.broadcast(store.open(heavy))
+            rows = rows.join(ids, "order_id", "left_anti").unionByName(
+                rows.join(ids, "order_id", "left_semi").distinct()
+            )
+    rows = attach_all(rows, list(lookups.values()), hot, shuffled, shared_tags=True)
     rows = filled(rows, "ship_mode", "customer_name", "postal_code", "category", "sub_category")
     rows = overwritten(rows, "product_name", "product_name_original")
     rows = rows.withColumn("is_returned", F.coalesce(F.col("returned"), F.lit(0)))
 
-    return rows.select(schemas.TRUSTED_ORDERS.names)
+    return rows.select(*schemas.TRUSTED_ORDERS.names, *tag)
 
 
 # By lookup its key and the columns that it repairs.

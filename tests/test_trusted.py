@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from silvermart import schemas
@@ -226,6 +227,51 @@ def test_whole_rows_are_shuffled_once_for_all_large_lookups(spark, store):
     assert len(wide) == 6 and all("hashpartitioning(row_tag#" in line for line in wide)
 
 
+def test_trusted_rows_move_once_for_large_lookups_and_the_distinct(spark, store):
+    """The distinct finds equal rows together already: rows are shuffled by their tag and not again."""
+    w = workspace(spark, DATA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = layer.trusted_orders(
+            w.raw["Orders"], w.raw["Returns"], w.raw["People"], store, shuffled=True
+        )
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    above = plan.split("SortMergeJoin")[0]
+    assert "HashAggregate" in above and "Exchange" not in above
+
+
+def test_shared_tags_take_what_was_found_by_the_key(store):
+    """Rows with one tag and different keys, as a hash may give them, get each its own entry."""
+    from silvermart.operators import attach as A
+
+    rows = store.materialize(
+        "rows",
+        store.spark.createDataFrame(
+            [(7, "a", "x"), (7, "a", "x"), (7, "b", "y"), (7, None, "z"), (8, "c", None)],
+            "row_tag long, k string, m string",
+        ),
+    )
+    entries = store.spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, n int")
+    more = store.spark.createDataFrame([("y", 5), ("y", 6), ("z", 7)], "m string, o int")
+    lookups = [A.store_lookup(store, "n", entries, ["k"]), A.store_lookup(store, "o", more, ["m"])]
+    df = A.attach_all(
+        rows, lookups, lambda x: A.hot_keys(rows, x.on), shuffled=True, shared_tags=True
+    )
+    assert sorted(map(str, df.select("k", "n", "o").collect())) == sorted(map(str, [
+        Row(k="a", n=1, o=None), Row(k="a", n=1, o=None), Row(k="b", n=2, o=5),
+        Row(k="b", n=2, o=6), Row(k=None, n=None, o=7), Row(k="c", n=3, o=None),
+    ]))
+
+
+def test_keys_that_are_missing_in_other_places_have_other_tags(spark):
+    from silvermart.operators.attach import key_tag
+
+    df = spark.createDataFrame([("a", None), (None, "a")], "k string, m string")
+    assert df.select(key_tag(["k", "m"])).distinct().count() == 2
+
+
 def test_the_feed_is_compiled(spark):
     """Its steps stay below 8000 bytes of code, beyond which the JVM only interprets them."""
     import re
