@@ -116,3 +116,17 @@ def test_keys_are_the_same_on_every_run(spark, store):
         again = make(w.trusted.repartition(7), store)
         assert again.exceptAll(w.dims[name]).isEmpty(), name
         assert again.count() == w.dims[name].count()
+
+
+def test_fact_rows_are_shuffled_once_for_all_large_dimensions(spark, store):
+    w = workspace(spark, DATA)
+    trusted, dims = w.trusted, w.dims
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fact = star.fact_orders(trusted, dims, store, shuffled=True, sizes=w.dim_sizes)
+        plan = fact._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Four narrow sides, by dimension, and the rows themselves.
+    wide = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(wide) == 5 and all("hashpartitioning(row_tag#" in line for line in wide)
