@@ -163,35 +163,79 @@ def key_tag(keys: list[str]):
     return F.xxhash64(missing, *keys)
 
 
+def tag_by(
+    rows: DataFrame, lookup: Lookup, heavy: DataFrame | None, keys: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """`rows` with a number made of the key of `lookup`, and the lookup's entries with their numbers.
+
+    `heavy`, if there are any, names the keys of very many rows and their number of salts, see
+    hot_keys; those rows are dealt by all their `keys`, so that equal rows have one number there too.
+    For attach_all with `shared_tags`, where `lookup` then needs no search.
+    """
+    on = lookup.on
+    if heavy is None:
+        number = key_tag(on)
+        return rows.withColumn(ROW_TAG, number), lookup.df.withColumn(ROW_TAG, number)
+
+    # Fewer rows than PIECES times the shuffle partitions.
+    salts = F.broadcast(heavy)
+    many = F.coalesce(F.col(SALTS), F.lit(1))
+    number = F.xxhash64(key_tag(on), SALT)
+    numbered = (
+        rows.join(salts, on, "left")
+        .withColumn(SALT, F.pmod(key_tag(keys), many))
+        .withColumn(ROW_TAG, number)
+    )
+    entries = (
+        lookup.df.join(salts, on, "left")
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+        .withColumn(ROW_TAG, number)
+    )
+    return numbered.drop(SALT, SALTS), entries.drop(SALT, SALTS)
+
+
 def attach_all(
     df: DataFrame,
     lookups: list[Lookup],
     hot: Callable[[Lookup], DataFrame],
     shuffled: bool = False,
     shared_tags: bool = False,
+    tagged: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Add the columns of several lookups, whose names differ, as attach does one after the other.
 
     `df` carries ROW_TAG, and no lookup's key is a column that another one adds. Small lookups are
     broadcast. The others meet (row number, key) in one join, and what it has found is joined by row
     number: so wide rows are shuffled at most once. With `shared_tags` rows may have one number
-    together, as key_tag gives it: then what was found is taken by its key as well, and the rows are
-    left where rows of one number lie together.
+    together, as key_tag and tag_by give it: then what was found is taken by its key as well, and the
+    rows are left where rows of one number lie together. `tagged` has by name the entries of lookups
+    that know their row numbers themselves, with ROW_TAG; those need not be searched.
     """
-    rows, large = df, []
-    for lookup in lookups:
-        if is_large(lookup, shuffled):
-            large.append(lookup)
-        else:
+    tagged = tagged or {}
+    large = [x for x in lookups if is_large(x, shuffled)]
+    small = [x for x in lookups if not is_large(x, shuffled)]
+
+    def met_small(rows: DataFrame) -> DataFrame:
+        for lookup in small:
             rows = rows.join(F.broadcast(lookup.df), lookup.on, "left")
-    if not large:
         return rows
 
+    if not large:
+        return met_small(df)
+
     store = large[0].store
-    found = _found(df, large, hot, shared_tags)
-    found = store.open(store.write("found", found, partition_by="kind"))
-    for k, lookup in enumerate(large):
-        mine = found.where(F.col("kind") == k)
+    searched = [x for x in large if x.name not in tagged]
+    if searched:
+        found = _found(df, searched, hot, shared_tags)
+        found = store.open(store.write("found", found, partition_by="kind"))
+    # Rows with numbers of their own shed the keys of small lookups before they move. The others keep
+    # all columns, so there what the small ones add, and the rows they double, need not move.
+    rows = df if shared_tags else met_small(df)
+    for lookup in large:
+        if lookup.name in tagged:
+            mine = tagged[lookup.name].withColumn("key", _key(lookup.on))
+        else:
+            mine = found.where(F.col("kind") == searched.index(lookup))
         # All by the same number, so the rows stay where the first of these joins puts them.
         if not shared_tags:
             mine = mine.select(ROW_TAG, *lookup.payload)
@@ -205,7 +249,7 @@ def attach_all(
             mine.alias("found").hint("merge"), same_tag & same_key, "left"
         )
         rows = met.drop(F.col(f"found.{ROW_TAG}"), F.col(FOUND_KEY))
-    return rows
+    return met_small(rows) if shared_tags else rows
 
 
 def _key(on: list[str]):
@@ -221,7 +265,8 @@ def _found(
 ) -> DataFrame:
     """(row number, kind, payload of all lookups): a row per row number and entry that it meets.
 
-    With `shared_tags` it has the key too, and each row once; equal ones lie together anyway.
+    With `shared_tags` it has the key too, and each key is asked for once per number: equal questions
+    lie together anyway, by the key.
     """
     asked = [
         F.when(_present(x.on), F.struct(F.lit(k).alias("kind"), _key(x.on).alias("key")))
@@ -247,5 +292,8 @@ def _found(
     copies = entries.join(salts, on, "left").withColumn(
         SALT, F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
     )
-    met = dealt.drop(SALTS).join(copies.drop(SALTS), [*on, SALT])
-    return met.distinct().drop(SALT) if shared_tags else met.drop("key", SALT)
+    dealt = dealt.drop(SALTS)
+    if shared_tags:
+        dealt = dealt.repartition(*on, SALT).distinct()
+    met = dealt.join(copies.drop(SALTS), [*on, SALT])
+    return met.drop(SALT) if shared_tags else met.drop("key", SALT)

@@ -27,8 +27,8 @@ from silvermart.operators.attach import (
     hot_among,
     hot_keys,
     is_large,
-    key_tag,
     store_lookup,
+    tag_by,
 )
 from silvermart.operators.donors import (
     count_kinds,
@@ -229,8 +229,8 @@ def repaired_orders(
     `raw_orders` is a stored table. One pass over it counts the keys and values of all lookups, the
     main pass reads it once more. Where the lookups are small enough to broadcast, the final
     distinct is the only shuffle of whole rows. Where they are not, a third pass takes the keys to
-    them, and whole rows are shuffled by a hash of their keys, see attach_all; the distinct of the
-    trusted table then finds equal rows together, so whole rows move once either way.
+    them, and whole rows are shuffled by a hash of their order id, see tag_by; the order's own lookup
+    and the distinct of the trusted table then find them together, so whole rows move once either way.
     """
     rows = _repaired(raw_orders, raw_returns, raw_people, store, shuffled)
     return rows.select(schemas.TRUSTED_ORDERS.names)
@@ -250,25 +250,34 @@ def _repaired(
     they would meet in one task.
     """
     base = clean_orders(raw_orders).withColumn("region", normalize_region(F.col("region")))
-    counted = count_kinds(base, LOOKUP_COLUMNS, store, "counted")
-    lookups = build_lookups(counted, clean_returns(raw_returns), clean_people(raw_people), store)
+    people = store_lookup(store, "people", clean_people(raw_people), LOOKUP_COLUMNS["people"][0])
+    # Regions repair nothing, and are counted only where their weight matters.
+    kinds = {n: k for n, k in LOOKUP_COLUMNS.items() if n != "people" or is_large(people, shuffled)}
+    counted = count_kinds(base, kinds, store, "counted")
+    lookups = build_lookups(counted, clean_returns(raw_returns), people, store)
 
     def hot(lookup: Lookup) -> DataFrame:
         return hot_among(counted[lookup.name].withColumnRenamed("freq", "n"), lookup.on)
 
-    # No repair changes a key, so rows that are equal in the end have one tag.
-    keys = [c for on, _ in LOOKUP_COLUMNS.values() for c in on]
-    rows = base.withColumns({"discount": F.abs(F.col("discount")), ROW_TAG: key_tag(keys)})
+    rows = base.withColumn("discount", F.abs(F.col("discount")))
     tag = [ROW_TAG] if any(is_large(x, shuffled) for x in lookups.values()) else []
-    if once and tag:
-        heavy = store.write("heavy_orders", hot(lookups["order"]).select("order_id"))
-        if heavy.rows:
+    tagged = {}
+    if tag:
+        heavy = store.write("heavy_orders", hot(lookups["order"]))
+        if once and heavy.rows:
             # Fewer rows than PIECES times the shuffle partitions.
-            ids = F.broadcast(store.open(heavy))
+            ids = F.broadcast(store.open(heavy).select("order_id"))
             rows = rows.join(ids, "order_id", "left_anti").unionByName(
                 rows.join(ids, "order_id", "left_semi").distinct()
             )
-    rows = attach_all(rows, list(lookups.values()), hot, shuffled, shared_tags=True)
+        # No repair changes a key, so rows that are equal in the end have one tag.
+        keys = [c for on, _ in LOOKUP_COLUMNS.values() for c in on]
+        salts = store.open(heavy) if heavy.rows else None
+        rows, orders = tag_by(rows, lookups["order"], salts, keys)
+        tagged = {"order": orders}
+    rows = attach_all(
+        rows, list(lookups.values()), hot, shuffled, shared_tags=True, tagged=tagged
+    )
     rows = filled(rows, "ship_mode", "customer_name", "postal_code", "category", "sub_category")
     rows = overwritten(rows, "product_name", "product_name_original")
     rows = rows.withColumn("is_returned", F.coalesce(F.col("returned"), F.lit(0)))
@@ -287,11 +296,10 @@ LOOKUP_COLUMNS = {
 
 
 def build_lookups(
-    counted: dict[str, DataFrame], returned: DataFrame, people: DataFrame, store: TableStore
+    counted: dict[str, DataFrame], returned: DataFrame, people: Lookup, store: TableStore
 ) -> dict[str, Lookup]:
     """Every lookup reads the cleaned rows, never a column that another lookup has repaired."""
     donors = {
-        "people": people,
         "location": mode_donors_of(counted["location"], LOCATION, "postal_code"),
         "product": mode_donors_of(
             counted["product"],
@@ -305,9 +313,10 @@ def build_lookups(
             max_donors_of(counted["order"], ["order_id"], ["ship_mode"]), returned
         ),
     }
-    return in_parallel(
+    stored = in_parallel(
         {
             name: (lambda name=name, df=df: store_lookup(store, name, df, LOOKUP_COLUMNS[name][0]))
             for name, df in donors.items()
         }
     )
+    return {"people": people, **stored}

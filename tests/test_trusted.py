@@ -287,3 +287,42 @@ def test_the_feed_is_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_the_lookup_that_places_the_rows_is_not_searched(store, heavy):
+    """Its entries carry the rows' numbers; equal rows of a heavy key keep one number."""
+    from silvermart.operators import attach as A
+
+    data = [("a", str(i % 4)) for i in range(40)] + [("b", "x"), (None, "y")]
+    rows = store.materialize("rows", store.spark.createDataFrame(data, "k string, m string"))
+    entries = store.spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    lookup = A.store_lookup(store, "n", entries, ["k"])
+    salts = store.spark.createDataFrame([("a", 8)], "k string, salts long") if heavy else None
+    numbered, tagged = A.tag_by(rows, lookup, salts, ["k", "m"])
+    df = A.attach_all(
+        numbered, [lookup], None, shuffled=True, shared_tags=True, tagged={"n": tagged}
+    )
+    found = [(r.k, r.m, r.n) for r in df.collect()]
+    expected = [(k, m, {"a": 1, "b": 2}.get(k)) for k, m in data]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    tags = numbered.where("k = 'a'").groupBy("m").agg(F.count_distinct("row_tag").alias("n"))
+    assert [r.n for r in tags.collect()] == [1] * 4
+    assert (numbered.where("k = 'a'").select("row_tag").distinct().count() > 1) == heavy
+
+
+def test_what_small_lookups_add_does_not_move(spark, store):
+    """The manager, and the rows that a second manager doubles, come after the move of whole rows."""
+    w = workspace(spark, DATA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
+    try:
+        rows = layer.trusted_orders(w.raw["Orders"], w.raw["Returns"], w.raw["People"], store)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    assert plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")
+    assert w.trusted.exceptAll(rows).isEmpty() and w.trusted.count() == rows.count()
