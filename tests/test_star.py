@@ -130,3 +130,36 @@ def test_fact_rows_are_shuffled_once_for_all_large_dimensions(spark, store):
     # Four narrow sides, by dimension, and the rows themselves.
     wide = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(wide) == 5 and all("hashpartitioning(row_tag#" in line for line in wide)
+
+
+def test_weights_of_members_come_from_their_build(spark, store, no_broadcast, monkeypatch):
+    """The fact counts no keys of its own where the dimensions have counted theirs."""
+    w = workspace(spark, DATA)
+    monkeypatch.setattr(star, "hot_keys", lambda *args: pytest.fail("counted again"))
+    counts: star.Counts = {}
+    dims = {
+        n: store.materialize(n, build(w.trusted, store, counts))
+        for n, build in star.DIMENSIONS.items()
+    }
+    assert set(counts) == set(star.KEYED)
+    fact = star.fact_orders(w.trusted, dims, store, shuffled=True, counts=counts)
+    assert fact.exceptAll(w.fact).isEmpty() and w.fact.exceptAll(fact).isEmpty()
+
+
+def test_a_check_of_one_dimension_builds_no_other(spark, tmp_path, monkeypatch):
+    from silvermart.plans import workspace as ws
+
+    w = ws.Workspace(spark, DATA)
+    asked = []
+    build = ws.build_dimensions
+
+    def watched(trusted, store, scratch, counts, names):
+        asked.extend(names)
+        return build(trusted, store, scratch, counts, names)
+
+    monkeypatch.setattr(ws, "build_dimensions", watched)
+    w.__dict__["trusted"] = workspace(spark, DATA).trusted
+    assert w.dim("dim_date").count() > 0 and asked == ["dim_date"]
+    assert "fact" not in w.__dict__
+    assert w.fact.count() > 0 and sorted(asked) == sorted(star.DIMENSIONS)
+    assert list(w.dims) == list(star.DIMENSIONS) and len(asked) == len(star.DIMENSIONS)
