@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from silvermart.operators import attach as A
 from silvermart.operators.dense_key import dense_key
 from silvermart.operators.donors import max_donors, mode_donors
+from silvermart.sources.store import TableStore
 from tests.conftest import rows_of, stored
 
 ROWS = 30_000
@@ -224,3 +225,27 @@ def test_kinds_are_counted_in_one_pass(store, spark):
     assert rows_of(found["a"]) == [("a", None, 1), ("a", "1", 2)]
     assert rows_of(found["none"]) == [("x", 3)]
     assert rows_of(found["ab"]) == [("a", "x", None, 1), ("a", "x", "1", 1)]
+
+
+def test_entries_of_lookups_are_compiled(store, no_broadcast, monkeypatch):
+    """No function with a lambda in the passes over all rows; those are interpreted row by row."""
+    from silvermart.operators.donors import count_kinds
+
+    plans = []
+    write = TableStore.write
+
+    def watched(self, name, df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, name, df, *args, **kwargs)
+
+    monkeypatch.setattr(TableStore, "write", watched)
+    rows = A.with_row_tag(
+        store.materialize("rows", store.spark.createDataFrame([("a", None), (None, "b")], "k string, m string"))
+    )
+    counted = count_kinds(rows, {"k": (["k"], ["m"]), "m": (["m"], [])}, store, "counted")
+    assert rows_of(counted["k"]) == [("a", None, 1)] and rows_of(counted["m"]) == [("b", 1)]
+    entries = store.spark.createDataFrame([("a", 1)], "k string, n int")
+    lookup = A.store_lookup(store, "n", entries, ["k"])
+    df = A.attach_all(rows, [lookup], lambda x: A.hot_keys(rows, x.on), shuffled=True)
+    assert rows_of(df, "k", "n") == [(None, None), ("a", 1)]
+    assert len(plans) > 3 and not any("lambda" in plan for plan in plans)
