@@ -351,7 +351,9 @@ def judge(docs: DataFrame, common: int = COMMON) -> DataFrame:
     medians = class_medians(rows)
     references = [[words.get(w, 0.0) for w in listed] for words in by_language.values()]
 
-    total = F.col("word_chars")
+    # NULL for a text without characters: it has no shares, and the strict arithmetic of a session
+    # would end the job at a division by zero.
+    total = F.nullif(F.col("word_chars"), F.lit(0))
     rows = rows.select(
         "*",
         F.transform("classes", lambda c: c / total).alias("class_shares"),

@@ -90,3 +90,18 @@ def test_main_path_is_native(spark):
     plan = judge(spark.read.parquet(f"{LARGER}/documents.parquet"))
     text = plan._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text
+
+
+def test_texts_without_characters_among_several_languages(docs):
+    # Strict arithmetic, Spark's default, ends a job that divides by their zero characters.
+    prose = {"en": "the cat and the dog went to the house", "de": "der Hund und die Katze im Haus"}
+    full = [(i, f"{prose[x]} {i}", x) for i, x in enumerate(["en", "de"] * 20)]
+    blank = [(100, "", "en"), (101, None, "de"), (102, " \t\n", None), (103, "12 34", "en")]
+    got = {r.doc_id: r for r in judge(docs(*full, *blank)).collect()}
+    assert len(got) == 44
+    for i in (100, 101, 102):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.base_failed, r.kept) == (0, 0, True, False)
+        assert r.class_distance is None and r.word_distance is None
+    assert got[103].class_distance is not None and got[103].word_distance is None
+    assert got[0].class_distance is not None and got[0].word_distance is not None
