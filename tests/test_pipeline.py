@@ -68,6 +68,13 @@ def test_land_all_reports_every_sheet(spark, store):
 # -- the store -------------------------------------------------------------------------------
 
 
+def test_rows_of_an_order_lie_together_where_large_tables_meet(spark, no_broadcast):
+    parts = feed.raw_orders(spark, DATA).select(F.spark_partition_id(), "Row ID").collect()
+    orders = [(part, int(row) // 10) for part, row in parts]
+    runs = sum(a != b for a, b in zip(orders, [None, *orders]))
+    assert runs == len({order for _, order in orders})
+
+
 def test_counts_are_taken_while_writing(spark, store):
     table = store.write("t", spark.range(10).withColumn("s", F.lit("abc")))
     assert (table.rows, table.bytes) == (10, 10 * (16 + 16 + 3))
