@@ -338,7 +338,9 @@ def queries() -> dict[str, Query]:
         "dedup_exact": _on(lambda w: _base(w).distinct()),
         "dedup_trusted": _on(
             lambda w: layer.dedup_exact(
-                layer.repaired_orders(w.raw["Orders"], w.raw["Returns"], w.raw["People"], w.scratch)
+                layer.repaired_orders(
+                    w.raw["Orders"], w.raw["Returns"], w.raw["People"], w.scratch, tagged=True
+                )
             )
         ),
         "dedup_two_steps": _on(_dedup_two_steps),

@@ -191,8 +191,12 @@ def flag_returns(
 
 
 def dedup_exact(rows: DataFrame) -> DataFrame:
-    """Each row once, by all its columns; NULLs are equal."""
-    return rows.distinct()
+    """Each row once, by all its columns; NULLs are equal.
+
+    `rows` may carry ROW_TAG, see repaired_orders. Equal rows have one tag, so a distinct with the tag
+    gives the same rows as one without, and needs no shuffle where the rows lie by their tags already.
+    """
+    return rows.distinct().drop(ROW_TAG)
 
 
 def trusted_orders(
@@ -207,9 +211,7 @@ def trusted_orders(
     Exact duplicates count as such by the quantity as it was written, before it is rounded.
     """
     rows = _repaired(raw_orders, raw_returns, raw_people, store, shuffled, once=True)
-    # Equal rows have one tag, so a distinct with the tag gives the same rows as one without, and
-    # needs no shuffle where the rows lie by their tags already.
-    return dedup_exact(rows).drop(ROW_TAG).withColumns(
+    return dedup_exact(rows).withColumns(
         {
             "quantity": whole(F.col("quantity")),
             "region": prefix_region(F.col("country"), F.col("region")),
@@ -223,6 +225,7 @@ def repaired_orders(
     raw_people: DataFrame,
     store: TableStore,
     shuffled: bool = False,
+    tagged: bool = False,
 ) -> DataFrame:
     """Cleaned rows with every repair and join done, duplicates still among them.
 
@@ -231,9 +234,10 @@ def repaired_orders(
     distinct is the only shuffle of whole rows. Where they are not, a third pass takes the keys to
     them, and whole rows are shuffled by a hash of their order id, see tag_by; the order's own lookup
     and the distinct of the trusted table then find them together, so whole rows move once either way.
+    With `tagged` that hash stays in the rows as ROW_TAG, if they were shuffled by it, for dedup_exact.
     """
     rows = _repaired(raw_orders, raw_returns, raw_people, store, shuffled)
-    return rows.select(schemas.TRUSTED_ORDERS.names)
+    return rows if tagged else rows.select(schemas.TRUSTED_ORDERS.names)
 
 
 def _repaired(

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -242,6 +244,24 @@ def test_trusted_rows_move_once_for_large_lookups_and_the_distinct(spark, store)
     assert "HashAggregate" in above and "Exchange" not in above
 
 
+def test_repaired_rows_with_their_tag_are_not_moved_again_by_the_distinct(spark, store):
+    w = workspace(spark, DATA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        repaired = layer.repaired_orders(
+            w.raw["Orders"], w.raw["Returns"], w.raw["People"], store, shuffled=True, tagged=True
+        )
+        rows = layer.dedup_exact(repaired)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    above = plan.split("SortMergeJoin")[0]
+    assert "HashAggregate" in above and "Exchange" not in above
+    small = layer.repaired_orders(w.raw["Orders"], w.raw["Returns"], w.raw["People"], store)
+    assert rows.columns == small.columns
+    assert Counter(rows.collect()) == Counter(layer.dedup_exact(small).collect())
+
+
 def test_shared_tags_take_what_was_found_by_the_key(store):
     """Rows with one tag and different keys, as a hash may give them, get each its own entry."""
     from silvermart.operators import attach as A
