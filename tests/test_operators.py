@@ -213,6 +213,28 @@ def test_several_lookups_at_once_equal_one_after_the_other(store, spark):
         assert rows_of(df, *columns) == rows_of(expected, *columns)
 
 
+def test_neighbours_move_together_to_what_several_lookups_have_found(store, spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        n = F.col("id")
+        scan = spark.range(0, 4000, 1, 1).select(F.concat(F.lit("k"), n % 700).alias("k"), n.alias("n"))
+        rows = A.with_row_tag(store.materialize("rows", scan))
+        entries = spark.range(600).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+        more = entries.where("id < 50").unionByName(entries)
+        lookup = A.store_lookup(store, "v", more.select("k", "v"), ["k"])
+        df = A.attach_all(rows, [lookup], lambda x: A.hot_keys(rows, x.on), shuffled=True)
+        got = df.select("row_tag", "n", "v", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    expected = [(i, i, i % 700 if i % 700 < 600 else None) for i in range(4000)]
+    expected += [x for x in expected if x[2] is not None and x[2] < 50]
+    assert sorted((r.row_tag, r.n, str(r.v)) for r in got) == sorted((t, i, str(v)) for t, i, v in expected)
+    blocks = {(r.row_tag >> A.BLOCK_BITS, r.task) for r in got}
+    assert len(blocks) == 4000 >> A.BLOCK_BITS and len({task for _, task in blocks}) == 16
+
+
 def test_kinds_are_counted_in_one_pass(store, spark):
     from silvermart.operators.donors import count_kinds
 
