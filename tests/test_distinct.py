@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from silvermart.operators import distinct
 from silvermart.operators.distinct import distinct_by_digest
@@ -66,3 +67,33 @@ def test_only_repeated_rows_are_shuffled_and_too_many_digests_take_the_plain_way
         assert bag(plain) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_too_many_repeated_digests_are_marked_by_bits(spark, store):
+    """More than can be broadcast: only rows whose bit is set go through the distinct."""
+    i = F.col("id")
+    text = F.concat(F.lit("t"), i % 10_000)
+    rows = spark.range(15_000).select(text.alias("a.b"), F.when(i % 7 > 0, i % 10_000).alias("n"))
+    rows = rows.withColumn("n", F.when(F.col("`a.b`") == "t3", None).otherwise(F.col("n")))
+    table = store.write("rows", rows.unionByName(rows.where("n < 1000")))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        found = distinct_by_digest(table, store)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftOuter" in plan and "getbit" in plan
+        assert bag(found) == bag(store.open(table).distinct())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_each_repeated_digest_has_its_bit_and_few_others(spark, store):
+    tagged = spark.range(20_000).select("id", F.xxhash64("id").alias(distinct.DIGEST))
+    repeated = tagged.where("id < 4000").select(distinct.DIGEST)
+    marked = distinct._marked(tagged, repeated, 4 * distinct.SLOT_BITS, store)
+    assert marked.columns == tagged.columns
+    by_kind = marked.groupBy(F.col("id") < 4000, distinct.DIGEST).count().collect()
+    counts = {(r[0], r[1]): r["count"] for r in by_kind}
+    assert counts[True, True] == 4000 and (True, False) not in counts
+    # 4000 of 131,072 bits.
+    assert counts[False, True] < 0.05 * 16_000
